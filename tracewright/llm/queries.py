@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewright.llm import chat, sharding
+from tracewright.llm import chat, decontam, sharding
 from tracewright.llm.common import load
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.decontam_query(spark, sf_dir)
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(load(spark, sf_dir, "documents"))
 
@@ -21,10 +25,12 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_decontamination": op1_decontamination,
     "op2_sharding": op2_sharding,
     "op10_chat_formatting": op10_chat_formatting,
 }
 
 SQL: dict[str, str] = {
+    "op1_decontamination": decontam.DECONTAM_SQL,
     "op10_chat_formatting": chat.CHAT_SQL,
 }
