@@ -86,3 +86,10 @@ def lower_ascii(text: Column) -> Column:
 def id_hash_mod(doc_id: Column, n: int) -> Column:
     """crc32 of the id written as text, modulo ``n``; a null id counts as empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % F.lit(n)
+
+
+def eager(value: Column) -> Column:
+    """The same value, computed once per row below an explode. Generated code defers plain
+    expressions to where they are used, which after an explode is once per exploded row; one
+    that counts as non-deterministic is computed in place."""
+    return F.when(F.rand(0) >= 0, value)

@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import Scratch, load, lower_ascii
+from tracewright.llm.common import Scratch, eager, load, lower_ascii
 
 #: Runs between words: every ASCII character that is neither a letter nor a digit.
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -38,10 +38,10 @@ def word_count(text: Column) -> Column:
 
 
 def words(rows: DataFrame, keep: list[str], text_col: str) -> DataFrame:
-    """One row per word: the ``keep`` columns, ``pos`` from 0 and the lower-cased ``word``."""
-    exploded = rows.select(*keep, (F.coalesce(F.col(text_col), F.lit("")).rlike("^" + SEPARATORS)).cast("int").alias("lead"), F.posexplode(_parts(F.col(text_col))).alias("p", "w")).where("w != ''")
-    word = F.when(F.lower("w") == F.col("w"), F.col("w")).otherwise(lower_ascii(F.col("w")))
-    return exploded.select(*keep, (F.col("p") - F.col("lead")).alias("pos"), word.alias("word"))
+    """One row per word: the ``keep`` columns, the lower-cased ``word`` and its ``pos``, which
+    counts from 1 in a text that begins with a separator and from 0 in others."""
+    exploded = rows.select(*keep, F.posexplode(_parts(F.col(text_col))).alias("pos", "w")).where("w != ''")
+    return exploded.select(*keep, "pos", F.when(F.col("w").rlike("[A-Z]"), lower_ascii(F.col("w"))).otherwise(F.col("w")).alias("word"))
 
 
 def _bounded(df: DataFrame, rows: int) -> DataFrame:
@@ -70,7 +70,7 @@ def build_index(docs: DataFrame, items: DataFrame, scratch: Scratch, id_col: str
     vocabulary = item_words.select("word").distinct().withColumn("term", F.xxhash64("word"))
     vocabulary = scratch.write(vocabulary.coalesce(1), "vocabulary")
     n_terms, n_words = vocabulary.count(), item_words.count()
-    corpus = words(docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("t")), KEY, "t")
+    corpus = words(docs.select(F.col(id_col).alias("doc_id"), eager(F.xxhash64(F.col(text_col))).alias("text_hash"), F.col(text_col).alias("t")), KEY, "t")
     postings = scratch.write(corpus.join(_bounded(vocabulary, n_terms), "word").select("term", *KEY, "pos"), "postings")
     frequency = scratch.write(postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")).coalesce(1), "frequency")
     terms = item_words.withColumn("term", F.xxhash64("word")).select("item", "item_id", "pos", "term", "length")
