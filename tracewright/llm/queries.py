@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewright.llm import chat, decontam, sharding
+from tracewright.llm import bpe, chat, decontam, media, sharding
 from tracewright.llm.common import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +21,15 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(load(spark, sf_dir, "documents"))
 
 
+def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.text_media(load(spark, sf_dir, "documents")).drop("media")
+
+
+def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = bpe.encode(load(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return encoded.drop("ids")
+
+
 def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_query(load(spark, sf_dir, "conversations"))
 
@@ -27,6 +37,8 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_decontamination": op1_decontamination,
     "op2_sharding": op2_sharding,
+    "op6_media": op6_media,
+    "op7_byte_bpe": op7_byte_bpe,
     "op10_chat_formatting": op10_chat_formatting,
 }
 
