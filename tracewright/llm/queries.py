@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewright.llm import bpe, chat, decontam, media, sharding
+from tracewright.llm import bpe, chat, decontam, media, sharding, toxicity
 from tracewright.llm.common import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,10 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(load(spark, sf_dir, "documents"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_query(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.text_media(load(spark, sf_dir, "documents")).drop("media")
 
@@ -37,6 +41,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_decontamination": op1_decontamination,
     "op2_sharding": op2_sharding,
+    "op3_toxicity": op3_toxicity,
     "op6_media": op6_media,
     "op7_byte_bpe": op7_byte_bpe,
     "op10_chat_formatting": op10_chat_formatting,
