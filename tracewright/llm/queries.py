@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewright.llm import bpe, chat, decontam, media, sharding, toxicity
+from tracewright.llm import bpe, chat, decontam, linededup, media, sharding, toxicity
 from tracewright.llm.common import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_query(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.line_query(load(spark, sf_dir, "documents"))
+
+
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.text_media(load(spark, sf_dir, "documents")).drop("media")
 
@@ -42,6 +46,7 @@ QUERIES: dict[str, Query] = {
     "op1_decontamination": op1_decontamination,
     "op2_sharding": op2_sharding,
     "op3_toxicity": op3_toxicity,
+    "op4_line_dedup": op4_line_dedup,
     "op6_media": op6_media,
     "op7_byte_bpe": op7_byte_bpe,
     "op10_chat_formatting": op10_chat_formatting,
@@ -49,5 +54,6 @@ QUERIES: dict[str, Query] = {
 
 SQL: dict[str, str] = {
     "op1_decontamination": decontam.DECONTAM_SQL,
+    "op4_line_dedup": linededup.LINE_SQL,
     "op10_chat_formatting": chat.CHAT_SQL,
 }
