@@ -3,6 +3,7 @@ in the folder that all executors share, and size estimates."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -68,8 +69,11 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 
 def plan_bytes(df: DataFrame) -> int:
-    """The optimizer's size estimate of a DataFrame (for a Parquet scan: bytes of its files)."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    """The optimizer's size estimate of a DataFrame, to three digits (for a Parquet scan: bytes of
+    its files); 0 where the optimizer knows none and assumes exabytes."""
+    found = re.search(r"sizeInBytes=([\d.E+]+) (\w*)B", df._jdf.queryExecution().optimizedPlan().stats().simpleString())
+    units = {"": 0, "Ki": 1, "Mi": 2, "Gi": 3, "Ti": 4, "Pi": 5}
+    return int(float(found[1]) * 1024 ** units[found[2]]) if found and found[2] in units else 0
 
 
 def partitions_for(df: DataFrame, bytes_each: int) -> int:

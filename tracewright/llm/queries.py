@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewright.llm import bpe, chat, decontam, linededup, media, sharding, toxicity
+from tracewright.llm import bpe, chat, decontam, linededup, media, ngramjoin, sharding, toxicity
 from tracewright.llm.common import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,10 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.line_query(load(spark, sf_dir, "documents"))
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramjoin.near_duplicates(load(spark, sf_dir, "documents"))
+
+
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.text_media(load(spark, sf_dir, "documents")).drop("media")
 
@@ -47,6 +51,7 @@ QUERIES: dict[str, Query] = {
     "op2_sharding": op2_sharding,
     "op3_toxicity": op3_toxicity,
     "op4_line_dedup": op4_line_dedup,
+    "op5_ngram_join": op5_ngram_join,
     "op6_media": op6_media,
     "op7_byte_bpe": op7_byte_bpe,
     "op10_chat_formatting": op10_chat_formatting,
@@ -55,5 +60,6 @@ QUERIES: dict[str, Query] = {
 SQL: dict[str, str] = {
     "op1_decontamination": decontam.DECONTAM_SQL,
     "op4_line_dedup": linededup.LINE_SQL,
+    "op5_ngram_join": ngramjoin.NGRAM_SQL,
     "op10_chat_formatting": chat.CHAT_SQL,
 }
