@@ -12,9 +12,12 @@ not indexed at all.  Counting goes through hash buckets: tokens travel as packed
 sets, each bucket's task finds the tokens of two sets or more and returns these alone.
 
 Sharing a combination makes a candidate, and every link is verified on the whole sets.  Candidates
-are first tested against one member of their group; members that this joins need no further test
-among themselves, and all pairs across what is still apart are tested after that, so no link
-between components is lost and copies are never expanded into all pairs.
+are first tested against one member of their group, one with few tokens of its own; members that
+this joins need no further test among themselves, and all pairs across what is still apart are
+tested after that, so no link between components is lost and copies are never expanded into all
+pairs.  Before a pair is formed, an upper bound of its overlap must reach the threshold: tokens that
+only one set holds are never shared, and the parity bitmaps of two sets' shared tokens differ in at
+most as many bits as the sets differ in tokens.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewright.llm.arrow import pieces
@@ -44,6 +47,8 @@ BYTES_EACH = 4 << 20
 PIVOT_ROUNDS = 2
 SALTS = 8
 
+#: What the overlap bound needs of a set: its number of shared tokens and their parity bitmap.
+BOUNDS = ["s", "b0", "b1", "b2", "b3"]
 PACKED = "part int, kind int, doc_id {id}, key long, check long, n int, keys binary, counts binary, tokens binary, frequencies binary"
 
 
@@ -169,7 +174,8 @@ def _assemble(parts: int):
         for i, key in enumerate(names.tolist()):
             a, b = ends[i], ends[i + 1]
             if 100 * (b - a) >= THRESHOLD * size[key]:
-                rows.append((key, size[key], tokens[a:b].astype(np.int64), frequencies[a:b].astype(np.int64)))
+                parity = np.packbits(np.bincount((tokens[a:b] >> np.uint64(13) & np.uint64(255)).astype(np.int64), minlength=256).astype(np.uint8) & 1)
+                rows.append((key, size[key], tokens[a:b].astype(np.int64), frequencies[a:b].astype(np.int64), b - a, *parity.view(np.int64).tolist()))
             if rows and (len(rows) == 2000 or i == len(names) - 1):
                 yield _sets(rows)
                 rows = []
@@ -182,7 +188,7 @@ def _assemble(parts: int):
 def _sets(rows: list[tuple]) -> pa.RecordBatch:
     bounds = np.concatenate([[0], np.cumsum([len(r[2]) for r in rows])]).astype(np.int32)
     lists = [pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate([r[c] for r in rows]))) for c in (2, 3)]
-    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), *lists], ["key", "n", "tokens", "frequencies"])
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), *lists, *[pa.array([r[c] for r in rows], pa.int64()) for c in range(4, 9)]], ["key", "n", "tokens", "frequencies", *BOUNDS])
 
 
 def token_class(frequency: np.ndarray) -> np.ndarray:
@@ -235,15 +241,14 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keys, sizes = batch.column("key").to_pylist(), batch.column("n").to_pylist()
         lists = [[batch.column(c).values.to_numpy(zero_copy_only=False), batch.column(c).offsets.to_numpy()] for c in ("tokens", "frequencies")]
-        sig, key, size = [], [], []
+        sig, key = [], []
         for i, (k, n) in enumerate(zip(keys, sizes, strict=True)):
             tokens, frequencies = (values[offsets[i] : offsets[i + 1]] for values, offsets in lists)
             s = signatures(n, tokens.astype(np.uint64), frequencies)
             sig.append(s.astype(np.int64))
             key.append(np.full(len(s), k, np.int64))
-            size.append(np.full(len(s), n, np.int32))
         if sig:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (sig, key, size)], ["sig", "key", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (sig, key)], ["sig", "key"])
 
 
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -257,36 +262,42 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(100 * common >= THRESHOLD * (F.col("n_a") + F.col("n_b") - common)).select("a", "b")
 
 
-def _compatible(n_a, n_b):
-    return (100 * F.least(n_a, n_b)) >= THRESHOLD * F.greatest(n_a, n_b)
+def _possible(prefix: str) -> Column:
+    """Whether the set in the plain columns and the one in the prefixed columns can reach the threshold."""
+    other = lambda c: F.col(prefix + c)
+    apart = sum((F.bit_count(F.col(b).bitwiseXOR(other(b))) for b in BOUNDS[1:]), F.lit(0))
+    twice = F.least(2 * F.least(F.col("s"), other("s")), F.col("s") + other("s") - apart)
+    return (100 + THRESHOLD) * twice >= 2 * THRESHOLD * (F.col("n") + other("n"))
 
 
 def set_components(sets: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, label) of the similarity components over set keys; nodes that are labels are left out."""
     spark = sets.sparkSession
-    index = sets.mapInArrow(_index, "sig long, key long, n int")
+    index = sets.select("key", "n", "tokens", "frequencies").mapInArrow(_index, "sig long, key long")
     index = scratch.write(index, "index")
     often = index.groupBy("sig").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("sig")
     postings = scratch.write(index.join(often, "sig", "left_semi"), "postings")
     scratch.drop("index")
+    own = sets.select("key", "n", *BOUNDS, (F.col("s") * 1000 / F.col("n")).cast("int").alias("share"))
     labels = spark.createDataFrame([], "node long, label long")
     links = spark.createDataFrame([], "a long, b long")
+    fields = ["key", "n", *BOUNDS, "label"]
     for turn in range(PIVOT_ROUNDS + 1):
-        now = postings.join(labels, postings["key"] == labels["node"], "left").select("sig", "key", "n", F.coalesce("label", "key").alias("label"))
-        apart = now.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min(F.struct("label", "key", "n")).alias("p"), F.max(F.struct("label", "key", "n")).alias("q")).where("lo != hi")
+        known = own.join(labels, own["key"] == labels["node"], "left").withColumn("label", F.coalesce("label", "key")).drop("node")
+        now = postings.join(known, "key")
+        apart = now.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max(F.struct("share", *fields)).alias("p"), F.max(F.struct("label", "key", "n", *BOUNDS)).alias("q")).where("lo != hi")
         if turn < PIVOT_ROUNDS:
             end = "p" if turn == 0 else "q"
-            pivots = apart.select("sig", F.col(f"{end}.key").alias("p_key"), F.col(f"{end}.n").alias("p_n"), F.col(f"{end}.label").alias("p_label"))
-            pairs = now.join(pivots, "sig").where((F.col("label") != F.col("p_label")) & _compatible(F.col("n"), F.col("p_n"))).select(F.col("p_key").alias("a"), F.col("key").alias("b"))
+            other = apart.select("sig", *[F.col(f"{end}.{c}").alias(f"o_{c}") for c in fields])
+            pairs = now.join(other, "sig").where((F.col("label") != F.col("o_label")) & _possible("o_")).select(F.col("o_key").alias("a"), F.col("key").alias("b"))
         else:  # whatever is still apart, pair by pair
-            left = now.join(apart.select("sig"), "sig", "left_semi")
-            right = left.select("sig", F.col("key").alias("r_key"), F.col("n").alias("r_n"), F.col("label").alias("r_label"))
-            pairs = left.join(right, "sig").where((F.col("key") < F.col("r_key")) & (F.col("label") != F.col("r_label")) & _compatible(F.col("n"), F.col("r_n"))).select(F.col("key").alias("a"), F.col("r_key").alias("b"))
+            left = now.join(apart.select("sig"), "sig", "left_semi").select("sig", *fields)
+            other = left.select("sig", *[F.col(c).alias(f"o_{c}") for c in fields])
+            pairs = left.join(other, "sig").where((F.col("key") < F.col("o_key")) & (F.col("label") != F.col("o_label")) & _possible("o_")).select(F.col("key").alias("a"), F.col("o_key").alias("b"))
         pairs = scratch.write(pairs.distinct(), f"pairs-{turn}")
         found = scratch.write(verify(pairs, sets), f"links-{turn}")
+        scratch.drop()
         if found.isEmpty():
-            if turn == PIVOT_ROUNDS:
-                break
             continue
         links = links.unionByName(found)
         labels = components(links, scratch, f"components-{turn}")
@@ -317,7 +328,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if not clash:
             names = held.select(F.pmod("key", F.lit(parts)).cast("int").alias("part"), F.lit(1).alias("kind"), "key", "n", *[F.lit(None).cast("binary").alias(c) for c in ("keys", "counts", "tokens", "frequencies")])
             shared = counted.where("kind = 0").select("part", "kind", F.lit(None).cast("long").alias("key"), F.lit(None).cast("int").alias("n"), "keys", "counts", "tokens", "frequencies")
-            sets = shared.unionByName(names).repartitionById(parts, "part").mapInArrow(_assemble(parts), "key long, n int, tokens array<long>, frequencies array<long>")
+            sets = shared.unionByName(names).repartitionById(parts, "part").mapInArrow(_assemble(parts), "key long, n int, tokens array<long>, frequencies array<long>, s long, b0 long, b1 long, b2 long, b3 long")
             sets = scratch.write(sets, "sets")
             scratch.drop()
             labels = set_components(sets, scratch)
