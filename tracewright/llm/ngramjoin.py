@@ -69,7 +69,7 @@ def _pack(schema: pa.Schema, id_type: pa.DataType, parts: int, seed: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in pieces(batch, limit=8 << 20):
+            for piece in pieces(batch, limit=3 << 20):
                 sets = shingle_sets(piece.column("text").to_pylist(), seed)
                 keys = [set_key(s) if len(s) else (0, 0) for s in sets]
                 n = [len(s) for s in sets]
