@@ -1,0 +1,43 @@
+import re
+
+from tracewright.llm import pii
+
+
+def test_surrogates(spark):
+    rows = [
+        (1, "Write to Jo.Doe@Mail.example.com or jo.doe@mail.example.com, call +1 (487) 555-7209 or +1 487 555 7209."),
+        (2, "4845168114407329 and 4845-1681-1440-7329 at 97.51.17.173; token = \"04dbebab91ab85687d33eeaaf9ac699e1188f962\" x"),
+        (3, "Mr. John Smith met Mrs Ann Lee and Mr John Smith; Госпожа Вера Белова."),
+        (4, "nothing here, 12 of 345."), (5, None), (6, ""), (7, "487-55-7209"), (7, "487-55-7209"), (None, "a@b.org " * 3000),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS m_id", "9 AS n_entities")
+    got = pii.replace_entities(docs).collect()
+    assert len(got) == len(rows) and got[0].asDict().keys() == {"doc_id", "text", "m_id", "n_entities"}
+    by = {r.doc_id: r for r in got}
+    for (i, t), n in zip(rows, (4, 4, 4, 0, 0, 0, 1, 1, 3000), strict=True):
+        assert by[i].n_entities == n
+        if t and n:
+            originals = re.findall(r"[\w.]+@[\w.]+|\d{7,}|John Smith|Ann Lee|Вера Белова", t)
+            assert not any(x in by[i].text for x in originals)
+        else:
+            assert by[i].text == t
+    a, b = re.findall(r"\S+@\S+?(?=[, ])", by[1].text)
+    assert a == b and a.endswith("@example.com")
+    phones = re.findall(r"\+[\d ()\-]+\d", by[1].text)
+    assert re.fullmatch(r"\+1 \(\d{3}\) \d{3}-\d{4}", phones[0]) and re.sub(r"\D", "", phones[0]) == re.sub(r"\D", "", phones[1])
+    plain, dashed = re.findall(r"\b\d{4}-?\d{4}-?\d{4}-?\d{4}\b", by[2].text)
+    assert plain == dashed.replace("-", "") and plain != "4845168114407329"
+    assert re.search(r'token = "[0-9a-f]{40}"', by[2].text) and all(int(x) < 256 for x in re.search(r"at (\S+);", by[2].text)[1].split("."))
+    people = re.findall(r"(Mr|Mrs|Госпожа) (\S+) (\S+?)(?=[ ;.])", by[3].text)
+    assert people[0] == people[2] and people[0][1] in pii.NAMES["m", "latin"] and people[1][1] in pii.NAMES["f", "latin"] and people[3][1] in pii.NAMES["f", "cyrillic"]
+    assert pii.replace_entities(docs.limit(0)).count() == 0
+
+
+def test_distinct_entities_stay_distinct(spark):
+    titles = [f"Mr {chr(65 + i // 26)}{chr(97 + i % 26)}x Young" for i in range(400)]
+    ssn = [f"{i:03d}-00-0000" for i in range(500)]
+    docs = spark.createDataFrame(list(enumerate(titles + ssn)), "doc_id long, text string")
+    out = [r.text for r in pii.replace_entities(docs).collect()]
+    assert len(set(out)) == len(out) and not set(out) & set(titles + ssn)
+    again = [r.text for r in pii.replace_entities(docs, "another key").collect()]
+    assert sum(x == y for x, y in zip(out, again, strict=True)) < 40

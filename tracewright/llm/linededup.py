@@ -72,20 +72,20 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             salted = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
             hits = lines.withColumn("salt", F.pmod(F.xxhash64("doc_id", "pos"), F.lit(SALTS)).cast("int")).join(salted, [*LINE, "salt"])
         gone = hits.where(F.col("first_id").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("first_id")))
-        gone = gone.groupBy(F.col("doc_id").alias("g_id"), F.col("text_hash").alias("g_hash")).agg(F.collect_set("pos").alias("g_pos"))
+        gone = gone.groupBy(F.col("doc_id").alias("__g_id"), F.col("text_hash").alias("__g_hash")).agg(F.collect_set("pos").alias("__g_pos"))
         gone = scratch.keep(gone, "removed")
-    count, positions = gone.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("g_pos")), F.lit(0))).first()
+    count, positions = gone.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("__g_pos")), F.lit(0))).first()
     if count <= BROADCAST_ROWS and positions <= BROADCAST_POSITIONS:
         gone = F.broadcast(gone)
     rest = docs.drop("n_lines", "n_removed")
-    joined = rest.withColumn("g_own", F.xxhash64(F.col(text_col))).join(gone, rest[id_col].eqNullSafe(F.col("g_id")) & (F.col("g_own") == F.col("g_hash")), "left")
-    kept = F.array_join(F.filter(F.split(F.col(text_col), "\n"), lambda _, i: ~F.array_contains("g_pos", i)), "\n")
-    text = F.when(F.col("g_pos").isNull(), F.col(text_col)).otherwise(kept)
+    joined = rest.withColumn("__g_own", F.xxhash64(F.col(text_col))).join(gone, rest[id_col].eqNullSafe(F.col("__g_id")) & (F.col("__g_own") == F.col("__g_hash")), "left")
+    kept = F.array_join(F.filter(F.split(F.col(text_col), "\n"), lambda _, i: ~F.array_contains("__g_pos", i)), "\n")
+    text = F.when(F.col("__g_pos").isNull(), F.col(text_col)).otherwise(kept)
     n_lines = F.coalesce(F.size(F.split(F.col(text_col), "\n")), F.lit(0))
     n_lines = F.when(F.col(text_col).isNull(), 0).otherwise(n_lines).cast("long")
     return joined.select(
         *[text.alias(c) if c == text_col else F.col(c) for c in rest.columns],
-        n_lines.alias("n_lines"), F.when(F.col("g_pos").isNull(), 0).otherwise(F.size("g_pos")).cast("long").alias("n_removed"),
+        n_lines.alias("n_lines"), F.when(F.col("__g_pos").isNull(), 0).otherwise(F.size("__g_pos")).cast("long").alias("n_removed"),
     )
 
 

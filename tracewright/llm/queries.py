@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewright.llm import bpe, chat, decontam, linededup, media, ngramjoin, sharding, toxicity
+from tracewright.llm import bpe, chat, decontam, linededup, lm, media, ngramjoin, pii, sharding, toxicity
 from tracewright.llm.common import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,6 +42,14 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded.drop("ids")
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pii_query(load(spark, sf_dir, "documents"))
+
+
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.lm_query(load(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_query(load(spark, sf_dir, "conversations"))
 
@@ -54,6 +62,8 @@ QUERIES: dict[str, Query] = {
     "op5_ngram_join": op5_ngram_join,
     "op6_media": op6_media,
     "op7_byte_bpe": op7_byte_bpe,
+    "op8_pii": op8_pii,
+    "op9_lm_scoring": op9_lm_scoring,
     "op10_chat_formatting": op10_chat_formatting,
 }
 

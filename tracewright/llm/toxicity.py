@@ -155,6 +155,17 @@ def score_documents(docs: DataFrame, labels: DataFrame, usable=lambda i: F.lit(T
     return map_pieces(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")), kernel, f"doc_id {kind}, score double, predicted int")
 
 
+def with_scores(docs: DataFrame, labels: DataFrame, score_col: str, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
+    """All columns of ``docs`` and the score, learnt from every label."""
+    model = fit(training_rows(docs, labels, lambda i: F.lit(True), id_col, text_col, label_col))
+
+    def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return batch.append_column(score_col, pa.array(model.score(batch.column(text_col).to_pylist())))
+
+    rest = docs.drop(score_col)
+    return map_pieces(rest, kernel, rest.withColumn(score_col, F.lit(0.0)).schema, text_col)
+
+
 FOLDS, HELD_OUT = 3, 1
 
 
