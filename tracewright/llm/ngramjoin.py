@@ -44,11 +44,11 @@ SINGLES_BELOW = 64
 #: Tokens of a set's size for each subclass of class 2 and 3.
 PER_SUBCLASS = {2: 16, 3: 24}
 BYTES_EACH = 4 << 20
-PIVOT_ROUNDS = 2
+PIVOT_ROUNDS = 3
 SALTS = 8
 
 #: What the overlap bound needs of a set: its number of shared tokens and their parity bitmap.
-BOUNDS = ["s", "b0", "b1", "b2", "b3"]
+BOUNDS = ["s", *[f"b{i}" for i in range(8)]]
 PACKED = "part int, kind int, doc_id {id}, key long, check long, n int, keys binary, counts binary, tokens binary, frequencies binary"
 
 
@@ -174,7 +174,7 @@ def _assemble(parts: int):
         for i, key in enumerate(names.tolist()):
             a, b = ends[i], ends[i + 1]
             if 100 * (b - a) >= THRESHOLD * size[key]:
-                parity = np.packbits(np.bincount((tokens[a:b] >> np.uint64(13) & np.uint64(255)).astype(np.int64), minlength=256).astype(np.uint8) & 1)
+                parity = np.packbits(np.bincount((tokens[a:b] >> np.uint64(13) & np.uint64(511)).astype(np.int64), minlength=512).astype(np.uint8) & 1)
                 rows.append((key, size[key], tokens[a:b].astype(np.int64), frequencies[a:b].astype(np.int64), b - a, *parity.view(np.int64).tolist()))
             if rows and (len(rows) == 2000 or i == len(names) - 1):
                 yield _sets(rows)
@@ -188,7 +188,7 @@ def _assemble(parts: int):
 def _sets(rows: list[tuple]) -> pa.RecordBatch:
     bounds = np.concatenate([[0], np.cumsum([len(r[2]) for r in rows])]).astype(np.int32)
     lists = [pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate([r[c] for r in rows]))) for c in (2, 3)]
-    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), *lists, *[pa.array([r[c] for r in rows], pa.int64()) for c in range(4, 9)]], ["key", "n", "tokens", "frequencies", *BOUNDS])
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), *lists, *[pa.array([r[c] for r in rows], pa.int64()) for c in range(4, 4 + len(BOUNDS))]], ["key", "n", "tokens", "frequencies", *BOUNDS])
 
 
 def token_class(frequency: np.ndarray) -> np.ndarray:
@@ -287,7 +287,10 @@ def set_components(sets: DataFrame, scratch: Scratch) -> DataFrame:
         now = postings.join(known, "key")
         apart = now.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max(F.struct("share", *fields)).alias("p"), F.max(F.struct("label", "key", "n", *BOUNDS)).alias("q")).where("lo != hi")
         if turn < PIVOT_ROUNDS:
-            end = "p" if turn == 0 else "q"
+            end = "q" if turn == 2 else "p"
+            if turn == 1:  # the best member outside the first pivot's component
+                outside = now.join(apart.select("sig", F.col("p.label").alias("p_label")), "sig").where("label != p_label")
+                apart = outside.groupBy("sig").agg(F.max(F.struct("share", *fields)).alias("p"))
             other = apart.select("sig", *[F.col(f"{end}.{c}").alias(f"o_{c}") for c in fields])
             pairs = now.join(other, "sig").where((F.col("label") != F.col("o_label")) & _possible("o_")).select(F.col("o_key").alias("a"), F.col("key").alias("b"))
         else:  # whatever is still apart, pair by pair
@@ -328,7 +331,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if not clash:
             names = held.select(F.pmod("key", F.lit(parts)).cast("int").alias("part"), F.lit(1).alias("kind"), "key", "n", *[F.lit(None).cast("binary").alias(c) for c in ("keys", "counts", "tokens", "frequencies")])
             shared = counted.where("kind = 0").select("part", "kind", F.lit(None).cast("long").alias("key"), F.lit(None).cast("int").alias("n"), "keys", "counts", "tokens", "frequencies")
-            sets = shared.unionByName(names).repartitionById(parts, "part").mapInArrow(_assemble(parts), "key long, n int, tokens array<long>, frequencies array<long>, s long, b0 long, b1 long, b2 long, b3 long")
+            sets = shared.unionByName(names).repartitionById(parts, "part").mapInArrow(_assemble(parts), "key long, n int, tokens array<long>, frequencies array<long>, " + ", ".join(f"{c} long" for c in BOUNDS))
             sets = scratch.write(sets, "sets")
             scratch.drop()
             labels = set_components(sets, scratch)
