@@ -24,7 +24,7 @@ from tracewright.llm.common import id_hash_mod
 LENGTHS = (3, 4, 5, 6)
 BITS = 20
 #: Bounds of the training sample: rows, chosen by a hash of their id, and bytes of their texts.
-MAX_ROWS, MAX_BYTES = 12_000, 60_000_000
+MAX_ROWS, MAX_BYTES = 5_000, 20_000_000
 MAX_FEATURES = 4000
 THRESHOLD = 0.7
 _SPACE = re.compile(rb"[\x09-\x0d\x20]+")
@@ -77,7 +77,7 @@ class Model:
 def fit(batches: list[pa.RecordBatch], steps: int = 120, ridge: float = 2e-4, smoothing: float = 0.5) -> Model:
     """Batches of (text, toxic). With one label only, or no rows, every score is the smoothed share of label 1."""
     total, seen = np.zeros((2, 1 << BITS)), np.zeros(2)
-    parts = [p for b in batches for p in pieces(b)]
+    parts = [p for b in batches for p in pieces(b, limit=1 << 20)]
     for p in parts:
         y = np.array(p.column("toxic").to_pylist(), np.int64)
         row, slot = grams(p.column("text").to_pylist())
