@@ -82,7 +82,7 @@ def test_decontamination_equals_brute_force(spark):
     assert decontam.contamination(docs.limit(0), bench).count() == 0
     assert {r.n_hit for r in decontam.contamination(docs, bench.limit(0)).collect()} == {0}
     with Scratch(spark, "test") as scratch:
-        near = decontam.proximity_matches(decontam.build_index(docs, bench, scratch), 3, 10)
+        near = decontam.proximity_matches(decontam.build_index(docs, bench, scratch), 3, 40)
         assert near.where("doc_id = 3 AND item_id = 0").count() > 0
 
 
