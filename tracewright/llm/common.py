@@ -3,7 +3,9 @@ in the folder that all executors share, and size estimates."""
 
 from __future__ import annotations
 
+import ctypes
 import re
+import sys
 import tempfile
 import uuid
 
@@ -28,6 +30,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def give_back_memory() -> None:
+    """Returns freed memory of this process to the system, where the C library can: the allocator keeps
+    it otherwise for as long as the driver lives."""
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None) if sys.platform == "linux" else None
+    if trim is not None:
+        trim(0)
+
+
 class Scratch:
     """Tables written below the shared folder, so that lineage is cut without depending on any
     executor.  ``drop`` removes one; leaving the ``with`` block removes all that ``keep`` did

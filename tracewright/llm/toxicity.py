@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewright.llm.arrow import map_pieces, pieces
-from tracewright.llm.common import id_hash_mod
+from tracewright.llm.common import give_back_memory, id_hash_mod
 
 LENGTHS = (3, 4, 5, 6)
 BITS = 20
@@ -146,6 +146,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, usable=lambda i: F.lit(T
     scores are the prior; an empty table gives an empty result; other columns are ignored.
     """
     model = fit(training_rows(docs, labels, usable, id_col, text_col, label_col))
+    give_back_memory()
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
         score = model.score(batch.column("text").to_pylist())
@@ -158,6 +159,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, usable=lambda i: F.lit(T
 def with_scores(docs: DataFrame, labels: DataFrame, score_col: str, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
     """All columns of ``docs`` and the score, learnt from every label."""
     model = fit(training_rows(docs, labels, lambda i: F.lit(True), id_col, text_col, label_col))
+    give_back_memory()
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
         return batch.append_column(score_col, pa.array(model.score(batch.column(text_col).to_pylist())))
