@@ -8,8 +8,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-#: Bytes of text that a kernel sees at once; a single longer text is a piece of its own.
-PIECE_BYTES = 2 << 20
+from tracewright.llm.common import give_back_memory
+
+#: Bytes of text that a kernel sees at once; a single longer text is a piece of its own. Kernels need
+#: up to a hundred bytes of working memory for each byte of text.
+PIECE_BYTES = 512 << 10
+
+Run = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
 
 def pieces(batch: pa.RecordBatch, text: str = "text", limit: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -25,6 +30,19 @@ def pieces(batch: pa.RecordBatch, text: str = "text", limit: int = PIECE_BYTES)
         yield batch.slice(start)
 
 
+def trimmed(run: Run) -> Run:
+    """The same, returning freed memory when a task ends: the worker stays alive for later tasks, and
+    beside stages that need no Python."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back_memory()
+
+    return wrapped
+
+
 def map_pieces(df: DataFrame, kernel: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, text: str = "text") -> DataFrame:
     """``mapInArrow`` with a kernel that is called once per piece; it may return None for no rows."""
 
@@ -35,4 +53,4 @@ def map_pieces(df: DataFrame, kernel: Callable[[pa.RecordBatch], pa.RecordBatch
                 if out is not None and out.num_rows:
                     yield out
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(trimmed(run), schema)

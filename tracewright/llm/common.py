@@ -9,6 +9,7 @@ import sys
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,8 +32,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def give_back_memory() -> None:
-    """Returns freed memory of this process to the system, where the C library can: the allocator keeps
-    it otherwise for as long as the driver lives."""
+    """Returns freed memory of this process to the system, where the C library can: the allocators keep
+    it otherwise for as long as the process lives."""
+    pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None) if sys.platform == "linux" else None
     if trim is not None:
         trim(0)

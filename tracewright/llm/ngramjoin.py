@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.arrow import pieces
+from tracewright.llm.arrow import pieces, trimmed
 from tracewright.llm.common import Scratch, partitions_for
 from tracewright.llm.components import components
 from tracewright.llm.shingles import mix, shingle_sets
@@ -273,7 +273,7 @@ def _possible(prefix: str) -> Column:
 def set_components(sets: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, label) of the similarity components over set keys; nodes that are labels are left out."""
     spark = sets.sparkSession
-    index = sets.select("key", "n", "tokens", "frequencies").mapInArrow(_index, "sig long, key long")
+    index = sets.select("key", "n", "tokens", "frequencies").mapInArrow(trimmed(_index), "sig long, key long")
     index = scratch.write(index, "index")
     often = index.groupBy("sig").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("sig")
     postings = scratch.write(index.join(often, "sig", "left_semi"), "postings")
@@ -322,8 +322,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         id_type = rows.limit(0).toArrow().schema.field("doc_id").type
         text = PACKED.format(id=kind)
         schema = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("doc_id", id_type), ("key", pa.int64()), ("check", pa.int64()), ("n", pa.int32()), *[(c, pa.binary()) for c in ("keys", "counts", "tokens", "frequencies")]])
-        packed = rows.mapInArrow(_pack(schema, id_type, parts, seed), text).repartitionById(parts, "part")
-        counted = scratch.write(packed.mapInArrow(_count(schema, parts), text), "counted")
+        packed = rows.mapInArrow(trimmed(_pack(schema, id_type, parts, seed)), text).repartitionById(parts, "part")
+        counted = scratch.write(packed.mapInArrow(trimmed(_count(schema, parts)), text), "counted")
         scratch.drop()
         members = counted.where("kind = 1").select("doc_id", "key", "check", "n")
         held = scratch.write(members.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("least"), F.max("n").alias("n"), F.min("check").alias("c1"), F.max("check").alias("c2")), "held")
@@ -331,7 +331,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if not clash:
             names = held.select(F.pmod("key", F.lit(parts)).cast("int").alias("part"), F.lit(1).alias("kind"), "key", "n", *[F.lit(None).cast("binary").alias(c) for c in ("keys", "counts", "tokens", "frequencies")])
             shared = counted.where("kind = 0").select("part", "kind", F.lit(None).cast("long").alias("key"), F.lit(None).cast("int").alias("n"), "keys", "counts", "tokens", "frequencies")
-            sets = shared.unionByName(names).repartitionById(parts, "part").mapInArrow(_assemble(parts), "key long, n int, tokens array<long>, frequencies array<long>, " + ", ".join(f"{c} long" for c in BOUNDS))
+            sets = shared.unionByName(names).repartitionById(parts, "part").mapInArrow(trimmed(_assemble(parts)), "key long, n int, tokens array<long>, frequencies array<long>, " + ", ".join(f"{c} long" for c in BOUNDS))
             sets = scratch.write(sets, "sets")
             scratch.drop()
             labels = set_components(sets, scratch)
