@@ -278,26 +278,29 @@ def set_components(sets: DataFrame, scratch: Scratch) -> DataFrame:
     often = index.groupBy("sig").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("sig")
     postings = scratch.write(index.join(often, "sig", "left_semi"), "postings")
     scratch.drop("index")
-    own = sets.select("key", "n", *BOUNDS, (F.col("s") * 1000 / F.col("n")).cast("int").alias("share"))
+    bounds = sets.select("key", "n", *BOUNDS)
+    own = sets.select("key", (F.col("s") * 1000 / F.col("n")).cast("int").alias("share"))
     labels = spark.createDataFrame([], "node long, label long")
     links = spark.createDataFrame([], "a long, b long")
-    fields = ["key", "n", *BOUNDS, "label"]
     for turn in range(PIVOT_ROUNDS + 1):
         known = own.join(labels, own["key"] == labels["node"], "left").withColumn("label", F.coalesce("label", "key")).drop("node")
         now = postings.join(known, "key")
-        apart = now.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max(F.struct("share", *fields)).alias("p"), F.max(F.struct("label", "key", "n", *BOUNDS)).alias("q")).where("lo != hi")
+        apart = now.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max(F.struct("share", "key", "label")).alias("p"), F.max(F.struct("label", "key")).alias("q")).where("lo != hi")
         if turn < PIVOT_ROUNDS:
             end = "q" if turn == 2 else "p"
             if turn == 1:  # the best member outside the first pivot's component
                 outside = now.join(apart.select("sig", F.col("p.label").alias("p_label")), "sig").where("label != p_label")
-                apart = outside.groupBy("sig").agg(F.max(F.struct("share", *fields)).alias("p"))
-            other = apart.select("sig", *[F.col(f"{end}.{c}").alias(f"o_{c}") for c in fields])
-            pairs = now.join(other, "sig").where((F.col("label") != F.col("o_label")) & _possible("o_")).select(F.col("o_key").alias("a"), F.col("key").alias("b"))
+                apart = outside.groupBy("sig").agg(F.max(F.struct("share", "key", "label")).alias("p"))
+            other = apart.select("sig", *[F.col(f"{end}.{c}").alias(f"o_{c}") for c in ("key", "label")])
+            # at most one pair a posting; the bounds are looked up once for each distinct pair
+            pairs = now.join(other, "sig").where(F.col("label") != F.col("o_label")).select("o_key", "key").distinct()
+            pairs = pairs.join(bounds, "key").join(bounds.select(*[F.col(c).alias(f"o_{c}") for c in bounds.columns]), "o_key").where(_possible("o_"))
+            pairs = pairs.select(F.col("o_key").alias("a"), F.col("key").alias("b"))
         else:  # whatever is still apart, pair by pair
-            left = now.join(apart.select("sig"), "sig", "left_semi").select("sig", *fields)
-            other = left.select("sig", *[F.col(c).alias(f"o_{c}") for c in fields])
-            pairs = left.join(other, "sig").where((F.col("key") < F.col("o_key")) & (F.col("label") != F.col("o_label")) & _possible("o_")).select(F.col("key").alias("a"), F.col("o_key").alias("b"))
-        pairs = scratch.write(pairs.distinct(), f"pairs-{turn}")
+            left = now.join(apart.select("sig"), "sig", "left_semi").join(bounds, "key").select("sig", "label", *bounds.columns)
+            other = left.select("sig", *[F.col(c).alias(f"o_{c}") for c in ("label", *bounds.columns)])
+            pairs = left.join(other, "sig").where((F.col("key") < F.col("o_key")) & (F.col("label") != F.col("o_label")) & _possible("o_")).select(F.col("key").alias("a"), F.col("o_key").alias("b")).distinct()
+        pairs = scratch.write(pairs, f"pairs-{turn}")
         found = scratch.write(verify(pairs, sets), f"links-{turn}")
         scratch.drop()
         if found.isEmpty():
