@@ -86,6 +86,32 @@ def test_decontamination_equals_brute_force(spark):
         assert near.where("doc_id = 3 AND item_id = 0").count() > 0
 
 
+def test_items_that_begin_with_separators_keep_all_windows(spark):
+    def brute(texts, items):
+        split = lambda t: re.findall(r"[A-Za-z0-9]+", t.lower())
+        out = []
+        for i, t in enumerate(texts):
+            w, hit, names = split(t), set(), set()
+            for j, text in enumerate(items):
+                q = split(text)
+                n = min(13, len(q))
+                for s in range(len(q) - n + 1) if q else ():
+                    for a in range(len(w) - n + 1):
+                        if w[a : a + n] == q[s : s + n]:
+                            hit |= set(range(a, a + n))
+                            names.add(j)
+            out.append((i, len(hit), len(names)))
+        return out
+
+    items = [before + " ".join(f"i{k}w{j}" for j in range(n)) + after for k, (before, n, after) in enumerate((("\"", 14, "\""), ("# ", 13, ""), ("- (", 20, ")"), (" ", 5, "."), ("[", 1, "]"), ("", 14, "")))]
+    inner = [re.findall(r"[a-z0-9]+", t) for t in items]
+    texts = [*items, *["x " + " ".join(w[-13:]) for w in inner], *["-x " + " ".join(w[:13]) + " y" for w in inner], *[" ".join(w[-12:]) for w in inner], " ".join(inner[2][3:17])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = decontam.contamination(docs, bench).select("doc_id", "n_hit", "n_items").collect()
+    assert sorted(map(tuple, got)) == brute(texts, items)
+
+
 def test_line_dedup_equals_brute_force(spark):
     rnd = random.Random(3)
     common = [f"common line number {k} here" for k in range(6)]

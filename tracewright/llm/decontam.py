@@ -66,7 +66,9 @@ def build_index(docs: DataFrame, items: DataFrame, scratch: Scratch, id_col: str
     repeated rows share their postings, and null ids are keys like others.
     """
     item_words = words(items.select(F.col(item_col).alias("item_id"), F.col(item_text).alias("t")).distinct().withColumn("item", F.xxhash64("item_id", "t")), ["item", "item_id"], "t")
-    item_words = scratch.write(item_words.withColumn("length", F.count(F.lit(1)).over(Window.partitionBy("item"))), "item_words")
+    # windows count an item's words from 0, whether or not it begins with a separator
+    item = Window.partitionBy("item")
+    item_words = scratch.write(item_words.withColumn("length", F.count(F.lit(1)).over(item)).withColumn("pos", F.col("pos") - F.min("pos").over(item)), "item_words")
     vocabulary = item_words.select("word").distinct().withColumn("term", F.xxhash64("word"))
     vocabulary = scratch.write(vocabulary.coalesce(1), "vocabulary")
     n_terms, n_words = vocabulary.count(), item_words.count()
