@@ -41,3 +41,11 @@ def test_distinct_entities_stay_distinct(spark):
     assert len(set(out)) == len(out) and not set(out) & set(titles + ssn)
     again = [r.text for r in pii.replace_entities(docs, "another key").collect()]
     assert sum(x == y for x, y in zip(out, again, strict=True)) < 40
+
+
+def test_more_people_than_names_in_the_pools(spark):
+    letters = "абвгдежзик"
+    people = [f"Господин И{letters[i // 100]}{letters[i // 10 % 10]}{letters[i % 10]}" for i in range(800)]
+    docs = spark.createDataFrame(list(enumerate(people)), "doc_id long, text string")
+    out = [r.text for r in pii.replace_entities(docs).collect()]
+    assert len(set(out)) == len(people) and not set(out) & set(people)

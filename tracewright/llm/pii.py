@@ -83,7 +83,10 @@ def draw(key: str, kind: Column, name: Column, attempt: Column) -> Column:
     person = None
     for (gender, script), pool in NAMES.items():
         mine = (female if gender == "f" else ~female) & (cyrillic if script == "cyrillic" else ~cyrillic)
-        family = F.concat(_pick(FAMILIES[script], _number(d, 9)), F.when(attempt > 2, F.concat(F.lit("-"), _pick(FAMILIES[script], _number(d, 13)))).otherwise(F.lit("")))
+        # every further attempt adds a part, so the names never run out
+        part = lambda i: F.concat(F.lit("-"), _pick(FAMILIES[script], _number(_digest(key, kind, name, attempt.cast("string"), i.cast("string")), 1)))  # noqa: B023, E731
+        parts = F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(attempt - 2, F.lit(1))), part), "")
+        family = F.concat(_pick(FAMILIES[script], _number(d, 9)), F.when(attempt > 2, parts).otherwise(F.lit("")))
         made = F.concat_ws(" ", title, _pick(pool, _number(d, 5)), family)
         person = F.when(mine, made) if person is None else person.when(mine, made)
     return F.when(kind == "ip", ip).when(kind.isin("card", "phone", "ssn"), numbers).when(kind == "email", mail).when(kind == "secret", secret).otherwise(person)
