@@ -7,7 +7,7 @@ last return the columns of ``documents``.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracewright.llm import bpe, decontam, linededup, ngramjoin, toxicity
@@ -29,13 +29,28 @@ def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest id of each class of near duplicates, once. Rows without an id stay
-    where their class has no other."""
+    where their class has no other, one for each class; rows without an id and without words all stay."""
+    if _repeats(docs):
+        return _one_of_each_class(spark, docs)
     classes = ngramjoin.near_duplicates(docs)
     keep = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("k_id")).distinct()
     with Scratch(spark, "near-duplicates") as scratch:
         keep = scratch.keep(keep, "kept")
-    kept = docs.join(keep, docs["doc_id"].eqNullSafe(keep["k_id"]), "left_semi")
-    return kept.dropDuplicates(["doc_id"]) if _repeats(docs) else kept
+    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["k_id"]), "left_semi")
+
+
+def _one_of_each_class(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """As above where ids repeat: rows are told apart by id and text hash, and a class is named by the
+    least of its members, those with an id before those without."""
+    own = docs.withColumn("__own", F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash")))
+    classes = ngramjoin.near_duplicates(own, "__own").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    keep = classes.select(F.col("doc_id.id").alias("k_id"), F.col("doc_id.hash").alias("k_hash"), (F.col("doc_id.unnamed") & (F.col("n_shingles") == 0)).alias("k_alone")).distinct()
+    with Scratch(spark, "near-duplicates") as scratch:
+        keep = scratch.keep(keep, "kept")
+    kept = docs.join(keep, docs["doc_id"].eqNullSafe(keep["k_id"]) & (F.xxhash64(docs["text"]) == keep["k_hash"]))
+    first = F.row_number().over(Window.partitionBy("k_id", "k_hash").orderBy(*docs.columns))
+    once = kept.where("NOT k_alone").withColumn("__first", first).where("__first = 1")
+    return once.select(*docs.columns).unionByName(kept.where("k_alone").select(*docs.columns))
 
 
 def _repeats(docs: DataFrame) -> bool:

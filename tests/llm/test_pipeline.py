@@ -14,3 +14,16 @@ def test_stages(spark):
         seen = docs.count()
     last = corpus_pipeline.run(spark, SF)
     assert last.count() == seen and {"doc_id", "ids", "n_tokens"} <= set(last.columns)
+
+
+def test_repeated_and_null_ids_keep_one_row_of_each_class(spark):
+    text = lambda k: " ".join(f"t{k}w{j}" for j in range(30))
+    rows = [
+        (1, text(1), "b"), (1, text(1), "a"), (1, text(2), "a"), (2, text(2) + " end", "a"), (3, text(3), "a"),
+        (None, text(3), "a"), (None, text(4), "b"), (None, text(4), "a"), (None, text(5), "a"), (None, "", "a"), (None, "", "a"), (None, None, "a"), (4, "", "a"), (4, "", "b"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = [(1, text(1), "a"), (1, text(2), "a"), (3, text(3), "a"), (None, text(4), "a"), (None, text(5), "a"), (None, "", "a"), (None, "", "a"), (None, None, "a"), (4, "", "a")]
+    got = corpus_pipeline.drop_near_duplicates(spark, docs, SF)
+    assert got.dtypes == docs.dtypes
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)

@@ -322,7 +322,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     parts = partitions_for(docs.select(id_col, text_col), BYTES_EACH)
     with Scratch(docs.sparkSession, "ngram-join") as scratch:
         rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-        id_type = rows.limit(0).toArrow().schema.field("doc_id").type
+        id_type = docs.sparkSession.createDataFrame([], f"doc_id {kind}").toArrow().schema.field("doc_id").type
         text = PACKED.format(id=kind)
         schema = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("doc_id", id_type), ("key", pa.int64()), ("check", pa.int64()), ("n", pa.int32()), *[(c, pa.binary()) for c in ("keys", "counts", "tokens", "frequencies")]])
         packed = rows.mapInArrow(trimmed(_pack(schema, id_type, parts, seed)), text).repartitionById(parts, "part")
