@@ -50,16 +50,23 @@ def made(seed):
     return list(enumerate(rows))
 
 
-def test_equals_brute_force(spark, monkeypatch):
-    for seed, classes in ((1, (16, 256)), (2, (2, 6)), (3, (1, 1))):
-        monkeypatch.setattr(ngramjoin, "CLASS_1", classes[0])
-        monkeypatch.setattr(ngramjoin, "CLASS_2", classes[1])
+def test_equals_brute_force(spark):
+    for seed, classes, local_hot in ((1, (16, 256), 64), (2, (2, 6), 3), (3, (1, 1), 2)):
         rows = made(seed)
         docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS key", "2 AS n", "'x' AS part").repartition(3)
-        got = sorted(tuple(r) for r in ngramjoin.near_duplicates(docs).collect())
+        got = sorted(tuple(r) for r in ngramjoin.near_duplicates(docs, classes=classes, local_hot=local_hot).collect())
         assert got == brute(rows)
 
 
+def test_pairs_across_dissimilar_sets_of_one_group(spark):
+    """Short texts over a few words share most shingles, so groups stay apart until all pairs are tested."""
+    rnd = random.Random(5)
+    rows = list(enumerate(" ".join(rnd.choice("ab") for _ in range(rnd.randrange(9, 60))) for _ in range(150)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for classes, local_hot in (((16, 256), 64), ((2, 4), 2)):
+        assert sorted(tuple(r) for r in ngramjoin.near_duplicates(docs, classes=classes, local_hot=local_hot).collect()) == brute(rows)
+
+
 def test_combination_prefixes_miss_no_pair():
     rng = np.random.default_rng(4)
     for _ in range(300):

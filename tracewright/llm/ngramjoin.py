@@ -9,15 +9,17 @@ of k tokens are indexed: single tokens of the rare class, pairs and triples of t
 
 Tokens held by one set only come first and can match nothing, so a set whose prefix they fill is
 not indexed at all.  Counting goes through hash buckets: tokens travel as packed arrays of distinct
-sets, each bucket's task finds the tokens of two sets or more and returns these alone.
+sets, each bucket's task finds the tokens of two sets or more and returns these alone.  A token that
+many sets of one chunk hold is hot: its owners pass the bucket by, so a bucket gathers at most
+``LOCAL_HOT`` owners of a token from each chunk, and hot tokens come last in the order of all sets.
 
 Sharing a combination makes a candidate, and every link is verified on the whole sets.  Candidates
-are first tested against one member of their group, one with few tokens of its own; members that
-this joins need no further test among themselves, and all pairs across what is still apart are
-tested after that, so no link between components is lost and copies are never expanded into all
-pairs.  Before a pair is formed, an upper bound of its overlap must reach the threshold: tokens that
-only one set holds are never shared, and the parity bitmaps of two sets' shared tokens differ in at
-most as many bits as the sets differ in tokens.
+are first tested against one member of their group; members that this joins need no further test
+among themselves, and postings of groups that are one component go before the next turn.  Pairs
+across what is still apart, of sizes that can link, are tested at last, so no link between components
+is lost and copies are never expanded into all pairs.  Before a pair is verified, an upper bound of its
+overlap must reach the threshold: tokens that only one set holds are never shared, and the parity
+bitmaps of two sets' shared tokens differ in at most as many bits as the sets differ in tokens.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewright.llm.arrow import pieces, trimmed
@@ -39,13 +41,19 @@ from tracewright.llm.shingles import mix, shingle_sets
 THRESHOLD = 75
 #: Largest number of sets holding a token of class 1 and of class 2.
 CLASS_1, CLASS_2 = 16, 256
-#: Sets of fewer tokens index single tokens only, since subclasses would leave them too few units.
-SINGLES_BELOW = 64
+#: Sets of fewer tokens index single tokens only: subclasses would leave them too few units.
+SINGLES_BELOW = 8
 #: Tokens of a set's size for each subclass of class 2 and 3.
 PER_SUBCLASS = {2: 16, 3: 24}
 BYTES_EACH = 4 << 20
-PIVOT_ROUNDS = 3
+#: The share of signatures in the first turn is one in so many; most turns with pivots; pairs a
+#: posting below which all are tested at once.
+SAMPLED, PIVOT_ROUNDS, PAIRS_PER_POSTING = 16, 1, 8
 SALTS = 8
+#: Tokens of the sets that a task packs at once, sets it remembers having sent, and sets of a chunk that make a token hot.
+CHUNK_TOKENS, REMEMBERED_SETS, LOCAL_HOT = 1_000_000, 200_000, 64
+#: The frequency of hot tokens: above all counted ones.
+HOT = 2**32 - 1
 
 #: What the overlap bound needs of a set: its number of shared tokens and their parity bitmap.
 BOUNDS = ["s", *[f"b{i}" for i in range(8)]]
@@ -64,68 +72,134 @@ def _rows(columns: dict[str, list], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns.get(f.name, [None] * n), f.type) for f in schema], schema=schema)
 
 
-def _pack(schema: pa.Schema, id_type: pa.DataType, parts: int, seed: int):
-    """Stage 1: sets to packed rows, one per bucket, and one membership row per document."""
+def _rows_of_sets(tokens: np.ndarray, owner: np.ndarray, target: np.ndarray, names: np.ndarray, kind: int) -> dict[str, list]:
+    """Packed rows, one per target, of tokens and the sets (places in ``names``) that hold them."""
+    order = np.argsort(target, kind="stable")
+    tokens, owner, target = tokens[order], owner[order], target[order]
+    out: dict[str, list] = {"part": [], "kind": [], "keys": [], "counts": [], "tokens": []}
+    cuts = np.flatnonzero(np.diff(target.astype(np.int64), prepend=-1))
+    for a, b in zip(cuts, [*cuts[1:], len(target)], strict=True):
+        own = owner[a:b]
+        at = np.flatnonzero(np.diff(own, prepend=-1))
+        out["part"].append(int(target[a]))
+        out["kind"].append(kind)
+        out["keys"].append(names[own[at]].tobytes())
+        out["counts"].append(np.diff(at, append=len(own)).astype(np.uint16 if len(own) < 1 << 16 else np.uint32).tobytes())
+        out["tokens"].append(tokens[a:b].tobytes())
+    return out
+
+
+def _counts(raw: bytes, n: int) -> np.ndarray:
+    """Tokens of each of ``n`` sets of a packed row, of whichever width they were written with."""
+    return np.frombuffer(raw, np.uint16 if len(raw) == 2 * n else np.uint32).astype(np.int64)
+
+
+def _pack(schema: pa.Schema, parts: int, seed: int, local_hot: int):
+    """Stage 1: sets to packed rows, one per bucket and chunk, and one membership row per document.
+
+    A task sends each of its distinct sets once. Tokens that ``local_hot`` sets of a chunk hold are
+    hot: the bucket is told so (kind 2), and their owners go past it to the sets' parts (kind 3, the
+    part in ``n``), so that no bucket gathers the owners of a token that many sets hold."""
+
+    def send(sets: list[np.ndarray], keys: list[int]) -> Iterator[pa.RecordBatch]:
+        tokens, names = np.concatenate(sets), np.array(keys, np.int64)
+        owner = np.repeat(np.arange(len(sets), dtype=np.int32), [len(x) for x in sets])
+        ordered = np.sort(tokens)
+        hot = np.unique(ordered[local_hot - 1 :][ordered[local_hot - 1 :] == ordered[: len(ordered) - local_hot + 1]]) if len(ordered) >= local_hot else ordered[:0]
+        del ordered
+        bucket_of = lambda t: ((t >> np.uint64(32)) % np.uint64(parts)).astype(np.uint32)
+        if len(hot):
+            is_hot = np.isin(tokens, hot)
+            past = _rows_of_sets(tokens[is_hot], owner[is_hot], (names % parts)[owner[is_hot]], names, 3)
+            past["n"], past["part"] = past["part"], [(i * 7919 + keys[0]) % parts for i in range(len(past["part"]))]
+            yield _rows(past, schema)
+            tokens, owner = tokens[~is_hot], owner[~is_hot]
+            at = bucket_of(hot)
+            flags = {"part": np.unique(at).tolist(), "kind": [], "tokens": []}
+            for p in flags["part"]:
+                flags["kind"].append(2)
+                flags["tokens"].append(hot[at == p].tobytes())
+            yield _rows(flags, schema)
+        if len(tokens):
+            yield _rows(_rows_of_sets(tokens, owner, bucket_of(tokens), names, 0), schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: set[int] = set()
+        held: list[np.ndarray] = []
+        names: list[int] = []
+        total = row = 0
         for batch in batches:
-            for piece in pieces(batch, limit=3 << 20):
+            for piece in pieces(batch, limit=1 << 20):
                 sets = shingle_sets(piece.column("text").to_pylist(), seed)
                 keys = [set_key(s) if len(s) else (0, 0) for s in sets]
                 n = [len(s) for s in sets]
-                yield _rows({"part": [i % parts for i in range(len(sets))], "kind": [1] * len(sets), "doc_id": piece.column("doc_id").to_pylist(), "key": [k[0] for k in keys], "check": [k[1] for k in keys], "n": n}, schema)
-                first = {k: i for i, k in reversed(list(enumerate(keys))) if n[i]}
-                if not first:
-                    continue
-                chosen = sorted(first.values())
-                tokens = np.concatenate([sets[i] for i in chosen])
-                owner = np.repeat(np.arange(len(chosen)), [n[i] for i in chosen])
-                bucket = ((tokens >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
-                tokens, owner, bucket = tokens[order], owner[order], bucket[order]
-                of_set = np.array([keys[i][0] for i in chosen], np.int64)
-                cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
-                out: dict[str, list] = {"part": [], "kind": [], "keys": [], "counts": [], "tokens": []}
-                for a, b in zip(cuts, [*cuts[1:], len(bucket)], strict=True):
-                    own = owner[a:b]
-                    at = np.flatnonzero(np.diff(own, prepend=-1))
-                    out["part"].append(int(bucket[a]))
-                    out["kind"].append(0)
-                    out["keys"].append(of_set[own[at]].tobytes())
-                    out["counts"].append(np.diff(at, append=len(own)).astype(np.uint32).tobytes())
-                    out["tokens"].append(tokens[a:b].tobytes())
-                yield _rows(out, schema)
+                yield _rows({"part": [(row + i) % parts for i in range(len(sets))], "kind": [1] * len(sets), "doc_id": piece.column("doc_id").to_pylist(), "key": [k[0] for k in keys], "check": [k[1] for k in keys], "n": n}, schema)
+                row += len(sets)
+                for s, (k, _) in zip(sets, keys, strict=True):
+                    if len(s) and k not in sent:
+                        sent.add(k)
+                        held.append(s)
+                        names.append(k)
+                        total += len(s)
+                if total >= CHUNK_TOKENS:
+                    yield from send(held, names)
+                    held, names, total = [], [], 0
+                    if len(sent) > REMEMBERED_SETS:
+                        sent.clear()
+        if held:
+            yield from send(held, names)
 
     return run
 
 
+def _unpack(held: dict[str, list[bytes]], *more: tuple[str, type]) -> tuple[np.ndarray, ...]:
+    """Keys, tokens each, tokens and further columns of packed rows laid end to end."""
+    counts = [_counts(c, len(k) // 8) for c, k in zip(held["counts"], held["keys"], strict=True)]
+    return np.frombuffer(b"".join(held["keys"]), np.int64), np.concatenate(counts), *[np.frombuffer(b"".join(held[k]), t) for k, t in (("tokens", np.uint64), *more)]
+
+
 def _count(schema: pa.Schema, parts: int):
     """Stage 2: within a bucket, tokens of two sets or more, packed again by the set's part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[bytes]] = {"keys": [], "counts": [], "tokens": []}
+        flags: list[bytes] = []
         for batch in batches:
-            kind = batch.column("kind").to_pylist()
-            members = batch.filter(pa.array([k == 1 for k in kind]))
+            kind = np.array(batch.column("kind").to_pylist())
+            members = batch.filter(pa.array(kind == 1))
             if members.num_rows:
                 yield members
+            past = batch.filter(pa.array(kind == 3))
+            if past.num_rows:
+                hot = [np.full(len(t) // 8, HOT, np.uint32).tobytes() for t in past.column("tokens").to_pylist()]
+                moved = {"part": past.column("n"), "kind": pa.array([0] * past.num_rows, pa.int32()), "n": pa.nulls(past.num_rows, pa.int32()), "frequencies": pa.array(hot, pa.binary())}
+                yield pa.RecordBatch.from_arrays([moved.get(f.name, past.column(f.name)) for f in schema], schema=schema)
+            flags += batch.filter(pa.array(kind == 2)).column("tokens").to_pylist()
+            own = batch.filter(pa.array(kind == 0))
             for k in held:
-                held[k] += [x for x in batch.column(k).to_pylist() if x is not None]
+                held[k] += own.column(k).to_pylist()
         if not held["keys"]:
             return
-        keys, counts, tokens = (np.frombuffer(b"".join(held[k]), t) for k, t in (("keys", np.int64), ("counts", np.uint32), ("tokens", np.uint64)))
+        keys, counts, tokens = _unpack(held)
         held.clear()
-        # the same set from another piece brings the same tokens
+        # the same set from another task brings the same tokens
         order = np.argsort(keys, kind="stable")
         fresh = np.zeros(len(keys), bool)
         fresh[order[np.diff(keys[order], prepend=keys[order[0]] - 1) != 0]] = True
+        hot = np.unique(np.frombuffer(b"".join(flags), np.uint64))
+        # but it may lack tokens there that are hot: those count from every task
         live = np.repeat(fresh, counts)
-        tokens, owner = tokens[live], np.repeat(np.arange(len(keys)), counts)[live]
+        if len(hot):
+            live |= np.isin(tokens, hot)
+        tokens, owner = tokens[live], np.repeat(np.arange(len(keys), dtype=np.int32), counts)[live]
         order = np.argsort(tokens, kind="stable")
         tokens, owner = tokens[order], owner[order]
         start = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]])) if len(tokens) else np.zeros(0, np.int64)
         size = np.diff(start, append=len(tokens))
-        frequency = np.repeat(size, size)
+        if len(hot):
+            size[np.isin(tokens[start], hot)] = HOT
+        run_of = np.diff(start, append=len(tokens))
+        frequency = np.repeat(np.minimum(size, HOT), run_of)
         shared = frequency > 1
         if not shared.any():
             return
@@ -133,24 +207,17 @@ def _count(schema: pa.Schema, parts: int):
         part = (keys % parts)[owner]
         order = np.lexsort((owner, part))
         tokens, owner, frequency, part = tokens[order], owner[order], frequency[order], part[order]
-        cuts = np.flatnonzero(np.diff(part, prepend=-1))
-        out: dict[str, list] = {"part": [], "kind": [], "keys": [], "counts": [], "tokens": [], "frequencies": []}
-        for a, b in zip(cuts, [*cuts[1:], len(part)], strict=True):
-            own = owner[a:b]
-            at = np.flatnonzero(np.diff(own, prepend=-1))
-            out["part"].append(int(part[a]))
-            out["kind"].append(0)
-            out["keys"].append(keys[own[at]].tobytes())
-            out["counts"].append(np.diff(at, append=len(own)).astype(np.uint32).tobytes())
-            out["tokens"].append(tokens[a:b].tobytes())
-            out["frequencies"].append(np.minimum(frequency[a:b], 2**32 - 1).astype(np.uint32).tobytes())
+        out = _rows_of_sets(tokens, owner, part, keys, 0)
+        ends = np.cumsum([len(t) // 8 for t in out["tokens"]])
+        out["frequencies"] = [f.astype(np.uint32).tobytes() for f in np.split(frequency, ends[:-1])]
         yield _rows(out, schema)
 
     return run
 
 
-def _assemble(parts: int):
-    """Stage 3: every set's shared tokens together; sets whose unshared tokens fill the prefix go."""
+def _assemble(classes: tuple[int, int]):
+    """Stage 3: every set's shared tokens together with its signatures; sets whose unshared tokens
+    fill the prefix go."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size: dict[int, int] = {}
@@ -163,20 +230,23 @@ def _assemble(parts: int):
                 held[k] += [x for x in batch.column(k).to_pylist() if x is not None]
         if not held["keys"]:
             return
-        keys, counts, tokens, frequencies = (np.frombuffer(b"".join(held[k]), t) for k, t in (("keys", np.int64), ("counts", np.uint32), ("tokens", np.uint64), ("frequencies", np.uint32)))
+        keys, counts, tokens, frequencies = _unpack(held, ("frequencies", np.uint32))
         held.clear()
         names, owner = np.unique(keys, return_inverse=True)
         owner = np.repeat(owner, counts)
         order = np.lexsort((tokens, frequencies, owner))
         owner, tokens, frequencies = owner[order], tokens[order], frequencies[order]
+        once = np.concatenate([[True], (owner[1:] != owner[:-1]) | (tokens[1:] != tokens[:-1])])  # hot tokens come from every task
+        owner, tokens, frequencies = owner[once], tokens[once], frequencies[once]
         ends = np.searchsorted(owner, np.arange(len(names) + 1))
         rows: list[tuple] = []
         for i, key in enumerate(names.tolist()):
             a, b = ends[i], ends[i + 1]
             if 100 * (b - a) >= THRESHOLD * size[key]:
                 parity = np.packbits(np.bincount((tokens[a:b] >> np.uint64(13) & np.uint64(511)).astype(np.int64), minlength=512).astype(np.uint8) & 1)
-                rows.append((key, size[key], tokens[a:b].astype(np.int64), frequencies[a:b].astype(np.int64), b - a, *parity.view(np.int64).tolist()))
-            if rows and (len(rows) == 2000 or i == len(names) - 1):
+                sigs = signatures(size[key], tokens[a:b], frequencies[a:b].astype(np.int64), classes)
+                rows.append((key, size[key], tokens[a:b].astype(np.int64), sigs.astype(np.int64), b - a, *parity.view(np.int64).tolist()))
+            if len(rows) == 2000:
                 yield _sets(rows)
                 rows = []
         if rows:
@@ -186,16 +256,18 @@ def _assemble(parts: int):
 
 
 def _sets(rows: list[tuple]) -> pa.RecordBatch:
-    bounds = np.concatenate([[0], np.cumsum([len(r[2]) for r in rows])]).astype(np.int32)
-    lists = [pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate([r[c] for r in rows]))) for c in (2, 3)]
-    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), *lists, *[pa.array([r[c] for r in rows], pa.int64()) for c in range(4, 4 + len(BOUNDS))]], ["key", "n", "tokens", "frequencies", *BOUNDS])
+    lists = []
+    for c in (2, 3):
+        bounds = np.concatenate([[0], np.cumsum([len(r[c]) for r in rows])]).astype(np.int32)
+        lists.append(pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate([r[c] for r in rows]))))
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), *lists, *[pa.array([r[c] for r in rows], pa.int64()) for c in range(4, 4 + len(BOUNDS))]], ["key", "n", "tokens", "sigs", *BOUNDS])
 
 
-def token_class(frequency: np.ndarray) -> np.ndarray:
-    return 1 + (frequency > CLASS_1) + (frequency > CLASS_2)
+def token_class(frequency: np.ndarray, classes: tuple[int, int] = (CLASS_1, CLASS_2)) -> np.ndarray:
+    return 1 + (frequency > classes[0]) + (frequency > classes[1])
 
 
-def signatures(n: int, tokens: np.ndarray, frequencies: np.ndarray) -> np.ndarray:
+def signatures(n: int, tokens: np.ndarray, frequencies: np.ndarray, classes: tuple[int, int] = (CLASS_1, CLASS_2)) -> np.ndarray:
     """Indexed combinations of a set of ``n`` tokens, of which ``tokens`` are shared with other
     sets, in order of (frequency, token)."""
     needed = n - -(-THRESHOLD * n // 100) + 1 - (n - len(tokens))
@@ -206,7 +278,7 @@ def signatures(n: int, tokens: np.ndarray, frequencies: np.ndarray) -> np.ndarra
     found = []
     for level in levels:
         size = 1 << level
-        kind = np.ones(len(tokens), np.int64) if size < SINGLES_BELOW else token_class(frequencies)
+        kind = np.ones(len(tokens), np.int64) if size < SINGLES_BELOW else token_class(frequencies, classes)
         sub = np.zeros(len(tokens), np.int64)
         for k, each in PER_SUBCLASS.items():
             mine = kind == k
@@ -237,27 +309,12 @@ def signatures(n: int, tokens: np.ndarray, frequencies: np.ndarray) -> np.ndarra
     return np.unique(np.concatenate(found))
 
 
-def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keys, sizes = batch.column("key").to_pylist(), batch.column("n").to_pylist()
-        lists = [[batch.column(c).values.to_numpy(zero_copy_only=False), batch.column(c).offsets.to_numpy()] for c in ("tokens", "frequencies")]
-        sig, key = [], []
-        for i, (k, n) in enumerate(zip(keys, sizes, strict=True)):
-            tokens, frequencies = (values[offsets[i] : offsets[i + 1]] for values, offsets in lists)
-            s = signatures(n, tokens.astype(np.uint64), frequencies)
-            sig.append(s.astype(np.int64))
-            key.append(np.full(len(s), k, np.int64))
-        if sig:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (sig, key)], ["sig", "key"])
-
-
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs (a, b) of set keys whose sets reach the threshold. Pairs of one often used ``a`` are
     spread over salts."""
-    left = sets.select(F.col("key").alias("a"), F.col("n").alias("n_a"), F.col("tokens").alias("t_a")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    left = left.join(pairs.select("a").distinct(), "a", "left_semi")
-    right = sets.select(F.col("key").alias("b"), F.col("n").alias("n_b"), F.col("tokens").alias("t_b"))
-    both = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int")).join(left, ["a", "salt"]).join(right, "b")
+    side = lambda c, t: sets.join(pairs.select(F.col(c).alias("key")).distinct(), "key", "left_semi").select(F.col("key").alias(c), F.col("n").alias(f"n_{c}"), F.col("tokens").alias(t))
+    left = side("a", "t_a").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    both = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int")).join(left, ["a", "salt"]).join(side("b", "t_b"), "b")
     common = F.size(F.array_intersect("t_a", "t_b"))
     return both.where(100 * common >= THRESHOLD * (F.col("n_a") + F.col("n_b") - common)).select("a", "b")
 
@@ -270,53 +327,92 @@ def _possible(prefix: str) -> Column:
     return (100 + THRESHOLD) * twice >= 2 * THRESHOLD * (F.col("n") + other("n"))
 
 
+def _plausible(pairs: DataFrame, bounds: DataFrame) -> DataFrame:
+    """Distinct pairs whose bounds let them reach the threshold; bounds are looked up once for each."""
+    other = bounds.select(*[F.col(c).alias(f"o_{c}") for c in bounds.columns])
+    both = pairs.select("a", "b").distinct().join(bounds, F.col("b") == F.col("key")).join(other, F.col("a") == F.col("o_key"))
+    return both.where(_possible("o_")).select("a", "b")
+
+
+def _joined(labels: DataFrame, found: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """Labels after new links: the components of the graph whose nodes are the old labels."""
+    at = lambda c: F.coalesce(F.col(f"{c}_label"), F.col(c))
+    ends = found
+    for c in ("a", "b"):
+        ends = ends.join(labels.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label")), c, "left")
+    new = components(ends.select(at("a").alias("a"), at("b").alias("b")), scratch, name)
+    moved = labels.join(new.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+    return scratch.write(moved.unionByName(new), f"{name}-labels")
+
+
+def _size_class() -> Column:
+    """Sets that can link have equal or neighbouring classes, since their sizes differ by 4/3 at most."""
+    return F.floor(F.log(100 / THRESHOLD, F.col("n")) + F.lit(1e-9)).cast("int")
+
+
+def _all_pairs(apart: DataFrame) -> DataFrame:
+    """Pairs of one signature, of different labels and of sizes that can link, each once. One of the two
+    always lies outside the signature's most frequent label."""
+    rows = apart.select("sig", "key", "label", "major", "n", "s", _size_class().alias("size"))
+    low = rows.where("label != major").withColumn("size", F.explode(F.array(F.col("size") - 1, F.col("size"), F.col("size") + 1)))
+    high = rows.select("sig", "size", *[F.col(c).alias(f"o_{c}") for c in ("key", "label", "n", "s")])
+    met = low.join(high, ["sig", "size"]).where((F.col("label") != F.col("o_label")) & ((F.col("o_label") == F.col("major")) | (F.col("key") < F.col("o_key"))))
+    enough = (100 + THRESHOLD) * F.least("s", "o_s") >= THRESHOLD * (F.col("n") + F.col("o_n"))
+    return met.where(enough).select(F.least("key", "o_key").alias("a"), F.greatest("key", "o_key").alias("b"))
+
+
 def set_components(sets: DataFrame, scratch: Scratch) -> DataFrame:
-    """(node, label) of the similarity components over set keys; nodes that are labels are left out."""
-    spark = sets.sparkSession
-    index = sets.select("key", "n", "tokens", "frequencies").mapInArrow(trimmed(_index), "sig long, key long")
-    index = scratch.write(index, "index")
-    often = index.groupBy("sig").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("sig")
-    postings = scratch.write(index.join(often, "sig", "left_semi"), "postings")
-    scratch.drop("index")
+    """(node, label) of the similarity components over set keys; nodes that are labels are left out.
+
+    A first turn over a sixteenth of the signatures joins most copies. Then every turn keeps only the
+    postings of signatures whose sets still have different labels, tests one set of each such
+    signature, a pivot of its rarest label, against its others, and drops the pivot's posting. Once
+    the pairs across labels are few beside the postings, all of them are tested."""
     bounds = sets.select("key", "n", *BOUNDS)
-    own = sets.select("key", (F.col("s") * 1000 / F.col("n")).cast("int").alias("share"))
-    labels = spark.createDataFrame([], "node long, label long")
-    links = spark.createDataFrame([], "a long, b long")
-    for turn in range(PIVOT_ROUNDS + 1):
-        known = own.join(labels, own["key"] == labels["node"], "left").withColumn("label", F.coalesce("label", "key")).drop("node")
-        now = postings.join(known, "key")
-        apart = now.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max(F.struct("share", "key", "label")).alias("p"), F.max(F.struct("label", "key")).alias("q")).where("lo != hi")
-        if turn < PIVOT_ROUNDS:
-            end = "q" if turn == 2 else "p"
-            if turn == 1:  # the best member outside the first pivot's component
-                outside = now.join(apart.select("sig", F.col("p.label").alias("p_label")), "sig").where("label != p_label")
-                apart = outside.groupBy("sig").agg(F.max(F.struct("share", "key", "label")).alias("p"))
-            other = apart.select("sig", *[F.col(f"{end}.{c}").alias(f"o_{c}") for c in ("key", "label")])
-            # at most one pair a posting; the bounds are looked up once for each distinct pair
-            pairs = now.join(other, "sig").where(F.col("label") != F.col("o_label")).select("o_key", "key").distinct()
-            pairs = pairs.join(bounds, "key").join(bounds.select(*[F.col(c).alias(f"o_{c}") for c in bounds.columns]), "o_key").where(_possible("o_"))
-            pairs = pairs.select(F.col("o_key").alias("a"), F.col("key").alias("b"))
-        else:  # whatever is still apart, pair by pair
-            left = now.join(apart.select("sig"), "sig", "left_semi").join(bounds, "key").select("sig", "label", *bounds.columns)
-            other = left.select("sig", *[F.col(c).alias(f"o_{c}") for c in ("label", *bounds.columns)])
-            pairs = left.join(other, "sig").where((F.col("key") < F.col("o_key")) & (F.col("label") != F.col("o_label")) & _possible("o_")).select(F.col("key").alias("a"), F.col("o_key").alias("b")).distinct()
-        pairs = scratch.write(pairs, f"pairs-{turn}")
-        found = scratch.write(verify(pairs, sets), f"links-{turn}")
-        scratch.drop()
-        if found.isEmpty():
-            continue
-        links = links.unionByName(found)
-        labels = components(links, scratch, f"components-{turn}")
+    own = sets.select("key", "n", F.col("s").cast("int").alias("s"), "sigs")
+    share = (F.col("s") * 1000 / F.col("n")).cast("int")
+
+    def test(pairs: DataFrame, labels: DataFrame | None, name: str) -> DataFrame:
+        pairs = scratch.write(_plausible(pairs, bounds), f"{name}-pairs")
+        found = scratch.write(verify(pairs, sets), f"{name}-links")
+        scratch.drop(f"{name}-pairs")
+        if labels is None:
+            return components(found, scratch, name)
+        return labels if found.isEmpty() else _joined(labels, found, scratch, name)
+
+    few = own.select("key", share.alias("share"), F.explode(F.filter("sigs", lambda x: x.bitwiseAND(F.lit(SAMPLED - 1)) == 0)).alias("sig"))
+    pivots = few.groupBy("sig").agg(F.max(F.struct("share", "key"))["key"].alias("a"), F.count(F.lit(1)).alias("m")).where("m > 1").drop("m")
+    labels = test(few.join(pivots, "sig").where("key != a").select("a", F.col("key").alias("b")), None, "turn-0")
+    postings = own.select("key", "n", "s", F.explode("sigs").alias("sig"))
+    group = Window.partitionBy("sig")
+    for turn in range(1, PIVOT_ROUNDS + 2):
+        named = postings.join(labels, postings["key"] == labels["node"], "left").select("sig", "key", "n", "s", F.coalesce("label", "key").alias("label"))
+        # map-side minima and maxima are far fewer than postings
+        open_sigs = named.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("sig")
+        named = named.join(open_sigs, "sig", "left_semi")
+        seen = named.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("sig", "label")))
+        seen = seen.select("*", F.max(F.struct("c", "label")).over(group).alias("x"), F.max(F.struct(-F.col("c"), share, F.col("key").alias("key"), F.col("label").alias("label"))).over(group).alias("p"), F.count(F.lit(1)).over(group).alias("m"))
+        apart = scratch.write(seen.where("x.c < m").select("sig", "key", "n", "s", "label", F.col("x.label").alias("major"), F.col("p.key").alias("pivot"), F.col("p.label").alias("pivot_label"), (F.col("m") - F.col("c")).alias("others")), f"apart-{turn}")
+        scratch.drop(f"apart-{turn - 1}")
+        n, others = apart.agg(F.count(F.lit(1)), F.coalesce(F.sum("others"), F.lit(0))).first()
+        if not n:
+            break
+        if others <= 2 * PAIRS_PER_POSTING * n or turn > PIVOT_ROUNDS:
+            labels = test(_all_pairs(apart), labels, f"turn-{turn}")
+            break
+        labels = test(apart.where("label != pivot_label").select(F.col("pivot").alias("a"), F.col("key").alias("b")), labels, f"turn-{turn}")
+        postings = apart.where("key != pivot").select("key", "n", "s", "sig")
     return labels
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 0) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 0, classes: tuple[int, int] = (CLASS_1, CLASS_2), local_hot: int = LOCAL_HOT) -> DataFrame:
     """Every row with its class: doc_id, n_shingles and component_id, the smallest id reachable
     by links of similarity 0.75 or more.
 
     Null and empty texts and texts of white space have no shingles and stay alone; equal texts and
     repeated rows share a class; null ids take part but never name a class, unless a class has
-    no other; an empty table gives an empty result; other columns are ignored.
+    no other; an empty table gives an empty result; other columns are ignored. A very long text is
+    one set like others. ``classes`` are the largest frequencies of classes 1 and 2.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     parts = partitions_for(docs.select(id_col, text_col), BYTES_EACH)
@@ -325,7 +421,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         id_type = docs.sparkSession.createDataFrame([], f"doc_id {kind}").toArrow().schema.field("doc_id").type
         text = PACKED.format(id=kind)
         schema = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("doc_id", id_type), ("key", pa.int64()), ("check", pa.int64()), ("n", pa.int32()), *[(c, pa.binary()) for c in ("keys", "counts", "tokens", "frequencies")]])
-        packed = rows.mapInArrow(trimmed(_pack(schema, id_type, parts, seed)), text).repartitionById(parts, "part")
+        packed = rows.mapInArrow(trimmed(_pack(schema, parts, seed, local_hot)), text).repartitionById(parts, "part")
         counted = scratch.write(packed.mapInArrow(trimmed(_count(schema, parts)), text), "counted")
         scratch.drop()
         members = counted.where("kind = 1").select("doc_id", "key", "check", "n")
@@ -334,7 +430,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if not clash:
             names = held.select(F.pmod("key", F.lit(parts)).cast("int").alias("part"), F.lit(1).alias("kind"), "key", "n", *[F.lit(None).cast("binary").alias(c) for c in ("keys", "counts", "tokens", "frequencies")])
             shared = counted.where("kind = 0").select("part", "kind", F.lit(None).cast("long").alias("key"), F.lit(None).cast("int").alias("n"), "keys", "counts", "tokens", "frequencies")
-            sets = shared.unionByName(names).repartitionById(parts, "part").mapInArrow(trimmed(_assemble(parts)), "key long, n int, tokens array<long>, frequencies array<long>, " + ", ".join(f"{c} long" for c in BOUNDS))
+            sets = shared.unionByName(names).repartitionById(parts, "part").mapInArrow(trimmed(_assemble(classes)), "key long, n int, tokens array<long>, sigs array<long>, " + ", ".join(f"{c} long" for c in BOUNDS))
             sets = scratch.write(sets, "sets")
             scratch.drop()
             labels = set_components(sets, scratch)
@@ -343,7 +439,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             named = named.join(best, "label").select("key", "component_id")
             out = members.join(named, "key", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
             return scratch.keep(out, "result")
-    return near_duplicates(docs, id_col, text_col, seed + 1)  # two sets with one key: hash anew
+    return near_duplicates(docs, id_col, text_col, seed + 1, classes, local_hot)  # two sets with one key: hash anew
 
 
 NGRAM_SQL = r"""
