@@ -20,10 +20,12 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; where that is unset (tests, one machine)
-    a temporary folder is made and set for the session."""
+    """The folder named by ``spark.checkpoint.dir``; where that is unset and all tasks run in this
+    process (tests, one machine) a temporary folder is made and set for the session."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tracewright-")
         spark.conf.set("spark.checkpoint.dir", found)
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
@@ -94,6 +96,19 @@ def partitions_for(df: DataFrame, bytes_each: int) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-plan_bytes(df) // bytes_each))
 
 
+#: Copies of each row of a smaller side that a spread join makes.
+SALTS = 16
+
+
+def spread_join(rows: DataFrame, small: DataFrame, on: list[str], by: list[str], n: int, limit: int, how: str = "inner") -> DataFrame:
+    """``rows`` joined with a side of ``n`` rows on equal columns: broadcast up to ``limit`` rows; beyond
+    that shuffled, the rows of one key being dealt over ``SALTS`` tasks by the columns ``by``."""
+    if n <= limit:
+        return rows.join(F.broadcast(small), on, how)
+    salted = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("__salt", F.pmod(F.xxhash64(*by), F.lit(SALTS)).cast("int")).join(salted, [*on, "__salt"], how).drop("__salt")
+
+
 def lower_ascii(text: Column) -> Column:
     """Lower-cases A-Z and nothing else."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

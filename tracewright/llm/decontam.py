@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import Scratch, eager, load, lower_ascii
+from tracewright.llm.common import Scratch, eager, load, lower_ascii, spread_join
 
 #: Runs between words: every ASCII character that is neither a letter nor a digit.
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -70,11 +70,11 @@ def build_index(docs: DataFrame, items: DataFrame, scratch: Scratch, id_col: str
     item = Window.partitionBy("item")
     item_words = scratch.write(item_words.withColumn("length", F.count(F.lit(1)).over(item)).withColumn("pos", F.col("pos") - F.min("pos").over(item)), "item_words")
     vocabulary = item_words.select("word").distinct().withColumn("term", F.xxhash64("word"))
-    vocabulary = scratch.write(vocabulary.coalesce(1), "vocabulary")
+    vocabulary = scratch.write(vocabulary, "vocabulary")
     n_terms, n_words = vocabulary.count(), item_words.count()
     corpus = words(docs.select(F.col(id_col).alias("doc_id"), eager(F.xxhash64(F.col(text_col))).alias("text_hash"), F.col(text_col).alias("t")), KEY, "t")
-    postings = scratch.write(corpus.join(_bounded(vocabulary, n_terms), "word").select("term", *KEY, "pos"), "postings")
-    frequency = scratch.write(postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")).coalesce(1), "frequency")
+    postings = scratch.write(spread_join(corpus, vocabulary, ["word"], ["doc_id", "pos"], n_terms, BROADCAST_ROWS).select("term", *KEY, "pos"), "postings")
+    frequency = scratch.write(postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "frequency")
     terms = item_words.withColumn("term", F.xxhash64("word")).select("item", "item_id", "pos", "term", "length")
     return Index(postings, terms, frequency, n_words)
 
@@ -97,12 +97,11 @@ def phrase_matches(index: Index, scratch: Scratch, n: int = WINDOW) -> DataFrame
     single = windows.where("rank = 1")
     second = windows.where("rank = 2").select("item", "start", F.col("q").alias("q2"), F.col("term").alias("term2"))
     plan = scratch.write(single.join(second, ["item", "start"], "left").select("item", "start", "q", "term", "q2", "term2"), "plan")
-    rarest = _bounded(plan, index.item_rows * n)
     # the rarest list, its positions adjusted to the diagonal on which the item would lie
-    starts = index.postings.join(rarest, "term").select(*KEY, "item", "start", (F.col("pos") - F.col("q")).cast("int").alias("diagonal"), "q2", "term2")
+    starts = spread_join(index.postings, plan, ["term"], ["doc_id", "pos"], index.item_rows * n, BROADCAST_ROWS).select(*KEY, "item", "start", (F.col("pos") - F.col("q")).cast("int").alias("diagonal"), "q2", "term2")
     starts = scratch.write(starts.distinct(), "starts")
     second_terms = plan.select(F.col("term2").alias("term")).where("term is not null").distinct()
-    listed = index.postings.join(_bounded(second_terms, index.item_rows), "term", "left_semi").select(*[F.col(k).alias(f"p_{k}") for k in KEY], F.col("pos").alias("p_pos"), F.col("term").alias("p_term"))
+    listed = spread_join(index.postings, second_terms, ["term"], ["doc_id", "pos"], index.item_rows, BROADCAST_ROWS, "left_semi").select(*[F.col(k).alias(f"p_{k}") for k in KEY], F.col("pos").alias("p_pos"), F.col("term").alias("p_term"))
     same_doc = F.col("doc_id").eqNullSafe(F.col("p_doc_id")) & F.col("text_hash").eqNullSafe(F.col("p_text_hash"))
     met = starts.where("term2 is not null").join(listed, same_doc & (F.col("diagonal") + F.col("q2") == F.col("p_pos")) & (F.col("term2") == F.col("p_term")), "left_semi")
     met = met.unionByName(starts.where("term2 is null"))  # windows of one word
@@ -127,7 +126,7 @@ def proximity_matches(index: Index, n_terms: int = 4, slop: int = 8) -> DataFram
     terms = index.items.select("item", "item_id", "term").distinct().join(index.frequency, "term", "left")
     ranked = terms.withColumn("rank", F.row_number().over(Window.partitionBy("item").orderBy(F.col("df").asc_nulls_first(), "term"))).where(F.col("rank") <= n_terms)
     ranked = ranked.withColumn("needed", F.count(F.lit(1)).over(Window.partitionBy("item"))).where("df is not null")
-    hits = index.postings.join(_bounded(ranked, index.item_rows), "term")
+    hits = spread_join(index.postings, ranked, ["term"], ["doc_id", "pos"], index.item_rows, BROADCAST_ROWS)
     anchor = hits.where("rank = 1").select(*KEY, "item", "item_id", "needed", F.col("pos").alias("at"))
     others = hits.select(F.col("doc_id").alias("o_doc"), F.col("text_hash").alias("o_hash"), F.col("item").alias("o_item"), F.col("rank").alias("o_rank"), F.col("pos").alias("o_pos"))
     block = lambda c: F.floor(c / (slop + 1)).cast("long")  # noqa: E731  an equi-join on blocks of positions, not a range join
@@ -141,9 +140,10 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     occurrence of a window), n_items, items_sha256, contaminated (n_hit > 0 and a twentieth of
     the words at least).
 
-    Null and empty texts have no words; items without words have no windows; repeated rows get
-    one result each; null ids are ids like others; empty tables give empty results or no hits;
-    other columns are ignored.
+    Null and empty texts have no words; items without words have no windows; a very long text has
+    its postings spread like others'; repeated rows get one result each; terms of equal frequency are
+    ordered by hash, which changes no result; null ids are ids like others; empty tables give empty
+    results or no hits; other columns are ignored.
     """
     spark = docs.sparkSession
     with Scratch(spark, "decontamination") as scratch:
