@@ -101,44 +101,85 @@ def _swap(current: dict[int, int], size: dict[int, int], n_shards: int, rounds:
 
 
 class SlotMap:
-    """A slot-to-shard map stored as a table, one folder per version."""
+    """A slot-to-shard map stored as a table, one folder per version, at a path that all executors share."""
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
-
-    def save(self, version: int, mapping: dict[int, int], loads: list[tuple[int, int, int]]) -> DataFrame:
-        rows = {s: n for s, _, n in loads}
-        before: dict[int, int] = {}
-        table = []
-        for slot in sorted(mapping):  # rows of the shard in lower slots: where this slot's numbering begins
-            shard = mapping[slot]
-            table.append((slot, shard, before.get(shard, 0)))
-            before[shard] = before.get(shard, 0) + rows.get(slot, 0)
-        self.spark.createDataFrame(table, "virtual_slot int, shard int, first_row long").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/version={version}")
-        return self.load(version)
-
-    def load(self, version: int) -> DataFrame:
-        return self.spark.read.schema("virtual_slot int, shard int, first_row long").parquet(f"{self.path}/version={version}")
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def versions(self) -> list[int]:
+        """The stored versions, ascending: those whose folder was written to its end."""
+        root = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        if not fs.exists(root):
+            return []
+        found = [x.getPath() for x in fs.listStatus(root)]
+        whole = [p for p in found if p.getName().startswith("version=") and fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+        return sorted(int(p.getName()[8:]) for p in whole)
+
+    def save(self, version: int, mapping: dict[int, int]) -> None:
+        table = self.spark.createDataFrame(sorted(mapping.items()), "virtual_slot int, shard int")
+        table.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/version={version}")
+
+    def load(self, version: int) -> dict[int, int]:
+        """One row per slot, so at most ``MAX_SLOTS`` come to the driver."""
+        return {r[0]: r[1] for r in self.spark.read.schema("virtual_slot int, shard int").parquet(f"{self.path}/version={version}").collect()}
+
+
+def first_rows(mapping: dict[int, int], loads: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """(slot, shard, rows of the shard in lower slots): where each slot's places in its shard begin."""
+    rows, before, out = {s: n for s, _, n in loads}, {}, []
+    for slot, shard in sorted(mapping.items()):
+        out.append((slot, shard, before.get(shard, 0)))
+        before[shard] = before.get(shard, 0) + rows.get(slot, 0)
+    return out
 
 
-def assign_shards(docs: DataFrame, n_shards: int = 24, n_slots: int = N_SLOTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def spread(mapping: dict[int, int], loads: list[tuple[int, int, int]], n_shards: int) -> int:
+    """Bytes between the heaviest and the lightest shard."""
+    total = [0] * n_shards
+    for slot, size, _ in loads:
+        total[mapping[slot]] += size
+    return max(total) - min(total)
+
+
+def edit_map(maps: SlotMap, loads: list[tuple[int, int, int]], n_shards: int, n_slots: int = N_SLOTS, version: int | None = None) -> tuple[int, dict[int, int]]:
+    """The map after rebalancing, and its version. The edit starts from the given version, the newest
+    if None; where none is stored, from the round-robin map, which is stored as version 0. A new version
+    is stored only if it brings the shards closer together, or slots of missing shards must move."""
+    stored = maps.versions()
+    if not stored:
+        maps.save(0, initial_map(n_slots, n_shards))
+        stored = [0]
+    start = stored[-1] if version is None else version
+    current = maps.load(start)
+    if len(current) != n_slots:
+        raise ValueError(f"the stored map has {len(current)} slots, not {n_slots}: records would hash into others")
+    edited = rebalance(current, loads, n_shards)
+    if set(current.values()) <= set(range(n_shards)) and spread(edited, loads, n_shards) >= spread(current, loads, n_shards):
+        return start, current
+    maps.save(stored[-1] + 1, edited)
+    return stored[-1] + 1, edited
+
+
+def assign_shards(docs: DataFrame, n_shards: int = 24, n_slots: int = N_SLOTS, id_col: str = "doc_id", text_col: str = "text", map_path: str | None = None, version: int | None = None) -> DataFrame:
     """Every row with its virtual slot, shard and dense place in the shard (``slot``, from 0).
 
-    Law ``bytes``: the map of version 1 is the round-robin map edited until the shards' bytes are
-    near equal, which the largest slot bounds. A row's place is its slot's first place plus its
-    rank within the virtual slot, so no task sorts more than one virtual slot. Repeated rows get
-    places of their own; null ids and null texts are rows like others; an empty table gives an
-    empty result; other columns are ignored.
+    Law ``bytes``: the slot map is edited until the shards' bytes are near equal, which the largest
+    slot bounds. With ``map_path`` the map stored there is loaded (``version``, or the newest) and the
+    edit is stored as the next version; without, the map lives in the scratch folder and starts
+    round-robin. A row's place is its slot's first place plus its rank within the virtual slot, so no
+    task sorts more than one virtual slot. Repeated rows get places of their own, rows of one id are
+    ordered by CRC and size; null ids and null texts are rows like others; of a very long text only
+    size and CRC are kept; an empty table gives an empty result; other columns are ignored.
     """
     spark = docs.sparkSession
     recs = records(docs, id_col, text_col, n_slots)
     loads = slot_loads(recs)
     with Scratch(spark, "sharding") as scratch:
-        maps = SlotMap(spark, f"{scratch.root}/slot_map")
-        first = initial_map(n_slots, n_shards)
-        maps.save(0, first, loads)
-        current = maps.save(1, rebalance(first, loads, n_shards), loads)
-    rank = F.row_number().over(Window.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32")) - 1
+        scratch.names.add("slot_map")
+        _, mapping = edit_map(SlotMap(spark, map_path or f"{scratch.root}/slot_map"), loads, n_shards, n_slots, version)
+    current = spark.createDataFrame(first_rows(mapping, loads), "virtual_slot int, shard int, first_row long")
+    rank = F.row_number().over(Window.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "size")) - 1
     placed = recs.withColumn("rank", rank).join(F.broadcast(current), "virtual_slot", "left")
     return placed.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
