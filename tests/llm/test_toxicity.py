@@ -53,6 +53,39 @@ def test_grams_are_distinct_and_stay_in_their_text():
     assert [slot[row == i].tolist() for i in range(4)] == alone
 
 
+def test_grams_are_of_characters():
+    brute = lambda t: {t[i : i + k] for k in toxicity.LENGTHS for i in range(len(t) - k + 1)}
+    texts = ["Привет, МИР", "naïve café", "日本語のテキスト", "a😀b 😀", "xx  yy\t\nxx"]
+    hashes = {}
+    for t in texts:
+        clean = toxicity._clean(t)
+        slots = toxicity.grams([t])[1].tolist()
+        assert len(slots) == len(brute(clean))
+        for g in brute(clean):  # a text of that n-gram alone has its hash among its own
+            one = np.array([ord(c) for c in g], np.uint32)
+            h = np.zeros(1, np.uint32)
+            for c in one:
+                h = h * np.uint32(0x01000193) + c + np.uint32(1)
+            k = len(g) - 1
+            mixed = (h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D + 2 * k)
+            hashes[g] = int(mixed[0] >> np.uint32(32 - toxicity.BITS))
+        assert sorted(slots) == sorted(hashes[g] for g in brute(clean))
+
+
+def test_scores_equal_brute_force_on_other_scripts():
+    rnd = random.Random(6)
+    plain, bad = ["река", "été", "山", "soñar", "über"], ["дурак", "crétin"]
+    rows = [(" ".join([*rnd.choices(plain, k=rnd.randrange(3, 30)), *rnd.choices(bad, k=int(i % 4 == 0))]), int(i % 4 == 0)) for i in range(200)]
+    model = toxicity.fit([pa.RecordBatch.from_pydict({"text": [t for t, _ in rows], "toxic": pa.array([y for _, y in rows], pa.int32())})])
+    texts = ["Дурак у реки", "un CRÉTIN là", "été 山 soñar", "", None]
+    got = model.score(texts)
+    for t, s in zip(texts, got, strict=True):
+        slots = {int(x) for x in toxicity.grams([t])[1]}
+        z = model.bias + sum(model.weights[model.table[x]] for x in slots if model.table[x] >= 0)
+        assert abs(s - 1 / (1 + np.exp(-z))) < 1e-9
+    assert got[0] > 0.7 > got[2] and got[1] > 0.7
+
+
 def test_one_label_gives_the_prior():
     batch = pa.RecordBatch.from_pydict({"text": ["a", "b"], "toxic": pa.array([0, 0], pa.int32())})
     assert np.allclose(toxicity.fit([batch]).score(["a", "zzz", None]), toxicity.fit([batch]).score([""])[0])

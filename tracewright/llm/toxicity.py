@@ -1,8 +1,8 @@
 """Toxicity scores from a character n-gram linear classifier whose binary features are scaled by
 naive Bayes log-count ratios.
 
-Texts are lower-cased (A-Z), runs of ASCII white space become one space, and every byte n-gram of
-the listed lengths is hashed.  Training counts, over a bounded sample of labelled texts, in how
+Texts are lower-cased, runs of ASCII white space become one space, and every n-gram of the listed
+numbers of characters (code points) is hashed.  Training counts, over a bounded sample of labelled texts, in how
 many texts of either label each hash occurs; the log ratio of the smoothed shares scales the
 feature; the hashes that tell the labels apart most surely are kept; logistic regression is fitted
 to the scaled features.  Scoring visits whole texts.
@@ -27,21 +27,21 @@ BITS = 20
 MAX_ROWS, MAX_BYTES = 5_000, 20_000_000
 MAX_FEATURES = 4000
 THRESHOLD = 0.7
-_SPACE = re.compile(rb"[\x09-\x0d\x20]+")
+_SPACE = re.compile(r"[\x09-\x0d\x20]+")
 
 
-def _clean(text: str | None) -> bytes:
-    return b" " + _SPACE.sub(b" ", (text or "").encode().lower()) + b" "
+def _clean(text: str | None) -> str:
+    return " " + _SPACE.sub(" ", (text or "").lower()) + " "
 
 
 def grams(texts: list[str | None], table: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct (text number, hash) pairs, sorted. With a table of feature numbers by hash, pairs of
     (text number, feature number) for the hashes that have one."""
     raw = [_clean(t) for t in texts]
-    data = np.frombuffer(b"".join(raw), np.uint8)
+    data = np.frombuffer("".join(raw).encode("utf-32-le"), np.uint32)
     ends = np.cumsum([len(x) for x in raw])
     owner = np.repeat(np.arange(len(raw)), [len(x) for x in raw])
-    left = ends[owner] - np.arange(len(data))  # bytes up to the end of the own text
+    left = ends[owner] - np.arange(len(data))  # characters up to the end of the own text
     codes, h = [], np.zeros(len(data), np.uint32)
     for k in range(max(LENGTHS)):
         h = h[: len(data) - k] * np.uint32(0x01000193) + data[k:] + np.uint32(1)
