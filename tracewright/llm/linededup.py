@@ -12,17 +12,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import Scratch, eager
+from tracewright.llm.common import Scratch, eager, spread_join
 
 MIN_SITES = 10
+#: Lines of more words than this are too long to be written twice by chance, and need fewer sites.
+LONG_WORDS, LONG_MIN_SITES = 50, 4
 #: Shorter lines (in characters, without outer blanks) recur by chance and are left alone.
 MIN_CHARS = 12
 LG_K = 10
 #: Deviations of the estimate within which lines are counted exactly.
 BAND = 5
 BROADCAST_ROWS, BROADCAST_POSITIONS = 200_000, 2_000_000
-SALTS = 16
 LINE = ["h", "c"]
+SPACES = r"[\x20\x09-\x0D]+"
 
 
 def line_key(line: Column) -> Column:
@@ -32,45 +34,41 @@ def line_key(line: Column) -> Column:
 def _lines(docs: DataFrame, id_col: str, text_col: str, site_col: str, min_chars: int) -> DataFrame:
     rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), eager(F.xxhash64(F.col(text_col))).alias("text_hash"), F.coalesce(F.col(site_col).cast("string"), F.lit("\x00")).alias("site"), F.split(F.col(text_col), "\n").alias("parts"))
     exploded = rows.select("doc_id", "text_hash", "site", F.posexplode("parts").alias("pos", "raw")).select("doc_id", "text_hash", "site", "pos", line_key(F.col("raw")).alias("line"))
-    return exploded.where(F.length("line") >= min_chars).select("doc_id", "text_hash", "site", "pos", F.xxhash64("line").alias("h"), F.hash("line").alias("c"))
+    long = (F.length("line") > 2 * LONG_WORDS) & (F.size(F.split("line", SPACES)) > LONG_WORDS)
+    return exploded.where(F.length("line") >= min_chars).select("doc_id", "text_hash", "site", "pos", F.xxhash64("line").alias("h"), F.hash("line").alias("c"), long.alias("long"))
 
 
-def boilerplate_lines(lines: DataFrame, scratch: Scratch, min_sites: int = MIN_SITES) -> DataFrame:
-    """Hashes of the lines on at least ``min_sites`` distinct sites, with the smallest id holding each."""
+def boilerplate_lines(lines: DataFrame, scratch: Scratch, min_sites: int = MIN_SITES, long_min_sites: int = LONG_MIN_SITES) -> DataFrame:
+    """Hashes of the lines on enough distinct sites (``min_sites``, or ``long_min_sites`` where ``long``),
+    with the smallest id holding each."""
     error = 1.04 / 2 ** (LG_K / 2)
-    low, high = min_sites * (1 - BAND * error) - 0.5, min_sites * (1 + BAND * error) + 0.5
-    sketched = lines.groupBy(*LINE).agg(F.hll_sketch_agg("site", LG_K).alias("sketch"), F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n"))
+    needed = F.when(F.col("long"), long_min_sites).otherwise(min_sites)
+    sketched = lines.groupBy(*LINE).agg(F.hll_sketch_agg("site", LG_K).alias("sketch"), F.min("doc_id").alias("first_id"), F.max("long").alias("long"), F.count(F.lit(1)).alias("n"))
     # occurrences bound sites from above, so rarer lines need no estimate
-    estimated = scratch.write(sketched.where(F.col("n") >= min_sites).select(*LINE, "first_id", F.hll_sketch_estimate("sketch").alias("sites")).where(F.col("sites") >= low), "estimated")
-    near = estimated.where(F.col("sites") <= high).select(*LINE)
-    exact = lines.join(_bounded(near, near.count()), LINE, "left_semi").groupBy(*LINE).agg(F.count_distinct("site").alias("exact"))
-    counted = estimated.join(exact, LINE, "left").where(F.coalesce(F.col("exact"), F.col("sites")) >= min_sites)
+    estimated = sketched.where(F.col("n") >= needed).select(*LINE, "first_id", "long", F.hll_sketch_estimate("sketch").alias("sites"))
+    estimated = scratch.write(estimated.where(F.col("sites") >= needed * (1 - BAND * error) - 0.5), "estimated")
+    near = estimated.where(F.col("sites") <= needed * (1 + BAND * error) + 0.5).select(*LINE)
+    found = spread_join(lines, near, LINE, ["doc_id", "pos"], near.count(), BROADCAST_ROWS, "left_semi")
+    exact = found.groupBy(*LINE).agg(F.count_distinct("site").alias("exact"))
+    counted = estimated.join(exact, LINE, "left").where(F.coalesce(F.col("exact"), F.col("sites")) >= needed)
     return scratch.write(counted.select(*LINE, "first_id"), "boilerplate")
 
 
-def _bounded(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
-
-
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS, long_min_sites: int = LONG_MIN_SITES) -> DataFrame:
     """Every row of ``docs`` with all its columns, its text without removed lines, and two columns
-    ``n_lines`` and ``n_removed``.
+    ``n_lines`` and ``n_removed``. Lines of more than ``LONG_WORDS`` words go from ``long_min_sites`` sites on.
 
     A null text has no lines and stays null; an empty text is one short line; a null site is a
     site of its own; lines held by null-id rows only are kept; equal lines of one document share
-    their decision; repeated rows are cleaned alike; an empty table gives an empty result. Extra
+    their decision; repeated rows are cleaned alike; where rows share the smallest id, all of them
+    keep the line; a very long text is split into lines within its row; an empty table gives an empty result. Extra
     columns pass through; columns already named ``n_lines`` or ``n_removed`` are replaced.
     """
     spark = docs.sparkSession
     with Scratch(spark, "line-dedup") as scratch:
         lines = _lines(docs, id_col, text_col, site_col, min_chars)
-        found = boilerplate_lines(lines, scratch, min_sites)
-        n = found.count()
-        if n <= BROADCAST_ROWS:
-            hits = lines.join(F.broadcast(found), LINE)
-        else:  # a very common line is spread over salts
-            salted = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-            hits = lines.withColumn("salt", F.pmod(F.xxhash64("doc_id", "pos"), F.lit(SALTS)).cast("int")).join(salted, [*LINE, "salt"])
+        found = boilerplate_lines(lines, scratch, min_sites, long_min_sites)
+        hits = spread_join(lines, found, LINE, ["doc_id", "pos"], found.count(), BROADCAST_ROWS)
         gone = hits.where(F.col("first_id").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("first_id")))
         gone = gone.groupBy(F.col("doc_id").alias("__g_id"), F.col("text_hash").alias("__g_hash")).agg(F.collect_set("pos").alias("__g_pos"))
         gone = scratch.keep(gone, "removed")
@@ -102,7 +100,8 @@ WITH l AS (
         FROM (SELECT doc_id, source, string_split(text, chr(10)) AS parts FROM documents WHERE text IS NOT NULL))),
 b AS (
   SELECT line, min(doc_id) AS first_id FROM l WHERE length(line) >= {MIN_CHARS}
-  GROUP BY line HAVING count(DISTINCT site) >= {MIN_SITES}),
+  GROUP BY line HAVING count(DISTINCT site) >= CASE
+    WHEN length(line) > {2 * LONG_WORDS} AND len(regexp_split_to_array(line, '{SPACES}')) > {LONG_WORDS} THEN {LONG_MIN_SITES} ELSE {MIN_SITES} END),
 m AS (SELECT l.doc_id, l.pos, l.raw, coalesce(l.doc_id <> b.first_id, false) AS gone FROM l LEFT JOIN b ON l.line = b.line),
 d AS (
   SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed,
