@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import zlib
 
 from pyspark.sql import functions as F
 
@@ -30,6 +31,36 @@ def test_growing_moves_slots_only_to_the_new_shard():
     assert sum(old[s] != new[s] for s in old) < 512 / 4 and {new[s] for s in old} == set(range(5))
 
 
+def test_places_equal_brute_force_and_maps_are_edited(spark, tmp_path):
+    rnd = random.Random(4)
+    rows = [(rnd.choice([i, None, 7]), rnd.choice([None, "", "é", "x" * rnd.randrange(900)])) for i in range(500)] + [(1, "long " * 400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS shard", "2 AS virtual_slot")
+    maps = sharding.SlotMap(spark, str(tmp_path / "maps"))
+    run = lambda n, **x: sharding.assign_shards(docs, n, 64, map_path=maps.path, **x).collect()
+    got = run(3)
+    assert maps.versions() == [0, 1] and maps.load(0) == sharding.initial_map(64, 3)
+    load = {}
+    for r in got:
+        load.setdefault(r.virtual_slot, []).append(r)
+    want = sharding.rebalance(maps.load(0), sorted((s, sum(r.size for r in x), len(x)) for s, x in load.items()), 3)
+    assert maps.load(1) == want and all(r.shard == want[r.virtual_slot] for r in got)
+    places = {}
+    for slot, shard in sorted(want.items()):
+        for r in sorted(load.get(slot, []), key=lambda r: (r.doc_id is not None, r.doc_id, r.text_crc32, r.size)):
+            places.setdefault(shard, []).append((r.doc_id, r.text_crc32, r.size))
+    assert {k: [x for _, x in sorted((r.slot, (r.doc_id, r.text_crc32, r.size)) for r in got if r.shard == k)] for k in places} == places
+    sizes = lambda x: sorted((str(i), len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for i, t in x)
+    assert sizes(rows) == sorted((str(r.doc_id), r.size, r.text_crc32) for r in got)
+    # the next run loads the newest map: nothing moves, and one more shard only takes slots
+    assert sorted(map(str, run(3))) == sorted(map(str, got)) and maps.versions() == [0, 1]
+    run(4)
+    grown = maps.load(2)
+    moved = sum(r.size for s, x in load.items() if grown[s] != want[s] for r in x)
+    assert maps.versions() == [0, 1, 2] and 3 in grown.values() and moved < sum(r.size for r in got) / 2
+    run(3, version=1)
+    assert maps.versions() == [0, 1, 2]
+
+
 def test_chat_parts_and_round_trip(spark):
     part = lambda kind, text=None, ref=None, units=None: (kind, text, ref, units)
     rows = [
@@ -45,6 +76,10 @@ def test_chat_parts_and_round_trip(spark):
     parsed = chat.format_chat(turns).select("conv_id", F.explode(chat.parse_chat(F.col("formatted"))).alias("p")).where("conv_id = 1").collect()
     assert parsed[1].p.text == "\\b<image:0>" and len(parsed) == 3
     assert chat.format_chat(turns.limit(0)).count() == 0
+    odd = [(1, i, r, t) for i, (r, t) in enumerate([("to>ol", "a>b"), ("\\g<x>\n", ">\n"), ("", "</turn>\n"), (">", "y" * 200_000)])]
+    odd = spark.createDataFrame(odd, "conv_id long, turn long, role string, text string")
+    read = chat.format_chat(odd.withColumn("parts", chat.text_part(F.col("text")))).select(F.explode(chat.parse_chat(F.col("formatted"))).alias("p")).collect()
+    assert [(x.p.role, x.p.text) for x in read] == [(r.role, r.text) for r in odd.collect()]
 
 
 def test_decontamination_equals_brute_force(spark):
@@ -135,3 +170,18 @@ def test_line_dedup_equals_brute_force(spark):
     got = linededup.dedup_lines(docs).collect()
     assert sorted((str(r.doc_id), str(r.text)) for r in got) == sorted((str(i), str(clean(i, t))) for i, t, _ in rows)
     assert linededup.dedup_lines(docs.limit(0)).count() == 0
+
+
+def test_long_lines_need_fewer_sites(spark):
+    passage = lambda n: " ".join(f"p{n}w{i}" for i in range(n))
+    rows = [(i, f"own {i} line of it\n{passage(51)}\n{passage(50)}\n" + "z" * 100_000, f"s{i % 4}") for i in range(8)]
+    rows += [(20 + i, f"{passage(70)}\nown {i} line of it", f"s{i % 3}") for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for limit in (200_000, 0):  # broadcast and shuffled
+        linededup.BROADCAST_ROWS, kept = limit, linededup.BROADCAST_ROWS
+        try:
+            got = {r.doc_id: r for r in linededup.dedup_lines(docs).collect()}
+        finally:
+            linededup.BROADCAST_ROWS = kept
+        assert [passage(51) in got[i].text for i in range(8)] == [True] + [False] * 7
+        assert all(passage(50) in got[i].text for i in range(8)) and all(passage(70) in got[20 + i].text for i in range(6))

@@ -31,6 +31,15 @@ def unescape(text: Column) -> Column:
     return F.replace(F.replace(text, F.lit("\\l"), F.lit("<")), F.lit("\\b"), F.lit("\\"))
 
 
+def escape_role(role: Column) -> Column:
+    """As ``escape``, and ``>``, which ends a role, to ``\\g``."""
+    return F.replace(escape(role), F.lit(">"), F.lit("\\g"))
+
+
+def unescape_role(role: Column) -> Column:
+    return unescape(F.replace(role, F.lit("\\g"), F.lit(">")))
+
+
 def text_part(text: Column) -> Column:
     """A one-part message that holds a plain text (null: empty)."""
     return F.array(F.struct(F.lit("text").alias("type"), F.coalesce(text, F.lit("")).alias("text"), F.lit(None).cast("string").alias("ref"), F.lit(None).cast("bigint").alias("units")))
@@ -48,7 +57,8 @@ def format_chat(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", rol
 
     Turns are ordered by turn, then role, then flattened text, so ties and repeated rows have one
     result.  Null parts or a null text: empty; a null role: empty; null and empty conversation
-    ids are groups of their own; an empty table gives an empty result; other columns are ignored.
+    ids are groups of their own; very long texts are copied whole (a conversation is one string, so
+    it must fit into one); an empty table gives an empty result; other columns are ignored.
     """
     is_text = lambda p: F.coalesce(p["type"], F.lit("text")) == "text"
     rows = turns.select(
@@ -74,7 +84,7 @@ def format_chat(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", rol
         ),
         "",
     )
-    head = F.concat(F.lit("<turn "), escape(F.col("role")), F.lit(">\n"))
+    head = F.concat(F.lit("<turn "), escape_role(F.col("role")), F.lit(">\n"))
     pieces = numbered.select("conv", "seq", "turn", "role", "media", "first", head.alias("head"), body.alias("body")).withColumn("segment", F.concat("head", "body", F.lit("</turn>\n")))
     placed = pieces.withColumn("start", F.coalesce(F.sum(F.length("segment")).over(Window.partitionBy("conv").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.length("head"))
     attached = F.transform("media", lambda p, i: F.struct((F.col("first") + i).alias("number"), F.col("turn").alias("turn"), p["type"].alias("type"), p["ref"].alias("ref"), _tokens(p).alias("tokens")))
@@ -95,7 +105,7 @@ def parse_chat(formatted: Column) -> Column:
     return F.transform(
         blocks,
         lambda x: F.struct(
-            unescape(F.regexp_extract(x, r"^<turn ([^>]*)>\n", 1)).alias("role"),
+            unescape_role(F.regexp_extract(x, r"^<turn ([^>]*)>\n", 1)).alias("role"),
             unescape(F.regexp_replace(x, r"^<turn [^>]*>\n", "")).alias("text"),
         ),
     )
@@ -136,7 +146,7 @@ g AS (
   SELECT conv_id, count(*) AS n_turns,
     string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS turns,
     coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS loss,
-    sum(length('<turn ' || replace(replace(role, '\', '\b'), '<', '\l') || '>') + 1
+    sum(length('<turn ' || replace(replace(replace(role, '\', '\b'), '<', '\l'), '>', '\g') || '>') + 1
       + length(replace(replace(text, '\', '\b'), '<', '\l')) + length('</turn>') + 1) AS formatted_chars
   FROM t GROUP BY conv_id)
 SELECT conv_id, CAST(n_turns AS BIGINT) AS n_turns, sha256(turns) AS turns_sha256,
