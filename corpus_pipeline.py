@@ -1,7 +1,12 @@
 """A corpus pipeline of five stages: toxicity, line dedup, near duplicates, decontamination, encoding.
 
 Every stage takes (spark, docs, sf_dir) and works on all rows that the stage before kept; all but the
-last return the columns of ``documents``.
+last return the columns of ``documents``, extra ones included, whatever their names (but for names that
+begin with two underscores).
+
+In every stage null and empty texts are texts without words: the first four stages keep them, each row
+that is not a repeat of another, and the last encodes them as no ids. Very long texts are handled whole.
+Repeated rows share their decisions; an empty table gives an empty table with the same columns.
 """
 
 from __future__ import annotations
@@ -16,15 +21,19 @@ from tracewright.llm.common import Scratch, load
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score stays below 0.7; all labels may be learnt from. The score is a
-    column beside the row, so nothing is joined back."""
-    return toxicity.with_scores(docs, load(spark, sf_dir, "labels"), "toxicity_score").where(F.col("toxicity_score") < toxicity.THRESHOLD).select(*docs.columns)
+    column beside the row, so nothing is joined back. Null ids and repeated rows are scored like others."""
+    return toxicity.with_scores(docs, load(spark, sf_dir, "labels"), "__toxicity").where(F.col("__toxicity") < toxicity.THRESHOLD).select(*docs.columns)
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without cross-site boilerplate lines; one that loses all its lines goes."""
-    cleaned = linededup.dedup_lines(docs).where(~((F.col("n_removed") > 0) & (F.col("text") == "")))
+    """Documents without cross-site boilerplate lines; one that loses all its lines goes. ``n_chars``
+    follows the text where lines went. A null source is a site of its own; a line stays in the rows of
+    the smallest id that holds it, and everywhere if only rows without an id hold it."""
+    own = [c for c in docs.columns if c in ("n_lines", "n_removed")]  # a caller's columns of those names
+    cleaned = linededup.dedup_lines(docs.withColumnsRenamed({c: f"__own_{c}" for c in own}))
+    cleaned = cleaned.where(~((F.col("n_removed") > 0) & (F.col("text") == "")))
     size = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None
-    return cleaned.select(*[size.cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    return cleaned.select(*[size.cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"__own_{c}").alias(c) if c in own else F.col(c) for c in docs.columns])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,7 +68,8 @@ def _repeats(docs: DataFrame) -> bool:
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not contaminated by benchmark items."""
+    """Documents that are not contaminated by benchmark items. Rows of one id and different texts are
+    judged apart; a null id is an id like others."""
     found = decontam.contamination(docs, load(spark, sf_dir, "benchmark")).where("contaminated").select(F.col("doc_id").alias("c_id"), F.col("text_hash").alias("c_hash")).distinct()
     with Scratch(spark, "contaminated") as scratch:
         found = scratch.keep(found, "found")
@@ -67,7 +77,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Byte-level BPE ids of every document, with digests of ids and decoded bytes."""
+    """Byte-level BPE ids of every row, with digests of ids and decoded bytes; other columns go."""
     return bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
