@@ -1,3 +1,8 @@
+import base64
+
+import public_tokenizers
+import tiktoken
+
 import corpus_pipeline
 
 SF = "/root/testdata/sf0.001"
@@ -27,3 +32,59 @@ def test_repeated_and_null_ids_keep_one_row_of_each_class(spark):
     got = corpus_pipeline.drop_near_duplicates(spark, docs, SF)
     assert got.dtypes == docs.dtypes
     assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+
+
+def odd_rows(spark):
+    """Nulls in every column, empty and very long texts, repeated rows, clashing columns."""
+    text = lambda k, n=40: " ".join(f"t{k}w{j}" for j in range(n))
+    rows = [
+        (1, text(1), "en", "s1", 5, 1, "x", 0.5), (1, text(1), "en", "s1", 5, 1, "x", 0.5), (2, text(2, 60_000), None, None, None, 2, None, None),
+        (3, "", "en", "s2", 0, 3, "x", 0.5), (4, None, "en", "s2", None, 4, "x", 0.5), (None, text(5), "en", "s3", 9, 5, "x", 0.5), (None, None, None, None, None, None, None, None),
+        (6, text(6), "en", "s3", 9, 6, "y", 0.25),
+    ]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, n_lines int, n_removed string, toxicity_score double").selectExpr("*", "1 AS key", "2 AS pos", "'p' AS part", "3 AS ids")
+
+
+def test_every_stage_on_odd_rows_and_on_none(spark):
+    docs = odd_rows(spark)
+    everything = sorted(map(str, docs.collect()))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.dtypes == docs.dtypes, name
+        want = sorted(set(everything)) if name == "near_duplicates" else everything
+        assert sorted(map(str, out.collect())) == want, name
+        none = stage(spark, docs.limit(0), SF)
+        assert none.dtypes == docs.dtypes and none.count() == 0, name
+    last = corpus_pipeline.encode(spark, docs, SF)
+    assert last.count() == docs.count() and {r.n_tokens for r in last.where("doc_id IN (3, 4)").collect()} == {0}
+    assert corpus_pipeline.encode(spark, docs.limit(0), SF).count() == 0
+
+
+def test_stages_equal_brute_force_on_planted_rows(spark, tmp_path):
+    text = lambda k, n=60: " ".join(f"t{k}w{j}" for j in range(n))
+    notice = "This notice stands on every page of the many sites."
+    toxic = lambda k: f"{text(k)} wretched filth {text(k + 1000)}"
+    rows, labels = [], []
+    for i in range(60):
+        rows.append((i, toxic(i) if i % 6 == 0 else text(i), f"s{i % 12}"))
+        labels.append((i, int(i % 6 == 0)))
+    rows += [(100 + i, f"{text(100 + i)}\n{notice}", f"s{i}") for i in range(12)] + [(120, notice, "s3")]
+    rows += [(200, text(1) + " tail", "s1"), (201, text(2), "s9")]
+    item = text(500, 20)
+    rows += [(300, f"{text(300, 30)} {item}", "s2"), (301, f"{text(301, 2000)} {item}", "s2")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("doc_id", "text", "'en' AS lang", "source", "length(text) AS n_chars")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    # toxic ones go; notices stay on 100 alone, and 120 had nothing else; 200 and 201 are near copies of 1 and 2;
+    # 300 has 20 of 50 words from the item, 301 one in a hundred
+    bad = {i for i in range(0, 60, 6)} | {120, 200, 201, 300}
+    want = {i: t.replace("\n" + notice, "") if 100 < i < 112 else t for i, t, _ in rows if i not in bad}
+    encoder = tiktoken.Encoding("b", pat_str=public_tokenizers.PATTERN, mergeable_ranks=read_ranks(), special_tokens={})
+    got = {r.doc_id: list(r.ids) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    assert got == {i: encoder.encode_ordinary(t) for i, t in want.items()}
+
+
+def read_ranks():
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
