@@ -350,15 +350,16 @@ def _size_class() -> Column:
     return F.floor(F.log(100 / THRESHOLD, F.col("n")) + F.lit(1e-9)).cast("int")
 
 
-def _all_pairs(apart: DataFrame) -> DataFrame:
-    """Pairs of one signature, of different labels and of sizes that can link, each once. One of the two
-    always lies outside the signature's most frequent label."""
-    rows = apart.select("sig", "key", "label", "major", "n", "s", _size_class().alias("size"))
+def _all_pairs(apart: DataFrame, bounds: DataFrame) -> DataFrame:
+    """Pairs of one signature, of different labels, whose bounds let them reach the threshold, each once.
+    One of the two always lies outside the signature's most frequent label. The join judges the bounds,
+    so it makes no rows of pairs that cannot link."""
+    rows = apart.select("sig", "key", "label", "major").join(bounds, "key").withColumn("size", _size_class())
     low = rows.where("label != major").withColumn("size", F.explode(F.array(F.col("size") - 1, F.col("size"), F.col("size") + 1)))
-    high = rows.select("sig", "size", *[F.col(c).alias(f"o_{c}") for c in ("key", "label", "n", "s")])
-    met = low.join(high, ["sig", "size"]).where((F.col("label") != F.col("o_label")) & ((F.col("o_label") == F.col("major")) | (F.col("key") < F.col("o_key"))))
-    enough = (100 + THRESHOLD) * F.least("s", "o_s") >= THRESHOLD * (F.col("n") + F.col("o_n"))
-    return met.where(enough).select(F.least("key", "o_key").alias("a"), F.greatest("key", "o_key").alias("b"))
+    high = rows.select("sig", "size", *[F.col(c).alias(f"o_{c}") for c in ("label", *bounds.columns)])
+    once = (F.col("label") != F.col("o_label")) & ((F.col("o_label") == F.col("major")) | (F.col("key") < F.col("o_key")))
+    met = low.join(high, ["sig", "size"]).where(once & _possible("o_"))
+    return met.select(F.least("key", "o_key").alias("a"), F.greatest("key", "o_key").alias("b"))
 
 
 def set_components(sets: DataFrame, scratch: Scratch) -> DataFrame:
@@ -373,7 +374,7 @@ def set_components(sets: DataFrame, scratch: Scratch) -> DataFrame:
     share = (F.col("s") * 1000 / F.col("n")).cast("int")
 
     def test(pairs: DataFrame, labels: DataFrame | None, name: str) -> DataFrame:
-        pairs = scratch.write(_plausible(pairs, bounds), f"{name}-pairs")
+        pairs = scratch.write(pairs, f"{name}-pairs")
         found = scratch.write(verify(pairs, sets), f"{name}-links")
         scratch.drop(f"{name}-pairs")
         if labels is None:
@@ -382,7 +383,7 @@ def set_components(sets: DataFrame, scratch: Scratch) -> DataFrame:
 
     few = own.select("key", share.alias("share"), F.explode(F.filter("sigs", lambda x: x.bitwiseAND(F.lit(SAMPLED - 1)) == 0)).alias("sig"))
     pivots = few.groupBy("sig").agg(F.max(F.struct("share", "key"))["key"].alias("a"), F.count(F.lit(1)).alias("m")).where("m > 1").drop("m")
-    labels = test(few.join(pivots, "sig").where("key != a").select("a", F.col("key").alias("b")), None, "turn-0")
+    labels = test(_plausible(few.join(pivots, "sig").where("key != a").select("a", F.col("key").alias("b")), bounds), None, "turn-0")
     postings = own.select("key", "n", "s", F.explode("sigs").alias("sig"))
     group = Window.partitionBy("sig")
     for turn in range(1, PIVOT_ROUNDS + 2):
@@ -398,9 +399,9 @@ def set_components(sets: DataFrame, scratch: Scratch) -> DataFrame:
         if not n:
             break
         if others <= 2 * PAIRS_PER_POSTING * n or turn > PIVOT_ROUNDS:
-            labels = test(_all_pairs(apart), labels, f"turn-{turn}")
+            labels = test(_all_pairs(apart, bounds).distinct(), labels, f"turn-{turn}")
             break
-        labels = test(apart.where("label != pivot_label").select(F.col("pivot").alias("a"), F.col("key").alias("b")), labels, f"turn-{turn}")
+        labels = test(_plausible(apart.where("label != pivot_label").select(F.col("pivot").alias("a"), F.col("key").alias("b")), bounds), labels, f"turn-{turn}")
         postings = apart.where("key != pivot").select("key", "n", "s", "sig")
     return labels
 
@@ -410,8 +411,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     by links of similarity 0.75 or more.
 
     Null and empty texts and texts of white space have no shingles and stay alone; equal texts and
-    repeated rows share a class; null ids take part but never name a class, unless a class has
-    no other; an empty table gives an empty result; other columns are ignored. A very long text is
+    repeated rows share a class; sets that tie as pivots are told apart by their digests, which changes
+    no class; null ids take part but never name a class, unless a class has no other; an empty table gives an empty result; other columns are ignored. A very long text is
     one set like others. ``classes`` are the largest frequencies of classes 1 and 2.
     """
     kind = docs.schema[id_col].dataType.simpleString()
