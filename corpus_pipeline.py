@@ -18,6 +18,9 @@ from pyspark.sql import functions as F
 from tracewright.llm import bpe, decontam, linededup, ngramjoin, toxicity
 from tracewright.llm.common import Scratch, load
 
+#: At most so many ids of removed rows (some hundred bytes each in memory) are broadcast.
+BROADCAST_IDS = 1_000_000
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score stays below 0.7; all labels may be learnt from. The score is a
@@ -42,10 +45,12 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     if _repeats(docs):
         return _one_of_each_class(spark, docs)
     classes = ngramjoin.near_duplicates(docs)
-    keep = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("k_id")).distinct()
+    gone = classes.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("k_id"))
     with Scratch(spark, "near-duplicates") as scratch:
-        keep = scratch.keep(keep, "kept")
-    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["k_id"]), "left_semi")
+        gone = scratch.keep(gone, "gone")
+    # ids of removed rows alone; beyond the bound whole texts are shuffled by id
+    few = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    return docs.join(few, docs["doc_id"].eqNullSafe(gone["k_id"]), "left_anti")
 
 
 def _one_of_each_class(spark: SparkSession, docs: DataFrame) -> DataFrame:
