@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewright.functions.scalar import SBOX
@@ -21,11 +21,12 @@ from tracewright.model import byte_at, to_long
 MAX_HYPOTHESES = 65_536
 
 
-def pearson(n: Column, sx: Column, sxx: Column, sy: Column, syy: Column, sxy: Column) -> Column:
-    """From sums; 0 where either variance is not positive."""
-    vx, vy = n * sxx - sx * sx, n * syy - sy * sy
-    good = (vx > 1e-9 * F.greatest(F.lit(1e-300), n * sxx)) & (vy > 1e-9 * F.greatest(F.lit(1e-300), n * syy))
-    return F.when(good, (n * sxy - sx * sy) / F.sqrt(F.when(good, vx * vy))).otherwise(F.lit(0.0))
+def pearson(n: Column, sx: Column, sxx: Column, sy: Column, syy: Column, sxy: Column, centre: Column) -> Column:
+    """From sums of centred samples x and model values y; 0 where either variance is not positive. Deviations
+    below 1e-12 of the value that samples were centred on are rounding: float32 samples cannot differ by so little."""
+    vx, vy = sxx / n - (sx / n) ** 2, syy / n - (sy / n) ** 2
+    good = (vx > 0) & (vx > 1e-24 * centre * centre) & (vy > 1e-12 * syy / n)
+    return F.when(good, (sxy / n - sx / n * sy / n) / F.sqrt(F.when(good, vx * vy))).otherwise(F.lit(0.0))
 
 
 def hamming_weight_model(byte: Column, hypothesis: Column) -> Column:
@@ -41,15 +42,21 @@ def cpa(traces: DataFrame, model: Callable[[Column, Column], Column], n_hypothes
     if not 1 <= n_hypotheses <= MAX_HYPOTHESES:
         raise ValueError(f"hypotheses must be 1 to {MAX_HYPOTHESES}")
     known = traces.where(F.octet_length("data") > byte).withColumn("b", byte_at(F.col("data"), byte))
-    by_byte = to_long(known, start, count, keep=("b",)).groupBy("b", "sample_idx").agg(F.sum("v").alias("s"), F.sum(F.col("v") * F.col("v")).alias("q"))
+    long = to_long(known, start, count, keep=("b",))
+    means = long.groupBy("sample_idx").agg(F.avg("v").alias("centre"))  # one row per sample
+    x = F.col("v") - F.col("centre")
+    by_byte = long.join(F.broadcast(means), "sample_idx").groupBy("b", "sample_idx").agg(F.sum(x).alias("s"), F.sum(x * x).alias("q"), F.count(F.lit(1)).alias("k"), F.first("centre").alias("centre"))
     counts = known.groupBy("b").agg(F.count(F.lit(1)).alias("c"))
     grid = counts.select("b", "c", F.explode(F.sequence(F.lit(0), F.lit(n_hypotheses - 1))).alias("hypothesis")).withColumn("m", model(F.col("b"), F.col("hypothesis")))
-    models = grid.groupBy("hypothesis").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("m")).alias("sy"), F.sum(F.col("c") * F.col("m") * F.col("m")).alias("syy"))
-    samples = by_byte.groupBy("sample_idx").agg(F.sum("s").alias("sx"), F.sum("q").alias("sxx"))
+    models = grid.groupBy("hypothesis").agg(F.sum("c").cast("double").alias("n"), F.sum(F.col("c") * F.col("m")).alias("sy"), F.sum(F.col("c") * F.col("m") * F.col("m")).alias("syy"))
+    samples = by_byte.groupBy("sample_idx").agg(F.sum("s").alias("sx"), F.sum("q").alias("sxx"), F.sum("k").alias("present"), F.first("centre").alias("centre"))
     # at most 256 bytes x hypotheses rows, joined on the byte
-    cross = by_byte.join(F.broadcast(grid.select("b", "hypothesis", "m")) if n_hypotheses <= 1024 else grid.select("b", "hypothesis", "m"), "b").groupBy("hypothesis", "sample_idx").agg(F.sum(F.col("s") * F.col("m")).alias("sxy"))
+    cross = by_byte.join(F.broadcast(grid.select("b", "hypothesis", "m")) if n_hypotheses <= 1024 else grid.select("b", "hypothesis", "m"), "b").groupBy("hypothesis", "sample_idx").agg(F.sum(F.col("s") * F.col("m")).alias("sxy"), F.sum(F.col("k") * F.col("m")).alias("my"))
     joined = cross.join(models, "hypothesis").join(samples, "sample_idx")
-    return joined.select("hypothesis", "sample_idx", pearson(F.col("n").cast("double"), F.col("sx"), F.col("sxx"), F.col("sy"), F.col("syy"), F.col("sxy")).alias("corr"))
+    # a missing sample is 0, which lies the centre's negative away from it
+    absent, c = F.col("n") - F.col("present"), F.col("centre")
+    sums = F.col("sx") - c * absent, F.col("sxx") + c * c * absent, F.col("sy"), F.col("syy"), F.col("sxy") - c * (F.col("sy") - F.col("my"))
+    return joined.select("hypothesis", "sample_idx", pearson(F.col("n"), *sums, c).alias("corr"))
 
 
 # --- user models -----------------------------------------------------------------------------------
@@ -86,37 +93,59 @@ def check_model(source: str, traces: DataFrame) -> Callable:
     model = compile_model(source)
     rows = [bytes(r[0]) for r in traces.orderBy("trace_idx").select("data").limit(5).collect()]
     if rows:
-        evaluate_model(model, np.frombuffer(b"".join(rows), np.uint8).reshape(len(rows), -1), 0)
+        width = max(map(len, rows))
+        evaluate_model(model, np.frombuffer(b"".join(r.ljust(width, b"\0") for r in rows), np.uint8).reshape(len(rows), width), 0)
     return model
 
 
+#: Hypotheses whose model values a task holds at once.
+HYPOTHESES_EACH = 256
+
+
 def cpa_user_model(traces: DataFrame, model: Callable, n_hypotheses: int = 256, n_samples: int = 0) -> DataFrame:
     """CPA with a row-local Python model over the whole ``data``: each task returns sums per
-    (hypothesis, sample), which are then added up."""
+    (hypothesis, sample), which are then added up. ``data`` is padded with zeros to the longest, samples
+    to the longest trace (or cut to ``n_samples``), whichever batch they come in."""
+    if not 1 <= n_hypotheses <= MAX_HYPOTHESES:
+        raise ValueError(f"hypotheses must be 1 to {MAX_HYPOTHESES}")
+    longest = traces.agg(F.coalesce(F.max(F.size("samples")), F.lit(0)), F.coalesce(F.max(F.octet_length("data")), F.lit(0))).first()
+    ns, width = n_samples or longest[0], longest[1]
+    centre = np.zeros(ns)
+    for r in to_long(traces, 0, ns).groupBy("sample_idx").agg(F.avg("v").alias("mean")).collect():  # one row per sample
+        centre[r.sample_idx] = r["mean"]
+    names = ["n", "sx", "sxx", "sy", "syy", "sxy", "centre"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = None
+        n, sx, sxx = 0, np.zeros(ns), np.zeros(ns)
+        sy, syy, sxy = np.zeros(n_hypotheses), np.zeros(n_hypotheses), np.zeros((n_hypotheses, ns))
         for batch in batches:
-            if not batch.num_rows:
+            rows = batch.num_rows
+            if not rows:
                 continue
-            raw = [bytes(x) for x in batch.column("data").to_pylist()]
-            data = np.frombuffer(b"".join(raw), np.uint8).reshape(len(raw), -1)
-            lists = [np.asarray(x, np.float64) for x in batch.column("samples").to_pylist()]
-            ns = n_samples or max(map(len, lists))
-            x = np.zeros((len(lists), ns))
-            for i, row in enumerate(lists):
-                x[i, : min(ns, len(row))] = row[:ns]
-            y = np.stack([evaluate_model(model, data, h) for h in range(n_hypotheses)]).astype(np.float64)
-            sums = [np.full((n_hypotheses, ns), float(len(x))), np.broadcast_to(x.sum(0), (n_hypotheses, ns)), np.broadcast_to((x * x).sum(0), (n_hypotheses, ns)), np.broadcast_to(y.sum(1)[:, None], (n_hypotheses, ns)), np.broadcast_to((y * y).sum(1)[:, None], (n_hypotheses, ns)), y @ x]
-            total = sums if total is None else [a + b for a, b in zip(total, sums, strict=True)]
-        if total is not None:
-            h, s = np.indices(total[0].shape)
-            yield pa.RecordBatch.from_arrays([pa.array(h.ravel().astype(np.int32)), pa.array(s.ravel().astype(np.int32)), *[pa.array(np.ascontiguousarray(t).ravel()) for t in total]], ["hypothesis", "sample_idx", "n", "sx", "sxx", "sy", "syy", "sxy"])
-
-    names = ["n", "sx", "sxx", "sy", "syy", "sxy"]
+            data = np.frombuffer(b"".join(bytes(v or b"").ljust(width, b"\0") for v in batch.column("data").to_pylist()), np.uint8).reshape(rows, width)
+            x = np.zeros((rows, ns))
+            for i, row in enumerate(batch.column("samples").to_pylist()):
+                own = np.asarray(row[:ns], np.float64)
+                x[i, : len(own)] = own
+            x -= centre
+            n, sx, sxx = n + rows, sx + x.sum(0), sxx + (x * x).sum(0)
+            for h in range(0, n_hypotheses, HYPOTHESES_EACH):
+                y = np.stack([evaluate_model(model, data, k) for k in range(h, min(n_hypotheses, h + HYPOTHESES_EACH))]).astype(np.float64)
+                at = slice(h, h + len(y))
+                sy[at] += y.sum(1)
+                syy[at] += (y * y).sum(1)
+                sxy[at] += y @ x
+        for h in range(n_hypotheses if n else 0):
+            # sums of samples alone go with hypothesis 0, those of the model alone with sample 0
+            alone = [np.full(ns, float(n)), sx, sxx] if h == 0 else [np.zeros(ns)] * 3
+            first = [np.where(np.arange(ns) == 0, v[h], 0.0) for v in (sy, syy)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(ns, h, np.int32)), pa.array(np.arange(ns, dtype=np.int32)), *map(pa.array, [*alone, *first, sxy[h], centre])], ["hypothesis", "sample_idx", *names])
+
     sums = traces.select("samples", "data").mapInArrow(run, "hypothesis int, sample_idx int, " + ", ".join(f"{c} double" for c in names))
-    added = sums.groupBy("hypothesis", "sample_idx").agg(*[F.sum(c).alias(c) for c in names])
-    return added.select("hypothesis", "sample_idx", pearson(*[F.col(c) for c in names]).alias("corr"))
+    added = sums.groupBy("hypothesis", "sample_idx").agg(*[F.sum(c).alias(c) for c in names[:-1]], F.first("centre").alias("centre"))
+    whole = {c: F.sum(c).over(Window.partitionBy("sample_idx" if c in ("n", "sx", "sxx") else "hypothesis")) for c in names[:5]}
+    spread = added.withColumns(whole)
+    return spread.select("hypothesis", "sample_idx", pearson(*[F.col(c) for c in names]).alias("corr"))
 
 
 def rank_hypotheses(result: DataFrame) -> DataFrame:
