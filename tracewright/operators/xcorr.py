@@ -11,12 +11,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewright.model import to_long
 
-#: M x M doubles on a task or, for the eigenproblem, on the driver: 128 MB at this M.
+#: M x M doubles of a task or, for the eigenproblem, of the driver: 128 MB at this M. Larger matrices are
+#: made of blocks of this side.
 MAX_SAMPLES = 4096
 
 
@@ -28,13 +29,45 @@ def sample_moments(long: DataFrame) -> DataFrame:
     return centred.groupBy("sample_idx").agg(F.count(F.lit(1)).alias("n"), F.first("mean").alias("mean"), F.avg(d * d).alias("var"))
 
 
-def correlation_sql(traces: DataFrame, first: tuple[int, int], second: tuple[int, int] | None = None) -> DataFrame:
-    """Correlation of two sample ranges as joins within traces: i, j, corr; the oracle's form."""
-    a = to_long(traces, *first).select("trace_idx", F.col("sample_idx").alias("i"), F.col("v").alias("x"))
-    b = to_long(traces, *(second or first)).select("trace_idx", F.col("sample_idx").alias("j"), F.col("v").alias("y"))
-    sums = a.join(b, "trace_idx").groupBy("i", "j").agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("mx"), F.avg("y").alias("my"), F.avg(F.col("x") * F.col("y")).alias("xy"), F.var_pop("x").alias("vx"), F.var_pop("y").alias("vy"))
-    good = (F.col("vx") > 1e-30) & (F.col("vy") > 1e-30)
-    return sums.select("i", "j", F.when(good, (F.col("xy") - F.col("mx") * F.col("my")) / F.sqrt(F.when(good, F.col("vx") * F.col("vy")))).otherwise(F.lit(0.0)).alias("corr"))
+def _means(traces: DataFrame, columns: tuple[int, int]) -> np.ndarray:
+    """Mean of every sample of a range [start, start+count) over the traces that have it: one row per sample."""
+    out = np.zeros(columns[1])
+    for r in to_long(traces, *columns).groupBy("sample_idx").agg(F.avg("v").alias("mean")).collect():
+        out[r.sample_idx] = r["mean"]
+    return out
+
+
+def rectangle(traces: DataFrame, first: tuple[int, int], second: tuple[int, int], stride: int = 1) -> DataFrame:
+    """Correlation of the samples of two ranges (start, count), every ``stride``-th: i, j, corr, indices from 0
+    in each. Each task adds up products of centred samples; missing samples are 0."""
+    centres = [_means(traces, r)[::stride] for r in (first, second)]
+    m, k = map(len, centres)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, vx, vy, n = np.zeros((m, k)), np.zeros(m), np.zeros(k), 0
+        for batch in batches:
+            rows = batch.column("samples").to_pylist()
+            if rows:
+                x, y = np.zeros((len(rows), m)), np.zeros((len(rows), k))
+                for at, r in enumerate(rows):
+                    for out, (start, count) in ((x, first), (y, second)):
+                        own = np.asarray(r[start : start + count : stride], np.float64)
+                        out[at, : len(own)] = own
+                x -= centres[0]
+                y -= centres[1]
+                total += x.T @ y
+                vx += (x * x).sum(0)
+                vy += (y * y).sum(0)
+                n += len(rows)
+        for i in range(m if n else 0):
+            # sums of one range alone go with the other's first sample
+            own, other = np.where(np.arange(k) == 0, vx[i], 0.0), vy if i == 0 else np.zeros(k)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(k, i, np.int32)), pa.array(np.arange(k, dtype=np.int32)), pa.array(np.full(k, n, np.int64)), *map(pa.array, (total[i], own, other))], ["i", "j", "n", "g", "vx", "vy"])
+
+    sums = traces.select("samples").mapInArrow(run, "i int, j int, n long, g double, vx double, vy double").groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "g", "vx", "vy")])
+    whole = sums.withColumns({"vx": F.sum("vx").over(Window.partitionBy("i")), "vy": F.sum("vy").over(Window.partitionBy("j"))})
+    good = (F.col("vx") / F.col("n") > 1e-30) & (F.col("vy") / F.col("n") > 1e-30)
+    return whole.select("i", "j", F.when(good, F.col("g") / F.sqrt(F.when(good, F.col("vx") * F.col("vy")))).otherwise(F.lit(0.0)).alias("corr"))
 
 
 def gram(traces: DataFrame, n_samples: int, stride: int = 1) -> DataFrame:
@@ -42,11 +75,7 @@ def gram(traces: DataFrame, n_samples: int, stride: int = 1) -> DataFrame:
     m = -(-n_samples // stride)
     if not 2 <= m <= MAX_SAMPLES:
         raise ValueError(f"samples after the stride must be 2 to {MAX_SAMPLES}")
-    means = to_long(traces).groupBy("sample_idx").agg(F.avg("v").alias("mean")).where(F.col("sample_idx") < n_samples)
-    centre = np.zeros(n_samples)
-    for r in means.collect():  # one row per sample
-        centre[r.sample_idx] = r["mean"]
-    centre = centre[::stride]
+    centre = _means(traces, (0, n_samples))[::stride]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros((m, m)), 0
@@ -68,7 +97,19 @@ def gram(traces: DataFrame, n_samples: int, stride: int = 1) -> DataFrame:
 
 
 def correlation(traces: DataFrame, n_samples: int, stride: int = 1) -> DataFrame:
-    """Full symmetric matrix i, j, corr; rows and columns of variance below 1e-30 are 0, diagonal included."""
+    """Full symmetric matrix i, j, corr; rows and columns of variance below 1e-30 are 0, diagonal included.
+    Beyond ``MAX_SAMPLES`` the matrix is made of blocks, each by a pass over the traces."""
+    m = -(-n_samples // stride)
+    if m > MAX_SAMPLES:
+        blocks = [(a, min(MAX_SAMPLES, m - a)) for a in range(0, m, MAX_SAMPLES)]
+        out = None
+        for at, (a, x) in enumerate(blocks):
+            for b, y in blocks[at:]:
+                part = rectangle(traces, (a * stride, min(x * stride, n_samples - a * stride)), (b * stride, min(y * stride, n_samples - b * stride)), stride)
+                part = part.select((F.col("i") + a).alias("i"), (F.col("j") + b).alias("j"), "corr")
+                both = part if a == b else part.unionByName(part.select(F.col("j").alias("i"), F.col("i").alias("j"), "corr"))
+                out = both if out is None else out.unionByName(both)
+        return out
     g = gram(traces, n_samples, stride)
     var = g.where("i = j").select("i", (F.col("g") / F.col("n")).alias("var"))
     half = g.join(F.broadcast(var.withColumnRenamed("var", "vi")), "i").join(F.broadcast(var.select(F.col("i").alias("j"), F.col("var").alias("vj"))), "j")
@@ -101,7 +142,7 @@ def correlation_cleaned(traces: DataFrame, n_samples: int, stride: int = 1) -> t
 
 def two_windows(traces: DataFrame, reference: tuple[int, int], search: tuple[int, int]) -> DataFrame:
     """Search x reference correlation: search, ref, corr, indices from 0 in each window."""
-    return correlation_sql(traces, search, reference).select(F.col("i").alias("search"), F.col("j").alias("ref"), "corr")
+    return rectangle(traces, search, reference).select(F.col("i").alias("search"), F.col("j").alias("ref"), "corr")
 
 
 def estimate(n_samples: int, stride: int) -> dict[str, int]:
