@@ -176,17 +176,22 @@ def heat_binary(v: Column, limit: float) -> Column:
     return F.when(v >= limit, F.lit(1.0)).otherwise(F.lit(0.0))
 
 
-#: Stops of the display palettes: (place, red, green, blue).
+# Stops of the display palettes (place, red, green, blue).
 PALETTES = {
+    "diverging": ((0.0, 5, 113, 176), (0.25, 146, 197, 222), (0.5, 247, 247, 247), (0.75, 244, 165, 130), (1.0, 202, 0, 32)),
     "gray": ((0.0, 0, 0, 0), (1.0, 255, 255, 255)),
-    "hot": ((0.0, 0, 0, 0), (0.375, 255, 0, 0), (0.75, 255, 255, 0), (1.0, 255, 255, 255)),
-    "diverging": ((0.0, 0, 0, 255), (0.5, 255, 255, 255), (1.0, 255, 0, 0)),
-    "jet": ((0.0, 0, 0, 128), (0.125, 0, 0, 255), (0.375, 0, 255, 255), (0.625, 255, 255, 0), (0.875, 255, 0, 0), (1.0, 128, 0, 0)),
+    "hot": ((0.0, 0, 0, 0), (0.33, 255, 0, 0), (0.67, 255, 255, 0), (1.0, 255, 255, 255)),
     "viridis": ((0.0, 68, 1, 84), (0.25, 59, 82, 139), (0.5, 33, 145, 140), (0.75, 94, 201, 98), (1.0, 253, 231, 37)),
-    "plasma": ((0.0, 13, 8, 135), (0.25, 126, 3, 168), (0.5, 204, 71, 120), (0.75, 248, 149, 64), (1.0, 240, 249, 33)),
+    "plasma": ((0.0, 13, 8, 135), (0.25, 156, 23, 158), (0.5, 237, 104, 60), (0.75, 246, 200, 33), (1.0, 240, 249, 33)),
+    "green": ((0.0, 0, 0, 0), (1.0, 0, 255, 0)),
 }
 
 
+def color_place(v: Column, lo: Column, hi: Column) -> Column:
+    """Place of a value in a display range; the middle where the range is empty."""
+    return F.when(hi == lo, F.lit(0.5)).otherwise((v - lo) / F.nullif(hi - lo, F.lit(0.0)))
+
+
 def colormap(place: Column, palette: str = "gray") -> Column:
     """Packed RGB of a place in [0, 1], by linear pieces with truncation."""
     stops = PALETTES[palette]

@@ -35,9 +35,13 @@ def shifted(traces: DataFrame, shifts: DataFrame | None, start: int = 0, count:
     return joined.withColumn("samples", F.when(n > 0, window).otherwise(F.array().cast("array<float>"))).drop("shift")
 
 
+NO_RANGE = "the shifted traces have no common valid range"
+
+
 def common_range(shifts: DataFrame, n_samples: int) -> DataFrame:
     """First and past-last sample index valid for all shifted traces; empty raises at use."""
-    return shifts.agg(F.greatest(F.lit(0), F.max(-F.col("shift"))).alias("start"), F.least(F.lit(n_samples), F.min(F.lit(n_samples) - F.col("shift"))).alias("end"))
+    found = shifts.agg(F.greatest(F.lit(0), F.max(-F.col("shift"))).alias("start"), F.least(F.lit(n_samples), F.min(F.lit(n_samples) - F.col("shift"))).alias("end"))
+    return found.select("start", F.when(F.col("end") > F.col("start"), F.col("end")).otherwise(F.raise_error(F.lit(NO_RANGE)).cast("int")).alias("end"))
 
 
 def align_pad(traces: DataFrame, shifts: DataFrame, mode: str = "zero") -> DataFrame:
@@ -47,7 +51,9 @@ def align_pad(traces: DataFrame, shifts: DataFrame, mode: str = "zero") -> DataF
     n = F.size("samples")
     if mode == "crop":
         bounds = joined.agg(F.greatest(F.lit(0), F.max(-F.col("shift"))).alias("a"), F.min(F.least(n, n - F.col("shift"))).alias("b"))
-        return joined.crossJoin(F.broadcast(bounds)).where("b > a").withColumn("samples", F.slice("samples", F.col("a") + F.col("shift") + 1, F.col("b") - F.col("a"))).drop("a", "b", "shift")
+        cut = F.slice("samples", F.col("a") + F.col("shift") + 1, F.col("b") - F.col("a"))
+        whole = F.when(F.col("b") > F.col("a"), cut).otherwise(F.raise_error(F.lit(NO_RANGE)).cast("array<float>"))
+        return joined.crossJoin(F.broadcast(bounds)).withColumn("samples", whole).drop("a", "b", "shift")
     if mode == "avg":
         overlap = F.filter("samples", lambda _, i: (i - F.col("shift") >= 0) & (i - F.col("shift") < n))
         fill = F.aggregate(overlap, F.lit(0.0), lambda a, x: a + x.cast("double")) / F.greatest(F.size(overlap), F.lit(1))

@@ -56,8 +56,14 @@ def moving_average(w: int) -> Transform:
     """Causal mean of the last w samples; at the start of those seen so far."""
     if w < 1:
         raise ValueError("window must be 1 at least")
-    step = lambda i: _mean(F.slice("samples", F.greatest(F.lit(1), i + 2 - w), F.least(i + 1, F.lit(w))))
-    return Transform(f"Moving average {w}", lambda df: df.withColumn("samples", F.transform("samples", lambda _, i: step(i).cast("float"))), startup=w - 1)
+
+    def f(x: np.ndarray) -> np.ndarray:
+        mean = x.mean(axis=1, keepdims=True)  # sums of centred samples stay small
+        sums = np.cumsum(x - mean, axis=1)
+        sums[:, w:] -= sums[:, :-w].copy()
+        return sums / np.minimum(np.arange(1, x.shape[1] + 1), w) + mean
+
+    return Transform(f"Moving average {w}", lambda df: _kernel(df, f), startup=w - 1)
 
 
 def window_resample(w: int) -> Transform:
@@ -88,9 +94,9 @@ def one_sided(frames: np.ndarray, kind: str) -> np.ndarray:
     return out
 
 
-def _kernel(df: DataFrame, f: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+def _kernel(df: DataFrame, f: Callable[..., np.ndarray], key: str | None = None) -> DataFrame:
     """Replaces samples by a row-wise numpy kernel, one Arrow batch at a time; rows of one length go
-    through together."""
+    through together. With ``key`` the kernel also gets that column's values of the rows."""
     columns = df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,7 +107,8 @@ def _kernel(df: DataFrame, f: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
             out: list[np.ndarray] = [np.zeros(0)] * len(lengths)
             for n in np.unique(lengths):
                 rows = np.flatnonzero(lengths == n)
-                made = f(values[starts[rows][:, None] + np.arange(n)]) if n else np.zeros((len(rows), 0))
+                more = () if key is None else ([batch.column(key)[r].as_py() for r in rows.tolist()],)
+                made = f(values[starts[rows][:, None] + np.arange(n)], *more) if n else np.zeros((len(rows), 0))
                 for r, x in zip(rows, made, strict=True):
                     out[r] = x
             bounds = np.concatenate([[0], np.cumsum([len(x) for x in out])]).astype(np.int32)
@@ -130,17 +137,18 @@ def stft_magnitude(size: int, hop: int, window: str = "hann") -> Transform:
 
 
 def gaussian_noise(factor: float, seed: int | None = None) -> Transform:
-    """Adds normal noise of ``factor`` times the trace's population deviation (floored at 1e-8)."""
+    """Adds normal noise of ``factor`` times the trace's population deviation (floored at 1e-8). With a seed a
+    trace's noise depends on the seed and the trace index alone."""
+
+    base = seed if seed is not None else int(np.random.default_rng().integers(1 << 62))
+
+    def f(x: np.ndarray, indices: list[int | None]) -> np.ndarray:
+        # a generator for each trace: its noise does not depend on how traces are dealt out
+        noise = np.stack([np.random.default_rng([abs(base), abs(i or 0), int(i is None)]).standard_normal(x.shape[1]) for i in indices])
+        return x + factor * np.maximum(x.std(axis=1, keepdims=True), 1e-8) * noise
 
     def apply(df: DataFrame) -> DataFrame:
-        if factor <= 0:
-            return df
-        rows = df.withColumn("mean", _mean(F.col("samples")))
-        rows = rows.withColumn("sd", F.greatest(F.sqrt(F.aggregate("samples", F.lit(0.0), lambda a, x: a + (x.cast("double") - F.col("mean")) ** 2) / F.greatest(F.size("samples"), F.lit(1))), F.lit(1e-8)))
-        long = rows.select(*df.columns, "sd", F.posexplode("samples").alias("i", "x"))
-        noisy = long.withColumn("y", (F.col("x") + F.lit(float(factor)) * F.col("sd") * (F.randn(seed) if seed is not None else F.randn())).cast("float"))
-        keep = [c for c in df.columns if c != "samples"]
-        return noisy.groupBy(*keep).agg(F.sort_array(F.collect_list(F.struct("i", "y"))).alias("p")).select(*[F.transform("p", lambda e: e["y"]).alias("samples") if c == "samples" else F.col(c) for c in df.columns])
+        return _kernel(df, f, "trace_idx") if factor > 0 else df
 
     return Transform(f"Gaussian noise {factor:g}", apply)
 
