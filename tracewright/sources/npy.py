@@ -151,14 +151,21 @@ def write_npz(arrays: dict[str, np.ndarray], path: str) -> None:
 
 
 def write_traces_npz(traces: DataFrame, path: str, labels: dict | None = None) -> None:
-    """``traces`` and, where present, ``data``; with ``labels`` (name -> column) one array for each."""
-    rows = traces.select("trace_idx", "samples", "data", *[c.alias(k) for k, c in (labels or {}).items()]).orderBy("trace_idx").collect()
-    out = {"traces": np.array([r.samples for r in rows], "<f4")}
-    if labels is None and rows and len(rows[0].data):
-        out["data"] = np.array([list(r.data) for r in rows], np.uint8)
-    for k in labels or {}:
-        out[k] = np.array([int(r[k]) for r in rows])
-    write_npz(out, path)
+    """``traces`` and, where present, ``data``; with ``labels`` (name -> column) one array for each. Members are
+    written one after another, each row by row, so no matrix is held."""
+    n = traces.count()
+    first = traces.select(F.size("samples"), F.octet_length("data")).head()
+    ns, dl = (first[0], first[1] or 0) if first else (0, 0)
+    members = [("traces", F.col("samples"), "<f4", (n, ns))]
+    if labels is None and dl:
+        members.append(("data", F.col("data"), "|u1", (n, dl)))
+    members += [(k, c.cast("long"), "<i8", (n,)) for k, c in (labels or {}).items()]
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_STORED) as z:
+        for name, column, dtype, shape in members:
+            with z.open(f"{name}.npy", "w", force_zip64=True) as f:
+                np.lib.format.write_array_header_1_0(f, {"descr": dtype, "fortran_order": False, "shape": shape})
+                for r in traces.select("trace_idx", column.alias("v")).orderBy("trace_idx").select("v").toLocalIterator():
+                    f.write(bytes(r[0]) if dtype == "|u1" else np.asarray(r[0], dtype).tobytes())
 
 
 def vector_to_array(vector: DataFrame, column: str, dtype: str = "<f4") -> np.ndarray:

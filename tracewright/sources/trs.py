@@ -6,6 +6,7 @@ A file is a list of (tag, length, value) objects up to the trace block, then fix
 
 from __future__ import annotations
 
+import glob
 import os
 import struct
 import uuid
@@ -15,6 +16,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from tracewright.model import TRACE_SCHEMA, Header, TraceSet
@@ -23,7 +25,7 @@ from tracewright.model import TRACE_SCHEMA, Header, TraceSet
 TAG_TRACES, TAG_SAMPLES, TAG_CODING, TAG_DATA, TAG_TITLE_SPACE = 0x41, 0x42, 0x43, 0x44, 0x45
 TAG_TITLE, TAG_DESCRIPTION, TAG_X_LABEL, TAG_Y_LABEL, TAG_X_SCALE, TAG_Y_SCALE = 0x46, 0x47, 0x49, 0x4A, 0x4B, 0x4C
 TAG_PARAMETERS, TAG_BLOCK = 0x77, 0x5F
-CODINGS = {0x01: ("int8", "<i1"), 0x02: ("int16", "<i2"), 0x04: ("int32", "<i4"), 0x14: ("float32", "<f4")}
+CODINGS = {0x01: ("int8", "<i1"), 0x02: ("int16", "<i2"), 0x12: ("int16", "<i2"), 0x04: ("int32", "<i4"), 0x14: ("float32", "<f4")}
 
 
 @dataclass(frozen=True)
@@ -91,8 +93,17 @@ def parse_header(raw: bytes) -> Layout:
 
 
 def read_layout(path: str) -> Layout:
-    with open(path, "rb") as f:
-        return parse_header(f.read(1 << 20))
+    """The layout of a file, whatever the size of its header: more is read until it is whole."""
+    size, n = os.path.getsize(path), 1 << 20
+    while True:
+        with open(path, "rb") as f:
+            raw = f.read(n)
+        try:
+            return parse_header(raw)
+        except ValueError:
+            if n >= size:
+                raise
+        n *= 8
 
 
 def decode_samples(raw: bytes, layout: Layout) -> np.ndarray:
@@ -157,7 +168,8 @@ class Part(WriterCommitMessage):
 
 class TrsWriter(DataSourceArrowWriter):
     """Tasks write record files beside the target, in trace order within each; the commit writes the
-    header and appends the parts by their first trace, streaming. Input must be range-partitioned
+    header and appends the parts by their first trace, streaming, to a file that takes the target's
+    name when it is whole; parts of failed attempts go as well. Input must be range-partitioned
     by trace_idx (``write_trs`` does that). The target must be a folder all executors share."""
 
     def __init__(self, options: dict):
@@ -183,18 +195,21 @@ class TrsWriter(DataSourceArrowWriter):
         if len({(p.n_samples, p.data_length) for p in parts}) > 1:
             raise ValueError("traces of different length in one file")
         ns, dl = (parts[0].n_samples, parts[0].data_length) if parts else (0, 0)
-        with open(self.path, "wb") as f:
+        whole = f"{self.path}.{self.token}-whole"
+        with open(whole, "wb") as f:
             f.write(header_bytes(sum(p.count for p in parts), ns, dl))
             for p in parts:
                 with open(p.path, "rb") as g:
                     while chunk := g.read(8 << 20):
                         f.write(chunk)
+            f.flush()
+            os.fsync(f.fileno())
+        os.replace(whole, self.path)
         self.abort(messages)
 
     def abort(self, messages: list) -> None:
-        for m in messages:
-            if m and os.path.exists(m.path):
-                os.remove(m.path)
+        for name in glob.glob(f"{glob.escape(self.path)}.{self.token}-*"):
+            os.remove(name)
 
 
 class TrsSource(DataSource):
@@ -224,3 +239,15 @@ def write_trs(traces: DataFrame, path: str) -> None:
     spark.dataSource.register(TrsSource)
     ordered = traces.select("trace_idx", "samples", "data").repartitionByRange("trace_idx").sortWithinPartitions("trace_idx")
     ordered.write.format("trs").option("path", path).mode("append").save()
+
+
+def write_vector_trs(vector: DataFrame, value: str, path: str) -> None:
+    """A result by sample (t statistic, say) as a file of one trace."""
+    rows = vector.select(F.lit(0).alias("i"), F.col("sample_idx").alias("j"), F.col(value).alias("v"))
+    write_matrix_trs(rows, "i", "j", "v", path)
+
+
+def write_matrix_trs(matrix: DataFrame, row: str, column: str, value: str, path: str) -> None:
+    """A matrix as a file with a trace for each row, its samples in column order."""
+    gathered = matrix.groupBy(F.col(row).cast("int").alias("trace_idx")).agg(F.sort_array(F.collect_list(F.struct(F.col(column).alias("c"), F.col(value).alias("v")))).alias("x"))
+    write_trs(gathered.select("trace_idx", F.transform("x", lambda e: e["v"].cast("float")).alias("samples"), F.lit(b"").alias("data")), path)
