@@ -100,7 +100,7 @@ def test_cpa_recovers_the_key(spark):
 def test_correlation(spark):
     x = (0.5 + 0.3 * (np.arange(15) % 5))[:, None] * (np.arange(8) + 1)[None]
     df = model.from_arrays(spark, x).df
-    for result in (xcorr.correlation(df, 8), xcorr.correlation_sql(df, (0, 8))):
+    for result in (xcorr.correlation(df, 8), xcorr.rectangle(df, (0, 8), (0, 8))):
         got = npy.matrix_to_array(result, "i", "j", "corr", (8, 8))
         assert np.allclose(abs(got), 1, atol=1e-6)
     constant = model.from_arrays(spark, np.ones((20, 32), np.float32)).df

@@ -92,11 +92,11 @@ def embeddings_as_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select(F.col("vec_id").cast("int").alias("trace_idx"), F.col("embedding").alias("samples"), data.alias("data"))
 
 
-def events_as_traces(spark: SparkSession, sf_dir: str, n: int = 40) -> DataFrame:
-    """The events table as traces: per user the first ``n`` values by time and id."""
+def events_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events table in long form, a user being a trace: trace_idx, v. Values are not numbered, which
+    would gather all events of a user."""
     t = spark.read.parquet(f"{sf_dir}/events.parquet")
-    ordered = t.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("ts", "event_id", "value"))).alias("e"))
-    return ordered.select(F.col("user_id").cast("int").alias("trace_idx"), F.transform(F.slice("e", 1, n), lambda x: x["value"].cast("float")).alias("samples"), F.lit(b"").alias("data"))
+    return t.select(F.col("user_id").cast("int").alias("trace_idx"), F.col("value").cast("float").cast("double").alias("v"))
 
 
 def byte_at(data: Column, i: int | Column) -> Column:

@@ -1,7 +1,7 @@
 """The registered trace queries, each with DuckDB SQL for the same rows.
 
 Traces are the rows of ``embeddings`` (64 samples; byte 0 is (37 vec_id + 13) mod 256, byte 1 the
-label), or the first 40 event values of every user.  Real results are rounded on both sides, and
+label), or all event values of every user.  Real results are rounded on both sides, and
 0.0 is added to turn a negative zero into zero.
 """
 
@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewright.functions import scalar as fn
-from tracewright.model import byte_at, embeddings_as_traces, events_as_traces, to_long
+from tracewright.model import byte_at, embeddings_as_traces, events_long, to_long
 from tracewright.operators import align, cpa, display, projections, stats, xcorr
 from tracewright.operators import transforms as tx
 
@@ -26,8 +26,7 @@ T = """t AS (SELECT CAST(vec_id AS INTEGER) AS trace_idx, embedding AS x, CAST((
   CAST(label AS INTEGER) AS b1 FROM embeddings)"""
 L = T + """, l AS (SELECT trace_idx, b0, b1, s, CAST(x[s + 1] AS DOUBLE) AS v FROM (
   SELECT trace_idx, b0, b1, x, CAST(unnest(range(0, 64)) AS INTEGER) AS s FROM t))"""
-E40 = """l AS (SELECT CAST(user_id AS INTEGER) AS trace_idx, CAST(r - 1 AS INTEGER) AS s, CAST(CAST(value AS FLOAT) AS DOUBLE) AS v FROM (
-  SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events) WHERE r <= 40)"""
+EVENTS = "l AS (SELECT CAST(user_id AS INTEGER) AS trace_idx, CAST(CAST(value AS FLOAT) AS DOUBLE) AS v FROM events)"
 BITS = " + ".join(f"(({{0}} >> {i}) & 1)" for i in range(8))
 BOX = "[" + ", ".join(map(str, fn.SBOX)) + "]"
 
@@ -159,6 +158,7 @@ def tstats(s: SparkSession, d: str) -> DataFrame:
 
 register("agg_ttest_acc", WELCH + f" SELECT s AS sample_idx, CAST(n0 AS BIGINT) AS n0, {r('s0', 's0')}, {r('q0', 'q0')}, CAST(n1 AS BIGINT) AS n1, {r('s1', 's1')}, {r('q1', 'q1')} FROM c")(lambda s, d: stats.ttest_sums(to_long(parity(s, d), keep=("grp",))))
 register("agg_ttest", WELCH + f" SELECT sample_idx, {r('t', 't')}, {r('df', 'df', 6)}, n0, n1 FROM w")(tstats)
+register("agg_ttest_byte", WELCH.replace("b1 % 2 AS g", "CASE WHEN b1 <> 0 THEN 1 ELSE 0 END AS g") + f" SELECT sample_idx, {r('t', 't')}, {r('df', 'df', 6)}, n0, n1 FROM w")(lambda s, d: stats.ttest(traces(s, d).withColumn("grp", (byte_at(F.col("data"), 1) != 0).cast("int"))))
 register("agg_ttest_df", WELCH + f" SELECT sample_idx, {r('df', 'df', 5)} FROM w", 5)(lambda s, d: tstats(s, d).select("sample_idx", "df"))
 register("agg_ttest_counts", f"WITH {T} SELECT CAST(sum(CASE WHEN b1 % 2 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n0, CAST(sum(b1 % 2) AS BIGINT) AS n1 FROM t")(lambda s, d: stats.group_counts(parity(s, d)))
 register("agg_median_df", WELCH + f" SELECT {r('df', 'median_df', 5)} FROM (SELECT df, row_number() OVER (ORDER BY df) AS k FROM w) WHERE k = 33", 5)(lambda s, d: stats.median_df(tstats(s, d)))
@@ -195,7 +195,7 @@ for name in ("fn_sbox", "jn_sbox"):
 for name in ("fn_hamming_weight", "fn_leak_hw"):
     register(name, f"WITH {T} SELECT trace_idx, CAST({BITS.format('xor(b0, 90)')} AS INTEGER) AS hw FROM t")(lambda s, d: traces(s, d).select("trace_idx", fn.hamming_weight(byte_at(F.col("data"), 0).bitwiseXOR(F.lit(90))).cast("int").alias("hw")))
 register("agg_trace_stats", f"WITH {L} SELECT trace_idx, {r('avg(v)', 'mean')}, {r('stddev_pop(v)', 'sd')} FROM l GROUP BY trace_idx")(lambda s, d: stats.trace_stats(to_long(traces(s, d))))
-register("agg_trace_stats_events", f"WITH {E40} SELECT trace_idx, {r('avg(v)', 'mean', 4)}, {r('stddev_pop(v)', 'sd', 4)} FROM l GROUP BY trace_idx", 4)(lambda s, d: stats.trace_stats(to_long(events_as_traces(s, d))))
+register("agg_trace_stats_events", f"WITH {EVENTS} SELECT trace_idx, {r('avg(v)', 'mean', 4)}, {r('stddev_pop(v)', 'sd', 4)} FROM l GROUP BY trace_idx", 4)(lambda s, d: stats.trace_stats(events_long(s, d)))
 
 # --- CPA ----------------------------------------------------------------------------------------------
 
@@ -211,6 +211,8 @@ def cpa_result(s: SparkSession, d: str) -> DataFrame:
 
 for name in ("agg_cpa", "jn_hypothesis"):
     register(name, CPA + f" SELECT hypothesis, sample_idx, {r('corr', 'corr')} FROM k")(cpa_result)
+OFFSET = CPA.replace("FROM l GROUP BY b0, s", "FROM (SELECT b0, s, u - avg(u) OVER (PARTITION BY s) AS v FROM (SELECT b0, s, CAST(CAST(v AS FLOAT) + CAST(30000 AS FLOAT) AS DOUBLE) AS u FROM l)) GROUP BY b0, s")
+register("agg_cpa_offset", OFFSET + f" SELECT hypothesis, sample_idx, {r('corr', 'corr')} FROM k")(lambda s, d: cpa.cpa(tx.offset(30000.0)(traces(s, d)), cpa.hamming_weight_model))
 RANKED = CPA + ", z AS (SELECT *, row_number() OVER (PARTITION BY hypothesis ORDER BY round(abs(corr), 9) DESC, sample_idx) AS o FROM k)"
 
 
@@ -220,8 +222,8 @@ def ranked(s: SparkSession, d: str) -> DataFrame:
 
 register("top_cpa_rank", RANKED + f" SELECT hypothesis, {r('abs(corr)', 'peak')}, sample_idx FROM z WHERE o = 1")(lambda s, d: ranked(s, d).select("hypothesis", "peak", "sample_idx"))
 register("top_cpa_16", RANKED + f" SELECT hypothesis, printf('0X%02X', hypothesis) AS name, {r('abs(corr)', 'peak')} FROM z WHERE o = 1 ORDER BY round(abs(corr), 9) DESC, hypothesis LIMIT 16")(lambda s, d: cpa.top_hypotheses(cpa_result(s, d).withColumn("corr", F.round("corr", 9))).select("hypothesis", "name", "peak"))
-register("udf_model_eval", CPA + f" SELECT hypothesis, sample_idx, {r('corr', 'corr')} FROM k WHERE hypothesis < 16")(lambda s, d: cpa.cpa_user_model(traces(s, d), cpa.compile_model(cpa.MODEL_TEMPLATE), 16))
-register("udf_model_boiler", CPA.replace(BITS.format("xor(h, b)"), BITS.format(BOX + "[xor(h, b) + 1]")).replace("range(0, 256) AS p(h)", "range(0, 16) AS p(h)") + f" SELECT hypothesis, sample_idx, {r('corr', 'corr')} FROM k")(lambda s, d: cpa.cpa(traces(s, d), cpa.sbox_model, 16))
+register("udf_model_eval", CPA + f" SELECT hypothesis, sample_idx, {r('corr', 'corr')} FROM k")(lambda s, d: cpa.cpa_user_model(traces(s, d), cpa.compile_model(cpa.MODEL_TEMPLATE)))
+register("udf_model_boiler", CPA.replace(BITS.format("xor(h, b)"), BITS.format(BOX + "[xor(h, b) + 1]"))  + f" SELECT hypothesis, sample_idx, {r('corr', 'corr')} FROM k")(lambda s, d: cpa.cpa(traces(s, d), cpa.sbox_model))
 register("prj_matrix_rows", CPA + f" SELECT hypothesis AS trace_idx, sample_idx, {r('CAST(corr AS FLOAT)', 'v', 5)} FROM k", 5)(lambda s, d: to_long(projections.matrix_rows(cpa_result(s, d), "hypothesis", "sample_idx", "corr")))
 
 # --- correlation matrices -----------------------------------------------------------------------------
@@ -234,7 +236,7 @@ def matrix(s: SparkSession, d: str) -> DataFrame:
     return xcorr.correlation(traces(s, d), NS)
 
 
-for name, f in (("agg_xcorr_base", matrix), ("agg_xcorr_dual", lambda s, d: xcorr.correlation_dual(traces(s, d), NS)), ("agg_xcorr_naive", lambda s, d: xcorr.correlation_sql(traces(s, d), (0, NS))), ("jn_gram", matrix)):
+for name, f in (("agg_xcorr_base", matrix), ("agg_xcorr_dual", lambda s, d: xcorr.correlation_dual(traces(s, d), NS)), ("agg_xcorr_naive", lambda s, d: xcorr.rectangle(traces(s, d), (0, NS), (0, NS))), ("jn_gram", matrix)):
     register(name, XC + f" SELECT i, j, {r('corr', 'corr')} FROM x")(f)
 register("agg_xcorr_stride", XC + f" SELECT i // 4 AS i, j // 4 AS j, {r('corr', 'corr')} FROM x WHERE i % 4 = 0 AND j % 4 = 0")(lambda s, d: xcorr.correlation(traces(s, d), NS, 4))
 register("agg_xcorr_stats", f"WITH {L} SELECT s AS sample_idx, CAST(count(*) AS BIGINT) AS n, {r('avg(v)', 'mean')}, {r('var_pop(v)', 'var')} FROM l GROUP BY s")(lambda s, d: xcorr.sample_moments(to_long(traces(s, d))))
@@ -251,13 +253,9 @@ register("agg_clip_range", XC + f", o AS (SELECT corr, row_number() OVER (ORDER
 SPEC = f"WITH {L}, {dft('l', 64, 'trace_idx', 's')}"
 
 
-def terms(s: SparkSession, d: str) -> DataFrame:
-    return stats.spectrum_terms(to_long(traces(s, d)), NS)
-
-
-register("agg_fft_avg", SPEC + f" SELECT CAST(k AS INTEGER) AS bin, {r('avg(mag)', 'mean')}, {r('min(mag)', 'lo')}, {r('max(mag)', 'hi')} FROM g GROUP BY k")(lambda s, d: stats.average_spectrum(terms(s, d), NS))
-register("fn_db", SPEC + f" SELECT CAST(k AS INTEGER) AS bin, {r('avg(CASE WHEN mag > 1e-10 THEN 20 * log10(mag) ELSE -200 END)', 'mean', 4)} FROM g GROUP BY k", 4)(lambda s, d: stats.average_spectrum(terms(s, d), NS, "db").select("bin", "mean"))
-register("fn_phase", SPEC + f" SELECT CAST(k AS INTEGER) AS bin, {r('avg(atan2(im, re))', 'mean', 4)} FROM g WHERE k BETWEEN 1 AND 31 GROUP BY k", 4)(lambda s, d: stats.average_spectrum(terms(s, d), NS, "phase").where("bin BETWEEN 1 AND 31").select("bin", "mean"))
+register("agg_fft_avg", SPEC + f" SELECT CAST(k AS INTEGER) AS bin, {r('avg(mag)', 'mean')}, {r('min(mag)', 'lo')}, {r('max(mag)', 'hi')} FROM g GROUP BY k")(lambda s, d: stats.mean_spectrum(traces(s, d), NS))
+register("fn_db", SPEC + f" SELECT CAST(k AS INTEGER) AS bin, {r('avg(CASE WHEN mag > 1e-10 THEN 20 * log10(mag) ELSE -200 END)', 'mean', 4)} FROM g GROUP BY k", 4)(lambda s, d: stats.mean_spectrum(traces(s, d), NS, "db").select("bin", "mean"))
+register("fn_phase", SPEC + f" SELECT CAST(k AS INTEGER) AS bin, {r('avg(atan2(im, re))', 'mean', 4)} FROM g WHERE k BETWEEN 1 AND 31 GROUP BY k", 4)(lambda s, d: stats.mean_spectrum(traces(s, d), NS, "phase").where("bin BETWEEN 1 AND 31").select("bin", "mean"))
 register("agg_fft_axis", f"SELECT CAST(k AS INTEGER) AS bin, {r('k / 0.001::DOUBLE / 64', 'frequency')} FROM range(0, 33) AS q(k)")(lambda s, d: stats.frequency_axis(s.range(33).select(F.col("id").cast("int").alias("bin")), 0.001, NS))
 register("fn_window_coef", f"SELECT CAST(k AS INTEGER) AS i, {r('0.5::DOUBLE - 0.5::DOUBLE * cos(2 * pi() * k / 63)', 'hann')}, {r('0.54::DOUBLE - 0.46::DOUBLE * cos(2 * pi() * k / 63)', 'hamming')}, {r('0.42::DOUBLE - 0.5::DOUBLE * cos(2 * pi() * k / 63) + 0.08::DOUBLE * cos(4 * pi() * k / 63)', 'blackman')} FROM range(0, 64) AS q(k)")(lambda s, d: s.range(64).select(F.col("id").cast("int").alias("i"), *[fn.window_coefficient(w, F.col("id"), F.lit(64)).alias(w) for w in ("hann", "hamming", "blackman")]))
 
@@ -304,7 +302,17 @@ def column(name: str, sql: str, f: Callable[[Column], Column], out: str, digits:
 column("fn_heat_abs", r(f"abs({V} - 0.5::DOUBLE)", "y"), lambda x: F.abs(x - F.lit(0.5)), "y")
 column("fn_heat_gamma", r(f"0.2::DOUBLE + pow(least(1, greatest(0, ({V} - 0.2::DOUBLE) / 0.6::DOUBLE)), 0.5::DOUBLE) * 0.6::DOUBLE", "y", 5), lambda x: fn.heat_gamma(x, F.lit(0.2), F.lit(0.8), 0.5), "y", 5)
 column("fn_heat_binary", f"CASE WHEN {V} >= 0.5::DOUBLE THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS y", lambda x: fn.heat_binary(x, 0.5), "y")
-column("fn_colormap", f"CAST(floor(255 * ({V})) * 65793 AS INTEGER) AS rgb", lambda x: fn.colormap(x, "gray"), "rgb")
+
+
+def palette_sql(name: str) -> str:
+    """Packed RGB by linear pieces between a palette's stops."""
+    stops, x = fn.PALETTES[name], f"({V})"
+    pieces = [(p, q, [f"CAST(floor({i}::DOUBLE + {j - i}::DOUBLE * (({x} - {p}::DOUBLE) / {q - p!r}::DOUBLE)) AS INTEGER)" for i, j in zip(a, b, strict=True)]) for (p, *a), (q, *b) in zip(stops, stops[1:], strict=False)]
+    cases = " ".join(f"WHEN {x} <= {q}::DOUBLE THEN {c[0]} * 65536 + {c[1]} * 256 + {c[2]}" for _, q, c in pieces)
+    return f"CAST(CASE {cases} END AS INTEGER) AS {name}"
+
+
+register("fn_colormap", f"WITH {T} SELECT trace_idx, {', '.join(map(palette_sql, fn.PALETTES))} FROM t")(lambda s, d: places(s, d).select("trace_idx", *[fn.colormap(F.col("x"), p).alias(p) for p in fn.PALETTES]))
 register("fn_pixel", "SELECT CAST(k AS INTEGER) AS s, CAST(floor((k - 10) * 300 / 77.0) AS BIGINT) AS pixel, CAST(10 + floor(k * 77 / 300.0) AS BIGINT) AS sample FROM range(10, 87) AS q(k)")(lambda s, d: s.range(10, 87).select(F.col("id").cast("int").alias("s"), fn.sample_to_pixel(F.col("id"), 10, 77, 300).alias("pixel"), fn.pixel_to_sample(F.col("id"), 10, 77, 300).alias("sample")))
 
 # --- bytes and labels ---------------------------------------------------------------------------------
