@@ -292,7 +292,8 @@ def signatures(n: int, tokens: np.ndarray, frequencies: np.ndarray, classes: tup
         units = np.cumsum(rank + 1 >= kind)
         length = int(np.searchsorted(units, needed)) + 1
         head, kind, group = tokens[:length], kind[:length], group[:length]
-        found.append(mix(head[kind == 1] ^ np.uint64(0x1111111111111111)))
+        # with the level, as combinations have it: sets of sizes that cannot link do not meet
+        found.append(mix(head[kind == 1] * np.uint64(64) + np.uint64(level)))
         combined = np.flatnonzero(kind > 1)
         members: dict[int, list[int]] = {}
         for i in combined.tolist():
