@@ -362,11 +362,28 @@ def _all_pairs(apart: DataFrame, bounds: DataFrame) -> DataFrame:
     return met.select(F.least("key", "o_key").alias("a"), F.greatest("key", "o_key").alias("b"))
 
 
+def _live(named: DataFrame) -> DataFrame:
+    """Postings (sig, key, n, s, label) that can link within their signature to a set of another label.
+
+    Two sets share at most the smaller ``s`` tokens, so a link needs ``reach`` of each, that is
+    (100 + THRESHOLD) s - THRESHOLD n, to be THRESHOLD times the other's size or more. A posting is
+    held against the largest reach and the smallest size among the other labels of its signature;
+    these come from one row for each signature and label, far fewer than postings where copies meet."""
+    named = named.select("*", ((100 + THRESHOLD) * F.col("s").cast("long") - THRESHOLD * F.col("n")).alias("reach"))
+    sides = named.groupBy("sig", "label").agg(F.max("reach").alias("far"), F.min("n").cast("long").alias("small"))
+    by_far, by_small = (Window.partitionBy("sig").orderBy(c, "label") for c in (F.desc("far"), F.asc("small")))
+    best = lambda c, by: F.when(F.row_number().over(by) == 1, F.lead(c).over(by)).otherwise(F.first(c).over(by))  # noqa: E731  of the other labels
+    sides = sides.select("sig", "label", "far", "small", best("far", by_far).alias("o_far"), best("small", by_small).alias("o_small"))
+    sides = sides.where((F.col("far") >= THRESHOLD * F.col("o_small")) & (F.col("o_far") >= THRESHOLD * F.col("small"))).drop("far", "small")
+    able = (F.col("reach") >= THRESHOLD * F.col("o_small")) & (F.col("o_far") >= THRESHOLD * F.col("n").cast("long"))
+    return named.join(sides, ["sig", "label"]).where(able).select("sig", "key", "n", "s", "label")
+
+
 def set_components(sets: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, label) of the similarity components over set keys; nodes that are labels are left out.
 
     A first turn over a sixteenth of the signatures joins most copies. Then every turn keeps only the
-    postings of signatures whose sets still have different labels, tests one set of each such
+    postings that can still link to a set of another label in their signature, tests one set of each such
     signature, a pivot of its rarest label, against its others, and drops the pivot's posting. Once
     the pairs across labels are few beside the postings, all of them are tested."""
     bounds = sets.select("key", "n", *BOUNDS)
@@ -388,9 +405,7 @@ def set_components(sets: DataFrame, scratch: Scratch) -> DataFrame:
     group = Window.partitionBy("sig")
     for turn in range(1, PIVOT_ROUNDS + 2):
         named = postings.join(labels, postings["key"] == labels["node"], "left").select("sig", "key", "n", "s", F.coalesce("label", "key").alias("label"))
-        # map-side minima and maxima are far fewer than postings
-        open_sigs = named.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("sig")
-        named = named.join(open_sigs, "sig", "left_semi")
+        named = _live(named)
         seen = named.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("sig", "label")))
         seen = seen.select("*", F.max(F.struct("c", "label")).over(group).alias("x"), F.max(F.struct(-F.col("c"), share, F.col("key").alias("key"), F.col("label").alias("label"))).over(group).alias("p"), F.count(F.lit(1)).over(group).alias("m"))
         apart = scratch.write(seen.where("x.c < m").select("sig", "key", "n", "s", "label", F.col("x.label").alias("major"), F.col("p.key").alias("pivot"), F.col("p.label").alias("pivot_label"), (F.col("m") - F.col("c")).alias("others")), f"apart-{turn}")
