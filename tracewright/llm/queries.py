@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewright.llm import bpe, chat, decontam, linededup, lm, media, ngramjoin, pii, sharding, tokencount, toxicity
+from tracewright.llm import bpe, chat, decontam, linededup, lm, media, ngramjoin, pii, repair, sharding, tokencount, toxicity
 from tracewright.llm.common import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,6 +54,10 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_query(load(spark, sf_dir, "conversations"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair_query(load(spark, sf_dir, "conversations"))
+
+
 def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(load(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -69,6 +73,7 @@ QUERIES: dict[str, Query] = {
     "op8_pii": op8_pii,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_chat_formatting": op10_chat_formatting,
+    "op11_conversation_repair": op11_conversation_repair,
     "op13_token_counts": op13_token_counts,
 }
 
@@ -77,4 +82,5 @@ SQL: dict[str, str] = {
     "op4_line_dedup": linededup.LINE_SQL,
     "op5_ngram_join": ngramjoin.NGRAM_SQL,
     "op10_chat_formatting": chat.CHAT_SQL,
+    "op11_conversation_repair": repair.REPAIR_SQL,
 }
