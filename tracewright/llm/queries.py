@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewright.llm import bpe, chat, decontam, linededup, lm, media, ngramjoin, pii, repair, sharding, tokencount, toxicity
+from tracewright.llm import bpe, chat, decontam, linededup, lm, media, ngramjoin, pii, repair, sharding, spelling, tokencount, toxicity
 from tracewright.llm.common import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,6 +58,10 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repair_query(load(spark, sf_dir, "conversations"))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(load(spark, sf_dir, "documents"))
+
+
 def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(load(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -74,6 +78,7 @@ QUERIES: dict[str, Query] = {
     "op9_lm_scoring": op9_lm_scoring,
     "op10_chat_formatting": op10_chat_formatting,
     "op11_conversation_repair": op11_conversation_repair,
+    "op12_spelling_variants": op12_spelling_variants,
     "op13_token_counts": op13_token_counts,
 }
 
@@ -83,4 +88,5 @@ SQL: dict[str, str] = {
     "op5_ngram_join": ngramjoin.NGRAM_SQL,
     "op10_chat_formatting": chat.CHAT_SQL,
     "op11_conversation_repair": repair.REPAIR_SQL,
+    "op12_spelling_variants": spelling.SPELLING_SQL,
 }
