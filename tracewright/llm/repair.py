@@ -175,11 +175,12 @@ def repair(turns: DataFrame, copies: str | None = None) -> DataFrame:
     """
     types = dict(turns.dtypes)
     rows = turns.select(F.col("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit(" ")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit(" ")).alias("text"), (F.lit(1) if copies is None else F.col(copies)).cast("long").alias("copies"))
-    rows = rows.groupBy("conv_id", "turn", "role", "text").agg(F.sum("copies").alias("copies"))
+    # counted copies are dealt by conversation once: the window finds its rows in place
+    rows = rows.groupBy("conv_id", "turn", "role", "text").agg(F.sum("copies").alias("copies")).repartition("conv_id")
     nth = F.sum(F.signum("copies")).over(Window.partitionBy("conv_id", "role", "text").orderBy(F.asc_nulls_first("turn")).rowsBetween(Window.unboundedPreceding, -1))
     bare = F.rtrim(F.col("text"), F.lit(SPACE))
     fault = F.when(bare == "", "blank").when(nth > 0, "duplicate").when(~F.right(bare, F.lit(1)).isin(".", "!", "?"), "truncated").otherwise("")
-    rows = rows.withColumn("fault", fault).select("conv_id", "turn", "role", "text", "fault", "copies").repartition("conv_id")
+    rows = rows.withColumn("fault", fault).select("conv_id", "turn", "role", "text", "fault", "copies")
     kind = turns.sparkSession.createDataFrame([], f"conv_id {types['conv_id']}").toArrow().schema.field("conv_id").type
     fields = [("conv_id", kind), ("turn", pa.int64()), ("role", pa.string()), ("text", pa.string()), ("fault", pa.string()), ("copies", pa.int64())]
     costs = pa.schema([*fields, *[(f"a{i}", pa.int64()) for i in range(4)]])
