@@ -156,8 +156,18 @@ def tstats(s: SparkSession, d: str) -> DataFrame:
     return stats.ttest(parity(s, d))
 
 
-register("agg_ttest_acc", WELCH + f" SELECT s AS sample_idx, CAST(n0 AS BIGINT) AS n0, {r('s0', 's0')}, {r('q0', 'q0')}, CAST(n1 AS BIGINT) AS n1, {r('s1', 's1')}, {r('q1', 'q1')} FROM c")(lambda s, d: stats.ttest_sums(to_long(parity(s, d), keep=("grp",))))
+register("agg_ttest_acc", WELCH + f" SELECT s AS sample_idx, CAST(n0 AS BIGINT) AS n0, {r('s0', 's0')}, {r('q0', 'q0')}, CAST(n1 AS BIGINT) AS n1, {r('s1', 's1')}, {r('q1', 'q1')} FROM c")(lambda s, d: stats.accumulators(parity(s, d)).select("sample_idx", "n0", "s0", "q0", "n1", "s1", "q1"))
 register("agg_ttest", WELCH + f" SELECT sample_idx, {r('t', 't')}, {r('df', 'df', 6)}, n0, n1 FROM w")(tstats)
+
+
+def ragged(t: DataFrame) -> DataFrame:
+    """Traces of 60 to 64 samples."""
+    return t.withColumn("samples", F.slice("samples", F.lit(1), (64 - F.col("trace_idx") % 5).cast("int")))
+
+
+# a trace counts once in its group, whichever samples it has
+RAGGED = WELCH.replace("SELECT s, b1 % 2 AS g, v FROM l)", "SELECT s, b1 % 2 AS g, v FROM l WHERE s < 64 - trace_idx % 5), z AS (SELECT CAST(sum(1 - b1 % 2) AS BIGINT) AS n0, CAST(sum(b1 % 2) AS BIGINT) AS n1 FROM t)").replace("c AS (SELECT s, sum(CASE WHEN g = 0 THEN 1 ELSE 0 END) AS n0, sum(g) AS n1,", "c AS (SELECT s, any_value(n0) AS n0, any_value(n1) AS n1,").replace("FROM u GROUP BY s)", "FROM u, z GROUP BY s)")
+register("agg_ttest_ragged", RAGGED + f" SELECT sample_idx, {r('t', 't', 5)}, {r('df', 'df', 5)}, n0, n1 FROM w", 5)(lambda s, d: stats.ttest(ragged(parity(s, d))))
 register("agg_ttest_byte", WELCH.replace("b1 % 2 AS g", "CASE WHEN b1 <> 0 THEN 1 ELSE 0 END AS g") + f" SELECT sample_idx, {r('t', 't')}, {r('df', 'df', 6)}, n0, n1 FROM w")(lambda s, d: stats.ttest(traces(s, d).withColumn("grp", (byte_at(F.col("data"), 1) != 0).cast("int"))))
 register("agg_ttest_df", WELCH + f" SELECT sample_idx, {r('df', 'df', 5)} FROM w", 5)(lambda s, d: tstats(s, d).select("sample_idx", "df"))
 register("agg_ttest_counts", f"WITH {T} SELECT CAST(sum(CASE WHEN b1 % 2 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n0, CAST(sum(b1 % 2) AS BIGINT) AS n1 FROM t")(lambda s, d: stats.group_counts(parity(s, d)))
@@ -186,8 +196,15 @@ def classed(s: SparkSession, d: str, mode: str) -> DataFrame:
 
 register("agg_snr", snr_sql("b1"))(lambda s, d: stats.snr(traces(s, d).withColumn("cls", byte_at(F.col("data"), 1)), 256))
 register("agg_snr_hw", snr_sql(BITS.format("b0")))(lambda s, d: stats.snr(classed(s, d, "hw"), 9))
-register("agg_snr_acc", f"WITH {L} SELECT s AS sample_idx, b1 AS cls, CAST(count(*) AS BIGINT) AS n, {r('sum(v)', 's')}, {r('sum(v * v)', 'q')} FROM l GROUP BY s, b1")(lambda s, d: stats.snr_sums(to_long(traces(s, d).withColumn("cls", byte_at(F.col("data"), 1)), keep=("cls",)), 256))
+register("agg_snr_acc", f"WITH {L} SELECT s AS sample_idx, b1 AS cls, CAST(count(*) AS BIGINT) AS n, {r('sum(v)', 's')}, {r('sum(v * v)', 'q')} FROM l GROUP BY s, b1")(lambda s, d: stats.snr_sums(to_long(traces(s, d).withColumn("cls", byte_at(F.col("data"), 1)), keep=("cls",)), 256).drop("d"))
 register("agg_snr_counts", f"WITH {T} SELECT b1 AS cls, CAST(count(*) AS BIGINT) AS n FROM t GROUP BY b1")(lambda s, d: stats.class_counts(traces(s, d).withColumn("cls", byte_at(F.col("data"), 1)), 256))
+register(
+    "agg_snr_ragged",
+    f"""WITH {L}, k AS (SELECT b1 AS k, count(*)::DOUBLE AS n FROM t GROUP BY b1), c AS (SELECT s, b1 AS k, sum(v) AS x, sum(v * v) AS q FROM l WHERE s < 64 - trace_idx % 5 GROUP BY s, b1),
+  c2 AS (SELECT g.s, k.n, coalesce(x, 0) AS x, coalesce(q, 0) AS q FROM (SELECT DISTINCT s FROM l) g CROSS JOIN k LEFT JOIN c ON c.s = g.s AND c.k = k.k),
+  m AS (SELECT *, sum(x) OVER (PARTITION BY s) / sum(n) OVER (PARTITION BY s) AS mm FROM c2)
+  SELECT s AS sample_idx, {r('sum(n * (x / n - mm) * (x / n - mm)) / sum(CASE WHEN n > 1 THEN n * (q - x * x / n) / (n - 1) ELSE 0 END)', 'snr')} FROM m GROUP BY s""",
+)(lambda s, d: stats.snr(ragged(traces(s, d)).withColumn("cls", byte_at(F.col("data"), 1)), 256))
 register("agg_static_snr", f"WITH {L} SELECT s AS sample_idx, {r('CASE WHEN stddev_samp(v) > 0 THEN abs(avg(v)) / stddev_samp(v) ELSE 0 END', 'snr')} FROM l GROUP BY s")(lambda s, d: stats.static_snr(to_long(traces(s, d))))
 register("fn_class_mode", f"WITH {T} SELECT trace_idx, b0 AS raw, CAST({BITS.format('b0')} AS INTEGER) AS hw, CAST({BOX}[b0 + 1] AS INTEGER) AS sbox, CAST({BITS.format(BOX + '[b0 + 1]')} AS INTEGER) AS hw_sbox FROM t")(lambda s, d: traces(s, d).withColumn("b", byte_at(F.col("data"), 0)).select("trace_idx", *[fn.byte_class(F.col("b"), m).cast("int").alias("raw" if m == "byte" else m) for m in ("byte", "hw", "sbox", "hw_sbox")]))
 for name in ("fn_sbox", "jn_sbox"):

@@ -1,7 +1,8 @@
 """Online statistics: the batch sums over a stream of traces, the closed formula at each trigger.
 
 The sums are additive, so a streaming aggregation in complete mode holds one row per sample (and
-class or byte) as state, whatever the number of traces."""
+class or byte) as state, whatever the number of traces. A group counts the traces of the sample that most
+of them have."""
 
 from __future__ import annotations
 
