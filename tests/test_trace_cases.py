@@ -131,15 +131,15 @@ def test_trs_files(spark, tmp_path):
         f.write(raw + np.array([[1, -2, 300], [4, 5, -600]], "<i2").tobytes())
     assert [r.samples for r in trs.open_trs(spark, path).df.orderBy("trace_idx").collect()] == [[1, -2, 300], [4, 5, -600]]
     matrix = spark.createDataFrame([(i, j, float(10 * i + j)) for i in range(3) for j in range(4)], "i int, j int, corr double").repartition(5)
-    trs.write_matrix_trs(matrix, "i", "j", "corr", path)
+    trs.write_matrix_trs(matrix, "i", "j", "corr", path, overwrite=True)
     assert [r.samples for r in trs.open_trs(spark, path).df.orderBy("trace_idx").collect()] == [[10 * i + j for j in range(4)] for i in range(3)]
     vector = spark.createDataFrame([(i, i / 2) for i in range(6)], "sample_idx int, t double").repartition(3)
-    trs.write_vector_trs(vector, "t", path)
+    trs.write_vector_trs(vector, "t", path, overwrite=True)
     assert [r.samples for r in trs.open_trs(spark, path).df.collect()] == [[i / 2 for i in range(6)]]
     assert os.listdir(tmp_path) == ["a.trs"]
     # a failed write leaves the file that was there
     with pytest.raises(Exception, match="different length"):
-        trs.write_trs(made(spark, [(0, [1.0], b""), (1, [1.0, 2.0], b"")]).coalesce(1), path)
+        trs.write_trs(made(spark, [(0, [1.0], b""), (1, [1.0, 2.0], b"")]).coalesce(1), path, overwrite=True)
     assert [len(r.samples) for r in trs.open_trs(spark, path).df.collect()] == [6]
 
 

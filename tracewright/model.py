@@ -99,6 +99,13 @@ def events_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select(F.col("user_id").cast("int").alias("trace_idx"), F.col("value").cast("float").cast("double").alias("v"))
 
 
+def events_chunks(spark: SparkSession, sf_dir: str, size: int) -> DataFrame:
+    """The events table as one trace in chunks: the value of event i is sample i."""
+    t = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_id >= 0")
+    parts = t.groupBy(F.floor(F.col("event_id") / size).cast("int").alias("chunk")).agg(F.sort_array(F.collect_list(F.struct("event_id", F.col("value").cast("float").alias("v")))).alias("x"))
+    return parts.select(F.lit(0).cast("long").alias("trace_idx"), "chunk", F.transform("x", lambda e: e["v"]).alias("samples"))
+
+
 def byte_at(data: Column, i: int | Column) -> Column:
     """Byte ``i`` of a binary as an int; null past its end."""
     i = F.lit(i) if isinstance(i, int) else i

@@ -11,25 +11,28 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
 @dataclass(frozen=True)
 class Transform:
-    """A named trace transform with a static output length and a count of start-up samples."""
+    """A named trace transform with a static output length and a count of start-up samples; ``on_chunks`` names
+    the function of ``operators.chunks`` that does the same to chunks, and its arguments."""
 
     name: str
     apply: Callable[[DataFrame], DataFrame]
     length: Callable[[int], int] = lambda n: n
     startup: int = 0
+    on_chunks: tuple | None = None
 
     def __call__(self, df: DataFrame) -> DataFrame:
         return self.apply(df)
 
 
 def _pointwise(name: str, f: Callable[[Column], Column]) -> Transform:
-    return Transform(name, lambda df: df.withColumn("samples", F.transform("samples", lambda x: f(x).cast("float"))))
+    return Transform(name, lambda df: df.withColumn("samples", F.transform("samples", lambda x: f(x).cast("float"))), on_chunks=("pointwise",))
 
 
 def absolute() -> Transform:
@@ -63,7 +66,7 @@ def moving_average(w: int) -> Transform:
         sums[:, w:] -= sums[:, :-w].copy()
         return sums / np.minimum(np.arange(1, x.shape[1] + 1), w) + mean
 
-    return Transform(f"Moving average {w}", lambda df: _kernel(df, f), startup=w - 1)
+    return Transform(f"Moving average {w}", lambda df: _kernel(df, f), startup=w - 1, on_chunks=("moving_average", w))
 
 
 def window_resample(w: int) -> Transform:
@@ -74,11 +77,11 @@ def window_resample(w: int) -> Transform:
         made = F.transform(F.sequence(F.lit(0), blocks - 1), lambda b: _mean(F.slice("samples", b * w + 1, F.lit(w))).cast("float"))
         return df.withColumn("samples", F.when(blocks > 0, made).otherwise(F.array().cast("array<float>")))
 
-    return Transform(f"Window resample {w}", apply, lambda n: n // w)
+    return Transform(f"Window resample {w}", apply, lambda n: n // w, on_chunks=("window_resample", w))
 
 
 def stride_resample(k: int) -> Transform:
-    return Transform(f"Stride resample {k}", lambda df: df.withColumn("samples", F.filter("samples", lambda _, i: i % k == 0)), lambda n: -(-n // k))
+    return Transform(f"Stride resample {k}", lambda df: df.withColumn("samples", F.filter("samples", lambda _, i: i % k == 0)), lambda n: -(-n // k), on_chunks=("stride_resample", k))
 
 
 def window_values(kind: str, n: int) -> np.ndarray:
@@ -96,7 +99,7 @@ def one_sided(frames: np.ndarray, kind: str) -> np.ndarray:
 
 def _kernel(df: DataFrame, f: Callable[..., np.ndarray], key: str | None = None) -> DataFrame:
     """Replaces samples by a row-wise numpy kernel, one Arrow batch at a time; rows of one length go
-    through together. With ``key`` the kernel also gets that column's values of the rows."""
+    through together. With ``key`` the kernel also gets that column's values of the rows. Null samples stay null."""
     columns = df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,7 +116,9 @@ def _kernel(df: DataFrame, f: Callable[..., np.ndarray], key: str | None = None)
                     out[r] = x
             bounds = np.concatenate([[0], np.cumsum([len(x) for x in out])]).astype(np.int32)
             flat = np.concatenate([np.zeros(0), *out]).astype(np.float32)
-            arrays = [pa.ListArray.from_arrays(pa.array(bounds), pa.array(flat)) if c == "samples" else batch.column(c) for c in columns]
+            none = pc.is_null(lists)
+            made = pa.ListArray.from_arrays(pa.array(bounds), pa.array(flat), mask=none if none.true_count else None)
+            arrays = [made if c == "samples" else batch.column(c) for c in columns]
             yield pa.RecordBatch.from_arrays(arrays, columns)
 
     return df.mapInArrow(run, df.withColumn("samples", F.col("samples").cast("array<float>")).schema)
@@ -133,24 +138,35 @@ def stft_magnitude(size: int, hop: int, window: str = "hann") -> Transform:
         frames = np.lib.stride_tricks.sliding_window_view(x, size, axis=1)[:, ::hop]
         return one_sided(frames.reshape(-1, size), window).reshape(len(x), -1)
 
-    return Transform(f"STFT magnitude {size}/{hop} {window}", lambda df: _kernel(df, f), lambda n: ((n - size) // hop + 1) * (size // 2 + 1) if n >= size else 0)
+    return Transform(f"STFT magnitude {size}/{hop} {window}", lambda df: _kernel(df, f), lambda n: ((n - size) // hop + 1) * (size // 2 + 1) if n >= size else 0, on_chunks=("stft_magnitude", size, hop, window))
+
+
+#: Samples whose noise one generator makes.
+NOISE_BLOCK = 4096
+
+
+def noise_values(seed: int, trace: int | None, start: int, count: int) -> np.ndarray:
+    """Normal noise of the samples [start, start+count) of a trace: a generator for each block of samples, so it
+    depends neither on how traces are dealt out nor on how they are cut."""
+    first, last = start // NOISE_BLOCK, -(-(start + count) // NOISE_BLOCK)
+    made = [np.random.default_rng([abs(seed), abs(trace or 0), int(trace is None), b]).standard_normal(NOISE_BLOCK) for b in range(first, last)]
+    return np.concatenate([np.zeros(0), *made])[start - first * NOISE_BLOCK :][:count]
 
 
 def gaussian_noise(factor: float, seed: int | None = None) -> Transform:
     """Adds normal noise of ``factor`` times the trace's population deviation (floored at 1e-8). With a seed a
-    trace's noise depends on the seed and the trace index alone."""
+    trace's noise depends on the seed, the trace index and the sample's place alone."""
 
     base = seed if seed is not None else int(np.random.default_rng().integers(1 << 62))
 
     def f(x: np.ndarray, indices: list[int | None]) -> np.ndarray:
-        # a generator for each trace: its noise does not depend on how traces are dealt out
-        noise = np.stack([np.random.default_rng([abs(base), abs(i or 0), int(i is None)]).standard_normal(x.shape[1]) for i in indices])
+        noise = np.stack([noise_values(base, i, 0, x.shape[1]) for i in indices])
         return x + factor * np.maximum(x.std(axis=1, keepdims=True), 1e-8) * noise
 
     def apply(df: DataFrame) -> DataFrame:
         return _kernel(df, f, "trace_idx") if factor > 0 else df
 
-    return Transform(f"Gaussian noise {factor:g}", apply)
+    return Transform(f"Gaussian noise {factor:g}", apply, on_chunks=("gaussian_noise", factor, base))
 
 
 def custom(name: str, apply: Callable[[DataFrame], DataFrame], length: Callable[[int], int] = lambda n: n) -> Transform:

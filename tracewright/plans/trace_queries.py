@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewright.functions import scalar as fn
-from tracewright.model import byte_at, embeddings_as_traces, events_long, to_long
-from tracewright.operators import align, cpa, display, projections, stats, xcorr
+from tracewright.model import byte_at, embeddings_as_traces, events_chunks, events_long, to_long
+from tracewright.operators import align, chunks, cpa, display, projections, stats, xcorr
 from tracewright.operators import transforms as tx
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -137,6 +137,26 @@ transform("prj_pipeline", PIPE, f"SELECT trace_idx, CAST(s // 4 AS INTEGER) AS s
 transform("udf_transform", [tx.custom("clip", lambda df: df.withColumn("samples", F.transform("samples", lambda x: F.greatest(x, F.lit(0.0).cast("float")))))], pointwise("greatest(v, 0)"))
 register("prj_pipeline_count", "SELECT CAST(16 AS BIGINT) AS n_samples")(lambda s, d: s.range(1).select(F.lit(tx.pipeline_length(PIPE, NS)).cast("long").alias("n_samples")))
 
+# --- traces in chunks: the same results, and all events as one trace ----------------------------------
+
+
+def chunked(name: str, step: tx.Transform | list[tx.Transform], digits: int = 6) -> None:
+    """The query of a transform on chunks of ten samples, held against the SQL of the whole rows."""
+    steps = step if isinstance(step, list) else [step]
+    register(f"{name}_chunks", SQL[name], digits)(lambda s, d: chunks.to_long(chunks.run_pipeline(chunks.to_chunks(traces(s, d), 10), 10, steps), 10).select(F.col("trace_idx").cast("int").alias("trace_idx"), F.col("sample_idx").cast("int").alias("sample_idx"), "v"))
+
+
+chunked("tx_moving_avg", tx.moving_average(5), 5)
+chunked("tx_window_resample", tx.window_resample(10), 5)
+chunked("tx_stride_resample", tx.stride_resample(3))
+chunked("tx_stft_mag", tx.stft_magnitude(16, 8), 4)
+chunked("prj_pipeline", PIPE, 5)
+EVENT_CHUNK = 4096
+SERIES = "e AS (SELECT CAST(event_id AS BIGINT) AS i, CAST(CAST(value AS FLOAT) AS DOUBLE) AS v FROM events)"
+register("tx_moving_avg_events", f"WITH {SERIES} SELECT CAST(0 AS BIGINT) AS trace_idx, i AS sample_idx, {r('CAST(avg(v) OVER (ORDER BY i ROWS BETWEEN 4999 PRECEDING AND CURRENT ROW) AS FLOAT)', 'v', 3)} FROM e", 3)(lambda s, d: chunks.to_long(chunks.run_pipeline(events_chunks(s, d, EVENT_CHUNK), EVENT_CHUNK, [tx.moving_average(5000)]), EVENT_CHUNK))
+register("tx_window_resample_events", f"WITH {SERIES} SELECT CAST(0 AS BIGINT) AS trace_idx, i // 700 AS sample_idx, {r('CAST(avg(v) AS FLOAT)', 'v', 3)} FROM e GROUP BY i // 700 HAVING count(*) = 700", 3)(lambda s, d: chunks.to_long(chunks.run_pipeline(events_chunks(s, d, EVENT_CHUNK), EVENT_CHUNK, [tx.window_resample(700)]), EVENT_CHUNK))
+register("src_read_samples_events", f"WITH {SERIES} SELECT CAST(0 AS BIGINT) AS trace_idx, i - 5000 AS sample_idx, {r('v', 'v', 4)} FROM e WHERE i >= 5000 AND i < 9500", 4)(lambda s, d: chunks.to_long(chunks.sample_range(events_chunks(s, d, EVENT_CHUNK), EVENT_CHUNK, 5000, 4500), EVENT_CHUNK))
+
 # --- t-test -------------------------------------------------------------------------------------------
 
 WELCH = f"""WITH {L}, u AS (SELECT s, b1 % 2 AS g, v FROM l),
