@@ -16,6 +16,8 @@ from tracewright.functions import scalar as fn
 from tracewright.model import byte_at, embeddings_as_traces, events_chunks, events_long, to_long
 from tracewright.operators import align, chunks, cpa, display, projections, stats, xcorr
 from tracewright.operators import transforms as tx
+from tracewright.sources import npy, trs
+from tracewright.sources.shared import shared_file
 
 Query = Callable[[SparkSession, str], DataFrame]
 NS = 64
@@ -79,8 +81,17 @@ register("prj_align_pad", SHIFTED + f", m AS (SELECT trace_idx, avg(v) AS m FROM
 register("prj_align_crop", SHIFTED + f", c AS (SELECT greatest(0, max(-shift)) AS lo, least(64, min(64 - shift)) AS hi FROM h) SELECT trace_idx, j - lo AS sample_idx, {r('v', 'v')} FROM a, c WHERE j >= lo AND j < hi")(lambda s, d: to_long(projections.align_pad(t := traces(s, d), shifts(t), "crop")))
 register("prj_crop_common", SHIFTED + " SELECT CAST(greatest(0, max(-shift)) AS INTEGER) AS start, CAST(least(64, min(64 - shift)) AS INTEGER) AS \"end\" FROM h WHERE trace_idx % 2 = 0")(lambda s, d: projections.common_range(shifts(traces(s, d)), NS))
 CROPS = f"WITH {L} SELECT trace_idx, CAST(CASE WHEN k = 0 THEN s - 8 ELSE s - 2 + 8 END AS INTEGER) AS sample_idx, {r('v', 'v')} FROM l, range(0, 2) AS q(k) WHERE (k = 0 AND s >= 8 AND s < 16) OR (k = 1 AND s >= 2 AND s < 12)"
-for name in ("prj_crop_ranges", "snk_trs_crop"):
-    register(name, CROPS)(lambda s, d: to_long(projections.crop_ranges(traces(s, d), [(8, 16), (2, 12)])))
+register("prj_crop_ranges", CROPS)(lambda s, d: to_long(projections.crop_ranges(traces(s, d), [(8, 16), (2, 12)])))
+
+
+def cropped_file(s: SparkSession, d: str) -> DataFrame:
+    """The crop, written to a TRS file in the shared folder and read back from it."""
+    path = shared_file(s, ".trs")
+    trs.write_trs(projections.crop_ranges(traces(s, d), [(8, 16), (2, 12)]), path)
+    return to_long(trs.open_trs(s, path).df)
+
+
+register("snk_trs_crop", CROPS)(cropped_file)
 MEANS = f"WITH {L}, m AS (SELECT s, avg(v) AS v FROM l GROUP BY s)"
 
 
@@ -367,4 +378,13 @@ labels("fn_label_bitrange", "CAST((b0 >> 2) & 7 AS INTEGER) AS y", lambda b: fn.
 labels("fn_param_decode", "CAST(CASE WHEN b0 >= 128 THEN b0 - 256 ELSE b0 END AS BIGINT) AS y", lambda b: fn.param_value(b, 0, 1, 2), "y", "long")
 labels("fn_hex", "printf('%02x%02x', b0, b1) AS y", fn.hex_dump, "y", "string")
 register("fn_crc32", None)(lambda s, d: traces(s, d).select("trace_idx", F.crc32("data").alias("crc")))
-register("snk_dataset", f"WITH {T} SELECT trace_idx, {r('x[1]', 'first')}, CAST(b0 AS INTEGER) AS raw, CAST({BITS.format('b0')} AS INTEGER) AS hw FROM t")(lambda s, d: traces(s, d).select("trace_idx", F.get("samples", F.lit(0)).cast("double").alias("first"), fn.label_raw(F.col("data"), 0, 1).cast("int").alias("raw"), fn.label_hw(F.col("data"), 0).cast("int").alias("hw")))
+
+
+def dataset(s: SparkSession, d: str) -> DataFrame:
+    """Traces and two label arrays, written to an archive in the shared folder and read back from it."""
+    path = shared_file(s, ".npz")
+    npy.write_traces_npz(traces(s, d), path, {"raw": fn.label_raw(F.col("data"), 0, 1), "hw": fn.label_hw(F.col("data"), 0)})
+    return npy.open_npz(s, path).df.select("trace_idx", F.get("samples", F.lit(0)).cast("double").alias("first"), F.col("raw").cast("int").alias("raw"), F.col("hw").cast("int").alias("hw"))
+
+
+register("snk_dataset", f"WITH {T} SELECT trace_idx, {r('x[1]', 'first')}, CAST(b0 AS INTEGER) AS raw, CAST({BITS.format('b0')} AS INTEGER) AS hw FROM t")(dataset)
