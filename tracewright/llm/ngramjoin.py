@@ -244,8 +244,8 @@ def _assemble(classes: tuple[int, int]):
             a, b = ends[i], ends[i + 1]
             if 100 * (b - a) >= THRESHOLD * size[key]:
                 parity = np.packbits(np.bincount((tokens[a:b] >> np.uint64(13) & np.uint64(511)).astype(np.int64), minlength=512).astype(np.uint8) & 1)
-                sigs = signatures(size[key], tokens[a:b], frequencies[a:b].astype(np.int64), classes)
-                rows.append((key, size[key], tokens[a:b].astype(np.int64), sigs.astype(np.int64), b - a, *parity.view(np.int64).tolist()))
+                sigs, ranks = signatures(size[key], tokens[a:b], frequencies[a:b].astype(np.int64), classes)
+                rows.append((key, size[key], tokens[a:b].astype(np.int64), sigs.astype(np.int64), b - a + 1 - ranks, b - a, *parity.view(np.int64).tolist()))
             if len(rows) == 2000:
                 yield _sets(rows)
                 rows = []
@@ -257,25 +257,25 @@ def _assemble(classes: tuple[int, int]):
 
 def _sets(rows: list[tuple]) -> pa.RecordBatch:
     lists = []
-    for c in (2, 3):
+    for c in (2, 3, 4):
         bounds = np.concatenate([[0], np.cumsum([len(r[c]) for r in rows])]).astype(np.int32)
         lists.append(pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate([r[c] for r in rows]))))
-    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), *lists, *[pa.array([r[c] for r in rows], pa.int64()) for c in range(4, 4 + len(BOUNDS))]], ["key", "n", "tokens", "sigs", *BOUNDS])
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), *lists, *[pa.array([r[c] for r in rows], pa.int64()) for c in range(5, 5 + len(BOUNDS))]], ["key", "n", "tokens", "sigs", "lefts", *BOUNDS])
 
 
 def token_class(frequency: np.ndarray, classes: tuple[int, int] = (CLASS_1, CLASS_2)) -> np.ndarray:
     return 1 + (frequency > classes[0]) + (frequency > classes[1])
 
 
-def signatures(n: int, tokens: np.ndarray, frequencies: np.ndarray, classes: tuple[int, int] = (CLASS_1, CLASS_2)) -> np.ndarray:
+def signatures(n: int, tokens: np.ndarray, frequencies: np.ndarray, classes: tuple[int, int] = (CLASS_1, CLASS_2)) -> tuple[np.ndarray, np.ndarray]:
     """Indexed combinations of a set of ``n`` tokens, of which ``tokens`` are shared with other
-    sets, in order of (frequency, token)."""
+    sets, in order of (frequency, token), and the units of the shortest prefix that holds each."""
     needed = n - -(-THRESHOLD * n // 100) + 1 - (n - len(tokens))
     if needed <= 0:
-        return np.zeros(0, np.uint64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     level = n.bit_length() - 1
     levels = [level, level + 1] if 100 * n // THRESHOLD >= 2 << level else [level]
-    found = []
+    found, ranks = [], []
     for level in levels:
         size = 1 << level
         kind = np.ones(len(tokens), np.int64) if size < SINGLES_BELOW else token_class(frequencies, classes)
@@ -293,6 +293,7 @@ def signatures(n: int, tokens: np.ndarray, frequencies: np.ndarray, classes: tup
         length = int(np.searchsorted(units, needed)) + 1
         head, kind, group = tokens[:length], kind[:length], group[:length]
         found.append(mix(head[kind == 1] ^ np.uint64(0x1111111111111111)))
+        ranks.append(units[:length][kind == 1])
         combined = np.flatnonzero(kind > 1)
         members: dict[int, list[int]] = {}
         for i in combined.tolist():
@@ -300,13 +301,19 @@ def signatures(n: int, tokens: np.ndarray, frequencies: np.ndarray, classes: tup
         for g, at in members.items():
             k = g >> 40
             if len(at) >= k:
-                sorted_tokens = np.sort(head[at])
+                places = np.array(at)[np.argsort(head[at])]
+                sorted_tokens = head[places]
                 combos = np.array(list(combinations(range(len(at)), k)))
                 code = np.full(len(combos), np.uint64(level * 8 + k), np.uint64)
                 for j in range(k):
                     code = mix(code * np.uint64(0x9E3779B97F4A7C15) + sorted_tokens[combos[:, j]])
                 found.append(code)
-    return np.unique(np.concatenate(found))
+                ranks.append(units[places[combos].max(axis=1)])
+    codes, rank = np.concatenate(found), np.concatenate(ranks)
+    order = np.lexsort((rank, codes))
+    codes, rank = codes[order], rank[order]
+    first = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]])) if len(codes) else order
+    return codes[first], rank[first]
 
 
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -363,20 +370,23 @@ def _all_pairs(apart: DataFrame, bounds: DataFrame) -> DataFrame:
 
 
 def _live(named: DataFrame) -> DataFrame:
-    """Postings (sig, key, n, s, label) that can link within their signature to a set of another label.
+    """Postings (sig, key, n, s, left, label) that can link within their signature to a set of another label.
 
-    Two sets share at most the smaller ``s`` tokens, so a link needs ``reach`` of each, that is
-    (100 + THRESHOLD) s - THRESHOLD n, to be THRESHOLD times the other's size or more. A posting is
+    Two sets that share ``o`` tokens share a signature within the shortest prefixes of more units than the shared
+    tokens they lack, s - o each. A signature that appears at unit r thus stands for links of o <= s + 1 - r =
+    ``left`` alone: a link that needs more has another signature. So a link within the signature needs
+    ``reach`` of each, that is (100 + THRESHOLD) left - THRESHOLD n, to be THRESHOLD times the other's size
+    or more. A posting is
     held against the largest reach and the smallest size among the other labels of its signature;
     these come from one row for each signature and label, far fewer than postings where copies meet."""
-    named = named.select("*", ((100 + THRESHOLD) * F.col("s").cast("long") - THRESHOLD * F.col("n")).alias("reach"))
+    named = named.select("*", ((100 + THRESHOLD) * F.col("left") - THRESHOLD * F.col("n")).alias("reach"))
     sides = named.groupBy("sig", "label").agg(F.max("reach").alias("far"), F.min("n").cast("long").alias("small"))
     by_far, by_small = (Window.partitionBy("sig").orderBy(c, "label") for c in (F.desc("far"), F.asc("small")))
     best = lambda c, by: F.when(F.row_number().over(by) == 1, F.lead(c).over(by)).otherwise(F.first(c).over(by))  # noqa: E731  of the other labels
     sides = sides.select("sig", "label", "far", "small", best("far", by_far).alias("o_far"), best("small", by_small).alias("o_small"))
     sides = sides.where((F.col("far") >= THRESHOLD * F.col("o_small")) & (F.col("o_far") >= THRESHOLD * F.col("small"))).drop("far", "small")
     able = (F.col("reach") >= THRESHOLD * F.col("o_small")) & (F.col("o_far") >= THRESHOLD * F.col("n").cast("long"))
-    return named.join(sides, ["sig", "label"]).where(able).select("sig", "key", "n", "s", "label")
+    return named.join(sides, ["sig", "label"]).where(able).select("sig", "key", "n", "s", "left", "label")
 
 
 def set_components(sets: DataFrame, scratch: Scratch) -> DataFrame:
@@ -387,7 +397,7 @@ def set_components(sets: DataFrame, scratch: Scratch) -> DataFrame:
     signature, a pivot of its rarest label, against its others, and drops the pivot's posting. Once
     the pairs across labels are few beside the postings, all of them are tested."""
     bounds = sets.select("key", "n", *BOUNDS)
-    own = sets.select("key", "n", F.col("s").cast("int").alias("s"), "sigs")
+    own = sets.select("key", "n", F.col("s").cast("int").alias("s"), "sigs", "lefts")
     share = (F.col("s") * 1000 / F.col("n")).cast("int")
 
     def test(pairs: DataFrame, labels: DataFrame | None, name: str) -> DataFrame:
@@ -401,14 +411,14 @@ def set_components(sets: DataFrame, scratch: Scratch) -> DataFrame:
     few = own.select("key", share.alias("share"), F.explode(F.filter("sigs", lambda x: x.bitwiseAND(F.lit(SAMPLED - 1)) == 0)).alias("sig"))
     pivots = few.groupBy("sig").agg(F.max(F.struct("share", "key"))["key"].alias("a"), F.count(F.lit(1)).alias("m")).where("m > 1").drop("m")
     labels = test(_plausible(few.join(pivots, "sig").where("key != a").select("a", F.col("key").alias("b")), bounds), None, "turn-0")
-    postings = own.select("key", "n", "s", F.explode("sigs").alias("sig"))
+    postings = own.select("key", "n", "s", F.explode(F.arrays_zip("sigs", "lefts")).alias("p")).select("key", "n", "s", F.col("p.lefts").alias("left"), F.col("p.sigs").alias("sig"))
     group = Window.partitionBy("sig")
     for turn in range(1, PIVOT_ROUNDS + 2):
-        named = postings.join(labels, postings["key"] == labels["node"], "left").select("sig", "key", "n", "s", F.coalesce("label", "key").alias("label"))
+        named = postings.join(labels, postings["key"] == labels["node"], "left").select("sig", "key", "n", "s", "left", F.coalesce("label", "key").alias("label"))
         named = _live(named)
         seen = named.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("sig", "label")))
         seen = seen.select("*", F.max(F.struct("c", "label")).over(group).alias("x"), F.max(F.struct(-F.col("c"), share, F.col("key").alias("key"), F.col("label").alias("label"))).over(group).alias("p"), F.count(F.lit(1)).over(group).alias("m"))
-        apart = scratch.write(seen.where("x.c < m").select("sig", "key", "n", "s", "label", F.col("x.label").alias("major"), F.col("p.key").alias("pivot"), F.col("p.label").alias("pivot_label"), (F.col("m") - F.col("c")).alias("others")), f"apart-{turn}")
+        apart = scratch.write(seen.where("x.c < m").select("sig", "key", "n", "s", "left", "label", F.col("x.label").alias("major"), F.col("p.key").alias("pivot"), F.col("p.label").alias("pivot_label"), (F.col("m") - F.col("c")).alias("others")), f"apart-{turn}")
         scratch.drop(f"apart-{turn - 1}")
         n, others = apart.agg(F.count(F.lit(1)), F.coalesce(F.sum("others"), F.lit(0))).first()
         if not n:
@@ -417,7 +427,7 @@ def set_components(sets: DataFrame, scratch: Scratch) -> DataFrame:
             labels = test(_all_pairs(apart, bounds).distinct(), labels, f"turn-{turn}")
             break
         labels = test(_plausible(apart.where("label != pivot_label").select(F.col("pivot").alias("a"), F.col("key").alias("b")), bounds), labels, f"turn-{turn}")
-        postings = apart.where("key != pivot").select("key", "n", "s", "sig")
+        postings = apart.where("key != pivot").select("key", "n", "s", "left", "sig")
     return labels
 
 
@@ -446,7 +456,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if not clash:
             names = held.select(F.pmod("key", F.lit(parts)).cast("int").alias("part"), F.lit(1).alias("kind"), "key", "n", *[F.lit(None).cast("binary").alias(c) for c in ("keys", "counts", "tokens", "frequencies")])
             shared = counted.where("kind = 0").select("part", "kind", F.lit(None).cast("long").alias("key"), F.lit(None).cast("int").alias("n"), "keys", "counts", "tokens", "frequencies")
-            sets = shared.unionByName(names).repartitionById(parts, "part").mapInArrow(trimmed(_assemble(classes)), "key long, n int, tokens array<long>, sigs array<long>, " + ", ".join(f"{c} long" for c in BOUNDS))
+            sets = shared.unionByName(names).repartitionById(parts, "part").mapInArrow(trimmed(_assemble(classes)), "key long, n int, tokens array<long>, sigs array<long>, lefts array<long>, " + ", ".join(f"{c} long" for c in BOUNDS))
             sets = scratch.write(sets, "sets")
             scratch.drop()
             labels = set_components(sets, scratch)
