@@ -45,12 +45,12 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     if _repeats(docs):
         return _one_of_each_class(spark, docs)
     classes = ngramjoin.near_duplicates(docs)
-    gone = classes.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("k_id"))
+    gone = classes.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__k_id"))
     with Scratch(spark, "near-duplicates") as scratch:
         gone = scratch.keep(gone, "gone")
     # ids of removed rows alone; beyond the bound whole texts are shuffled by id
     few = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    return docs.join(few, docs["doc_id"].eqNullSafe(gone["k_id"]), "left_anti")
+    return docs.join(few, docs["doc_id"].eqNullSafe(gone["__k_id"]), "left_anti")
 
 
 def _one_of_each_class(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -58,13 +58,15 @@ def _one_of_each_class(spark: SparkSession, docs: DataFrame) -> DataFrame:
     least of its members, those with an id before those without."""
     own = docs.withColumn("__own", F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash")))
     classes = ngramjoin.near_duplicates(own, "__own").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    keep = classes.select(F.col("doc_id.id").alias("k_id"), F.col("doc_id.hash").alias("k_hash"), (F.col("doc_id.unnamed") & (F.col("n_shingles") == 0)).alias("k_alone")).distinct()
+    keep = classes.select(F.col("doc_id.id").alias("__k_id"), F.col("doc_id.hash").alias("__k_hash"), (F.col("doc_id.unnamed") & (F.col("n_shingles") == 0)).alias("__k_alone")).distinct()
     with Scratch(spark, "near-duplicates") as scratch:
         keep = scratch.keep(keep, "kept")
-    kept = docs.join(keep, docs["doc_id"].eqNullSafe(keep["k_id"]) & (F.xxhash64(docs["text"]) == keep["k_hash"]))
-    first = F.row_number().over(Window.partitionBy("k_id", "k_hash").orderBy(*docs.columns))
-    once = kept.where("NOT k_alone").withColumn("__first", first).where("__first = 1")
-    return once.select(*docs.columns).unionByName(kept.where("k_alone").select(*docs.columns))
+    kept = docs.join(keep, docs["doc_id"].eqNullSafe(keep["__k_id"]) & (F.xxhash64(docs["text"]) == keep["__k_hash"]))
+    # maps have no order of their own
+    order = [F.to_json(F.struct(c)) if "map<" in kind else F.col(c) for c, kind in docs.dtypes]
+    first = F.row_number().over(Window.partitionBy("__k_id", "__k_hash").orderBy(*order))
+    once = kept.where("NOT __k_alone").withColumn("__first", first).where("__first = 1")
+    return once.select(*docs.columns).unionByName(kept.where("__k_alone").select(*docs.columns))
 
 
 def _repeats(docs: DataFrame) -> bool:
@@ -75,10 +77,10 @@ def _repeats(docs: DataFrame) -> bool:
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not contaminated by benchmark items. Rows of one id and different texts are
     judged apart; a null id is an id like others."""
-    found = decontam.contamination(docs, load(spark, sf_dir, "benchmark")).where("contaminated").select(F.col("doc_id").alias("c_id"), F.col("text_hash").alias("c_hash")).distinct()
+    found = decontam.contamination(docs, load(spark, sf_dir, "benchmark")).where("contaminated").select(F.col("doc_id").alias("__c_id"), F.col("text_hash").alias("__c_hash")).distinct()
     with Scratch(spark, "contaminated") as scratch:
         found = scratch.keep(found, "found")
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["c_id"]) & (F.xxhash64(docs["text"]) == found["c_hash"]), "left_anti")
+    return docs.join(found, docs["doc_id"].eqNullSafe(found["__c_id"]) & (F.xxhash64(docs["text"]) == found["__c_hash"]), "left_anti")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
