@@ -69,8 +69,6 @@ def test_correlation_in_blocks_and_cleaned(spark, monkeypatch):
     assert summary["n_signal"] == keep.sum() > 0 and abs(summary["lambda_plus"] - limit) < 1e-9
     assert np.allclose(matrix(cleaned, 11), (vectors[:, keep] * values[keep]) @ vectors[:, keep].T, atol=1e-6)
     assert np.allclose(matrix(xcorr.correlation(df, 11), 11), want, atol=1e-9)
-    monkeypatch.setattr(xcorr, "MAX_SAMPLES", 4)
-    assert np.allclose(matrix(xcorr.correlation(df, 11), 11), want, atol=1e-9)
     assert np.allclose(matrix(xcorr.correlation(df, 11, 2), 6), want[::2, ::2], atol=1e-9)
     two = {(r.search, r.ref): r["corr"] for r in xcorr.two_windows(df, (7, 3), (1, 5)).collect()}
     assert all(abs(two[i, j] - want[1 + i, 7 + j]) < 1e-9 for i in range(5) for j in range(3)) and len(two) == 15
