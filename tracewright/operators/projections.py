@@ -35,6 +35,19 @@ def shifted(traces: DataFrame, shifts: DataFrame | None, start: int = 0, count:
     return joined.withColumn("samples", F.when(n > 0, window).otherwise(F.array().cast("array<float>"))).drop("shift")
 
 
+def prepared(traces: DataFrame, start: int = 0, count: int = 0, shifts: DataFrame | None = None, pipeline: tuple = ()) -> DataFrame:
+    """What a statistic is taken of: the samples [start, start+count) (0: to the end), moved by each trace's shift
+    with zeros outside the trace, then the pipeline. Without shifts the range is cut. Null samples are left out."""
+    out = traces.where(F.col("samples").isNotNull())
+    if shifts is not None:
+        out = shifted(out, shifts, start, count)
+    elif start or count:
+        out = sample_range(out, start, count)
+    for step in pipeline:
+        out = step(out)
+    return out
+
+
 NO_RANGE = "the shifted traces have no common valid range"
 
 

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from tracewright.functions.scalar import decibel, threshold, window_coefficient
 from tracewright.model import byte_at, to_long
+from tracewright.operators.projections import prepared
 from tracewright.operators.transforms import window_values
 
 
@@ -25,11 +26,6 @@ def ratio(a: Column, b: Column) -> Column:
     return F.when(b != 0, a / F.when(b != 0, b)).otherwise(F.lit(0.0))
 
 
-def with_samples(traces: DataFrame) -> DataFrame:
-    """Traces whose samples are not null: those without are no part of a statistic."""
-    return traces.where(F.col("samples").isNotNull())
-
-
 def group_by_byte(traces: DataFrame, i: int) -> DataFrame:
     """Group 1 where the byte is not 0; traces without that byte are left out."""
     return traces.where(F.octet_length("data") > i).withColumn("grp", (byte_at(F.col("data"), i) != 0).cast("int"))
@@ -47,9 +43,9 @@ def ttest_sums(long: DataFrame) -> DataFrame:
     return long.groupBy("sample_idx").agg(*sums)
 
 
-def accumulators(traces: DataFrame, start: int = 0, count: int = 0) -> DataFrame:
+def accumulators(traces: DataFrame) -> DataFrame:
     """``ttest_sums`` of traces with a ``grp`` column, a trace counting once in n0 or n1 whatever its length."""
-    return _with_counts(ttest_sums(to_long(with_samples(traces), start, count, keep=("grp",))), group_counts(with_samples(traces)))
+    return _with_counts(ttest_sums(to_long(prepared(traces), keep=("grp",))), group_counts(prepared(traces)))
 
 
 def _with_counts(sums: DataFrame, counts: DataFrame | None) -> DataFrame:
@@ -80,12 +76,13 @@ def welch(sums: DataFrame, counts: DataFrame | None = None) -> DataFrame:
     return out.select("sample_idx", t.alias("t"), df.alias("df"), "n0", "n1")
 
 
-def ttest(traces: DataFrame, start: int = 0, count: int = 0) -> DataFrame:
-    """Welch t of traces with a ``grp`` column: sample_idx, t, df, n0, n1. Both groups need two traces."""
-    traces = with_samples(traces)
+def ttest(traces: DataFrame, start: int = 0, count: int = 0, shifts: DataFrame | None = None, pipeline: tuple = ()) -> DataFrame:
+    """Welch t of traces with a ``grp`` column: sample_idx, t, df, n0, n1. Both groups need two traces. Range, shifts
+    and pipeline as in ``projections.prepared``."""
+    traces = prepared(traces, start, count, shifts, pipeline)
     few = F.raise_error(F.lit("both groups need two traces at least")).cast("long")
     counts = group_counts(traces).select(F.when((F.col("n0") < 2) | (F.col("n1") < 2), few).otherwise(F.col("n0")).alias("n0"), "n1")
-    return welch(ttest_sums(to_long(traces, start, count, keep=("grp",))), counts)
+    return welch(ttest_sums(to_long(traces, keep=("grp",))), counts)
 
 
 def group_counts(traces: DataFrame) -> DataFrame:
@@ -133,10 +130,10 @@ def snr_of(sums: DataFrame, counts: DataFrame | None = None) -> DataFrame:
     return found.select("sample_idx", F.when(F.col("usable") < 2, F.raise_error(F.lit("two classes with two traces each are needed")).cast("double")).otherwise(ratio(signal, F.col("noise"))).alias("snr"))
 
 
-def snr(traces: DataFrame, n_classes: int, start: int = 0, count: int = 0) -> DataFrame:
-    """Signal-to-noise ratio of traces with a ``cls`` column."""
-    traces = with_samples(traces)
-    return snr_of(snr_sums(to_long(traces, start, count, keep=("cls",)), n_classes), class_counts(traces, n_classes))
+def snr(traces: DataFrame, n_classes: int, start: int = 0, count: int = 0, shifts: DataFrame | None = None, pipeline: tuple = ()) -> DataFrame:
+    """Signal-to-noise ratio of traces with a ``cls`` column; range, shifts and pipeline as in ``projections.prepared``."""
+    traces = prepared(traces, start, count, shifts, pipeline)
+    return snr_of(snr_sums(to_long(traces, keep=("cls",)), n_classes), class_counts(traces, n_classes))
 
 
 def class_counts(traces: DataFrame, n_classes: int) -> DataFrame:

@@ -77,7 +77,7 @@ def unpacked(ni: int, nj: int, body: bytes) -> tuple[np.ndarray, ...]:
     return mx, my, vx, vy, c.reshape(ni, nj)
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
+def tile_batch(rows: list[tuple]) -> pa.RecordBatch:
     kinds = [pa.int32()] * 4 + [pa.int64(), pa.binary()]
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], FIELDS)
 
@@ -109,11 +109,11 @@ def moment_tiles(traces: DataFrame, first: tuple[int, int], second: tuple[int, i
         def made() -> Iterator[pa.RecordBatch]:
             if sums is not None and sums.n:
                 for row in sums.tiles(key[0] * (panel // side), key[1] * (panel // side), same, side):
-                    yield _batch([row])
+                    yield tile_batch([row])
 
         for batch in batches:
             at = np.array([batch.column("p").to_numpy(), batch.column("q").to_numpy()]).T
-            for i, n in zip(*_runs(at), strict=True):
+            for i, n in zip(*runs(at), strict=True):
                 now = tuple(at[i].tolist())
                 if now != key:
                     yield from made()
@@ -126,7 +126,7 @@ def moment_tiles(traces: DataFrame, first: tuple[int, int], second: tuple[int, i
     return added(rows.mapInArrow(run, TILE))
 
 
-def _runs(keys: np.ndarray) -> tuple[list[int], list[int]]:
+def runs(keys: np.ndarray) -> tuple[list[int], list[int]]:
     """Starts and lengths of runs of equal rows."""
     if not len(keys):
         return [], []
@@ -143,11 +143,11 @@ def added(tiles: DataFrame) -> DataFrame:
             for row in batch.select(FIELDS).to_pylist():
                 if (row["bi"], row["bj"]) != key:
                     if sums is not None:
-                        yield _batch([(*key, len(sums.mx), len(sums.my), sums.n, _body(sums))])
+                        yield tile_batch([(*key, len(sums.mx), len(sums.my), sums.n, _body(sums))])
                     key, sums = (row["bi"], row["bj"]), Moments(row["ni"], row["nj"])
                 sums.merge(row["n"], *unpacked(row["ni"], row["nj"], row["body"]))
         if sums is not None:
-            yield _batch([(*key, len(sums.mx), len(sums.my), sums.n, _body(sums))])
+            yield tile_batch([(*key, len(sums.mx), len(sums.my), sums.n, _body(sums))])
 
     level = tiles.withColumn("part", F.spark_partition_id() % GROUPS).repartition("bi", "bj", "part").sortWithinPartitions("bi", "bj").mapInArrow(run, TILE)
     return level.repartition("bi", "bj").sortWithinPartitions("bi", "bj").mapInArrow(run, TILE)
@@ -157,9 +157,10 @@ def _body(s: Moments) -> bytes:
     return np.concatenate([s.mx, s.my, s.vx, s.vy, s.c.ravel()]).tobytes()
 
 
-def correlations(vx: np.ndarray, vy: np.ndarray, c: np.ndarray, n: int) -> np.ndarray:
-    """Correlations from squared deviations and products; 0 where a variance is not above 1e-30."""
-    good = (vx[:, None] > 1e-30 * n) & (vy[None, :] > 1e-30 * n)
+def correlations(mx: np.ndarray, my: np.ndarray, vx: np.ndarray, vy: np.ndarray, c: np.ndarray, n: int) -> np.ndarray:
+    """Correlations of a moment tile; 0 where a variance is not above 1e-30, or deviations are below 1e-12 of the mean:
+    that is rounding, since float32 samples cannot differ by so little."""
+    good = (vx > n * np.maximum(1e-30, 1e-24 * mx * mx))[:, None] & (vy > n * np.maximum(1e-30, 1e-24 * my * my))[None, :]
     return np.where(good, c / np.sqrt(np.where(good, vx[:, None] * vy[None, :], 1.0)), 0.0)
 
 
@@ -174,8 +175,7 @@ def correlation_cells(tiles: DataFrame, mirrored: bool, side: int = SIDE) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                _, _, vx, vy, c = unpacked(row["ni"], row["nj"], row["body"])
-                r = correlations(vx, vy, c, row["n"])
+                r = correlations(*unpacked(row["ni"], row["nj"], row["body"]), row["n"])
                 i, j = row["bi"] * side + np.arange(row["ni"]), row["bj"] * side + np.arange(row["nj"])
                 yield cells(i, j, r)
                 if mirrored and row["bi"] != row["bj"]:

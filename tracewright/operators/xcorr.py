@@ -14,7 +14,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracewright.operators.projections import prepared
 from tracewright.operators.tiles import SIDE, cells, correlation_cells, correlations, dense, moment_tiles, unpacked
+from tracewright.operators.transforms import pipeline_length
 
 
 def sample_moments(long: DataFrame) -> DataFrame:
@@ -31,11 +33,13 @@ def rectangle(traces: DataFrame, first: tuple[int, int], second: tuple[int, int]
     return correlation_cells(moment_tiles(traces, first, second, stride), False)
 
 
-def correlation(traces: DataFrame, n_samples: int, stride: int = 1) -> DataFrame:
-    """Full symmetric matrix i, j, corr; rows and columns of variance below 1e-30 are 0, diagonal included."""
-    if -(-n_samples // stride) < 2:
+def correlation(traces: DataFrame, n_samples: int, stride: int = 1, start: int = 0, shifts: DataFrame | None = None, pipeline: tuple = ()) -> DataFrame:
+    """Full symmetric matrix i, j, corr; rows and columns of variance below 1e-30 are 0, diagonal included. Range, shifts
+    and pipeline as in ``projections.prepared``; the stride comes after them."""
+    length = pipeline_length(list(pipeline), n_samples)
+    if -(-length // stride) < 2:
         raise ValueError("two samples at least after the stride")
-    return correlation_cells(moment_tiles(traces, (0, n_samples), None, stride), True)
+    return correlation_cells(moment_tiles(prepared(traces, start, n_samples, shifts, pipeline), (0, length), None, stride), True)
 
 
 def correlation_dual(traces: DataFrame, n_samples: int, stride: int = 1) -> DataFrame:
@@ -86,8 +90,7 @@ def _by_tiles(tiles: DataFrame, m: int) -> Callable[[np.ndarray], np.ndarray]:
             sums: dict[int, np.ndarray] = {}
             for batch in batches:
                 for row in batch.to_pylist():
-                    _, _, vx, vy, c = unpacked(row["ni"], row["nj"], row["body"])
-                    r, bi, bj = correlations(vx, vy, c, row["n"]), row["bi"], row["bj"]
+                    r, bi, bj = correlations(*unpacked(row["ni"], row["nj"], row["body"]), row["n"]), row["bi"], row["bj"]
                     sums[bi] = sums.get(bi, 0) + r @ sent.value[bj * SIDE : bj * SIDE + row["nj"]]
                     if bi != bj:
                         sums[bj] = sums.get(bj, 0) + r.T @ sent.value[bi * SIDE : bi * SIDE + row["ni"]]

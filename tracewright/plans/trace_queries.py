@@ -271,6 +271,20 @@ def ranked(s: SparkSession, d: str) -> DataFrame:
 register("top_cpa_rank", RANKED + f" SELECT hypothesis, {r('abs(corr)', 'peak')}, sample_idx FROM z WHERE o = 1")(lambda s, d: ranked(s, d).select("hypothesis", "peak", "sample_idx"))
 register("top_cpa_16", RANKED + f" SELECT hypothesis, printf('0X%02X', hypothesis) AS name, {r('abs(corr)', 'peak')} FROM z WHERE o = 1 ORDER BY round(abs(corr), 9) DESC, hypothesis LIMIT 16")(lambda s, d: cpa.top_hypotheses(cpa_result(s, d).withColumn("corr", F.round("corr", 9))).select("hypothesis", "name", "peak"))
 register("udf_model_eval", CPA + f" SELECT hypothesis, sample_idx, {r('corr', 'corr')} FROM k")(lambda s, d: cpa.cpa_user_model(traces(s, d), cpa.compile_model(cpa.MODEL_TEMPLATE)))
+WHOLE_MODEL = """import numpy as np
+
+def get_leakages(data, keys, hypothesis):
+    # the distance of each byte from the mean of all traces
+    y = (data[:, 0] ^ hypothesis).astype(float)
+    return np.abs(y - y.mean())
+"""
+register(
+    "udf_model_eval_whole",
+    f"""WITH {L}, hyp AS (SELECT CAST(h AS INTEGER) AS h FROM range(0, 256) AS q(h)),
+  y AS (SELECT trace_idx, h, CAST(CAST(abs(xor(b0, h) - avg(xor(b0, h)) OVER (PARTITION BY h)) AS FLOAT) AS DOUBLE) AS y FROM t, hyp)
+  SELECT h AS hypothesis, s AS sample_idx, {r('corr(y, v)', 'corr', 5)} FROM y JOIN l USING (trace_idx) GROUP BY h, s""",
+    5,
+)(lambda s, d: cpa.cpa_user_model(traces(s, d), cpa.compile_model(WHOLE_MODEL), row_local=False))
 register("udf_model_boiler", CPA.replace(BITS.format("xor(h, b)"), BITS.format(BOX + "[xor(h, b) + 1]"))  + f" SELECT hypothesis, sample_idx, {r('corr', 'corr')} FROM k")(lambda s, d: cpa.cpa(traces(s, d), cpa.sbox_model))
 register("prj_matrix_rows", CPA + f" SELECT hypothesis AS trace_idx, sample_idx, {r('CAST(corr AS FLOAT)', 'v', 5)} FROM k", 5)(lambda s, d: to_long(projections.matrix_rows(cpa_result(s, d), "hypothesis", "sample_idx", "corr")))
 
@@ -296,6 +310,24 @@ register("fn_mem_estimate", "SELECT CAST(13 AS BIGINT) AS side, CAST(676 AS BIGI
 register("agg_color_range", XC + f" SELECT {r('-max(abs(corr))', 'lo')}, {r('max(abs(corr))', 'hi')} FROM x")(lambda s, d: stats.color_range(matrix(s, d), "corr"))
 register("agg_clip_range", XC + f", o AS (SELECT corr, row_number() OVER (ORDER BY corr) - 1 AS k, count(*) OVER () AS n FROM x) SELECT {r('min(CASE WHEN k = floor(0.02::DOUBLE * (n - 1)) THEN corr END)', 'lo')}, {r('min(CASE WHEN k = floor(0.98::DOUBLE * (n - 1)) THEN corr END)', 'hi')} FROM o")(lambda s, d: stats.clip_range(matrix(s, d), "corr", 0.02))
 
+# --- statistics of shifted traces behind a pipeline ---------------------------------------------------
+
+SHIFT_PIPE = (tx.absolute(), tx.scale(2.0))
+
+
+def of_shifted(sql: str) -> str:
+    """The same SQL over the traces after shifts, absolute values and doubling."""
+    moved = f"""WITH {L}, h0 AS (SELECT trace_idx, b0, b1, CASE WHEN trace_idx % 2 = 0 THEN trace_idx % 7 - 3 ELSE 0 END AS shift FROM t),
+  l2 AS (SELECT h0.trace_idx, b0, b1, CAST(z.s AS INTEGER) AS s, 2 * abs(coalesce(o.v, 0)) AS v FROM h0 CROSS JOIN range(0, 64) AS z(s)
+    LEFT JOIN (SELECT trace_idx AS i, s AS p, v FROM l) o ON o.i = h0.trace_idx AND o.p = z.s + h0.shift)"""
+    rest = sql.removeprefix(f"WITH {L}")
+    return moved + rest.replace("FROM l)", "FROM l2)").replace("FROM l GROUP", "FROM l2 GROUP").replace("FROM l a JOIN l b", "FROM l2 a JOIN l2 b")
+
+
+register("agg_ttest_shift", of_shifted(WELCH) + f" SELECT sample_idx, {r('t', 't')}, {r('df', 'df', 6)}, n0, n1 FROM w")(lambda s, d: stats.ttest(t := parity(s, d), shifts=shifts(t), pipeline=SHIFT_PIPE))
+register("agg_cpa_shift", of_shifted(CPA) + f" SELECT hypothesis, sample_idx, {r('corr', 'corr')} FROM k")(lambda s, d: cpa.cpa(t := traces(s, d), cpa.hamming_weight_model, shifts=shifts(t), pipeline=SHIFT_PIPE))
+register("agg_xcorr_shift", of_shifted(XC) + f" SELECT i, j, {r('corr', 'corr')} FROM x")(lambda s, d: xcorr.correlation(t := traces(s, d), NS, shifts=shifts(t), pipeline=SHIFT_PIPE))
+
 # --- spectra ------------------------------------------------------------------------------------------
 
 SPEC = f"WITH {L}, {dft('l', 64, 'trace_idx', 's')}"
