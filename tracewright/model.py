@@ -13,8 +13,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-TRACE_SCHEMA = "trace_idx int, samples array<float>, data binary"
-SHIFT_SCHEMA = "trace_idx int, shift int"
+TRACE_SCHEMA = "trace_idx long, samples array<float>, data binary"
+SHIFT_SCHEMA = "trace_idx long, shift int"
 
 
 @dataclass(frozen=True)
@@ -89,14 +89,14 @@ def embeddings_as_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The embeddings table as traces: byte 0 is (37 * index + 13) mod 256, byte 1 the label."""
     t = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     data = F.unhex(F.concat(*[F.lpad(F.hex(b), 2, "0") for b in ((F.col("vec_id") * 37 + 13) % 256, F.col("label").cast("long"))]))
-    return t.select(F.col("vec_id").cast("int").alias("trace_idx"), F.col("embedding").alias("samples"), data.alias("data"))
+    return t.select(F.col("vec_id").cast("long").alias("trace_idx"), F.col("embedding").alias("samples"), data.alias("data"))
 
 
 def events_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table in long form, a user being a trace: trace_idx, v. Values are not numbered, which
     would gather all events of a user."""
     t = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return t.select(F.col("user_id").cast("int").alias("trace_idx"), F.col("value").cast("float").cast("double").alias("v"))
+    return t.select(F.col("user_id").cast("long").alias("trace_idx"), F.col("value").cast("float").cast("double").alias("v"))
 
 
 def events_chunks(spark: SparkSession, sf_dir: str, size: int) -> DataFrame:

@@ -39,7 +39,7 @@ def align_by_peak(traces: DataFrame, ref: int, region: tuple[int, int], half: in
 
 def align_by_correlation(traces: DataFrame, ref: int, region: tuple[int, int], half: int) -> DataFrame:
     """trace_idx, shift: lag of the largest normalised correlation (as float32, the lowest lag wins)
-    of the reference region with each trace; windows of zero norm count 0."""
+    of the reference region with each trace; windows of zero norm count 0. Traces of null samples have no shift."""
     x = np.array(_reference(traces, ref), np.float64)
     a, b = max(0, region[0]), min(len(x), region[1])
     if b - a < 2:
@@ -63,7 +63,7 @@ def align_by_correlation(traces: DataFrame, ref: int, region: tuple[int, int], h
                 shifts.append(lo + int(score.argmax()) - a)
             yield pa.RecordBatch.from_arrays([batch.column("trace_idx"), pa.array(shifts, pa.int32())], ["trace_idx", "shift"])
 
-    return traces.select("trace_idx", "samples").mapInArrow(run, "trace_idx int, shift int")
+    return traces.select(F.col("trace_idx").cast("long").alias("trace_idx"), "samples").where("samples IS NOT NULL").mapInArrow(run, "trace_idx long, shift int")
 
 
 def manual_shift(shifts: DataFrame, trace: int, delta: int) -> DataFrame:

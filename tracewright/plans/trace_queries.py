@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tracewright.functions import scalar as fn
 from tracewright.model import byte_at, embeddings_as_traces, events_chunks, events_long, to_long
-from tracewright.operators import align, chunks, cpa, display, projections, stats, xcorr
+from tracewright.operators import align, chunks, cpa, display, projections, pyramid, stats, xcorr
 from tracewright.operators import transforms as tx
 from tracewright.sources import npy, trs
 from tracewright.sources.shared import shared_file
@@ -24,11 +24,11 @@ NS = 64
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
-T = """t AS (SELECT CAST(vec_id AS INTEGER) AS trace_idx, embedding AS x, CAST((vec_id * 37 + 13) % 256 AS INTEGER) AS b0,
+T = """t AS (SELECT CAST(vec_id AS BIGINT) AS trace_idx, embedding AS x, CAST((vec_id * 37 + 13) % 256 AS INTEGER) AS b0,
   CAST(label AS INTEGER) AS b1 FROM embeddings)"""
 L = T + """, l AS (SELECT trace_idx, b0, b1, s, CAST(x[s + 1] AS DOUBLE) AS v FROM (
   SELECT trace_idx, b0, b1, x, CAST(unnest(range(0, 64)) AS INTEGER) AS s FROM t))"""
-EVENTS = "l AS (SELECT CAST(user_id AS INTEGER) AS trace_idx, CAST(CAST(value AS FLOAT) AS DOUBLE) AS v FROM events)"
+EVENTS = "l AS (SELECT CAST(user_id AS BIGINT) AS trace_idx, CAST(CAST(value AS FLOAT) AS DOUBLE) AS v FROM events)"
 BITS = " + ".join(f"(({{0}} >> {i}) & 1)" for i in range(8))
 BOX = "[" + ", ".join(map(str, fn.SBOX)) + "]"
 
@@ -154,7 +154,7 @@ register("prj_pipeline_count", "SELECT CAST(16 AS BIGINT) AS n_samples")(lambda
 def chunked(name: str, step: tx.Transform | list[tx.Transform], digits: int = 6) -> None:
     """The query of a transform on chunks of ten samples, held against the SQL of the whole rows."""
     steps = step if isinstance(step, list) else [step]
-    register(f"{name}_chunks", SQL[name], digits)(lambda s, d: chunks.to_long(chunks.run_pipeline(chunks.to_chunks(traces(s, d), 10), 10, steps), 10).select(F.col("trace_idx").cast("int").alias("trace_idx"), F.col("sample_idx").cast("int").alias("sample_idx"), "v"))
+    register(f"{name}_chunks", SQL[name], digits)(lambda s, d: chunks.to_long(chunks.run_pipeline(chunks.to_chunks(traces(s, d), 10), 10, steps), 10).select("trace_idx", F.col("sample_idx").cast("int").alias("sample_idx"), "v"))
 
 
 chunked("tx_moving_avg", tx.moving_average(5), 5)
@@ -395,6 +395,21 @@ def palette_sql(name: str) -> str:
 register("fn_colormap", f"WITH {T} SELECT trace_idx, {', '.join(map(palette_sql, fn.PALETTES))} FROM t")(lambda s, d: places(s, d).select("trace_idx", *[fn.colormap(F.col("x"), p).alias(p) for p in fn.PALETTES]))
 register("fn_pixel", "SELECT CAST(k AS INTEGER) AS s, CAST(floor((k - 10) * 300 / 77.0) AS BIGINT) AS pixel, CAST(10 + floor(k * 77 / 300.0) AS BIGINT) AS sample FROM range(10, 87) AS q(k)")(lambda s, d: s.range(10, 87).select(F.col("id").cast("int").alias("s"), fn.sample_to_pixel(F.col("id"), 10, 77, 300).alias("pixel"), fn.pixel_to_sample(F.col("id"), 10, 77, 300).alias("sample")))
 
+
+
+def zoomed(s: SparkSession, d: str) -> DataFrame:
+    """A view of all events but the first hundred as one trace, from the pyramid of their chunks."""
+    t = events_chunks(s, d, EVENT_CHUNK)
+    n = s.read.parquet(f"{d}/events.parquet").count()
+    return pyramid.view(pyramid.build(t, EVENT_CHUNK, n, 64), t, EVENT_CHUNK, 100, n - 100, 37, 64)
+
+
+register(
+    "agg_viz_minmax_events",
+    f"""WITH {SERIES}, n AS (SELECT count(*) - 100 AS n FROM e)
+  SELECT CAST(0 AS BIGINT) AS trace_idx, CAST((i - 100) * 37 // n AS INTEGER) AS pixel, {r('min(v)', 'lo')}, {r('max(v)', 'hi')} FROM e, n WHERE i >= 100 GROUP BY (i - 100) * 37 // n""",
+)(zoomed)
+
 # --- bytes and labels ---------------------------------------------------------------------------------
 
 

@@ -117,7 +117,7 @@ class ArrayReader(DataSourceReader):
         traces, each = self.selection.traces, max(1, BATCH_BYTES // max(1, self.record_bytes))
         for a in range(part.first, part.last, each):
             rows = traces[a : min(part.last, a + each)]
-            out: dict[str, pa.Array] = {"trace_idx": pa.array(np.array(rows, np.int32))}
+            out: dict[str, pa.Array] = {"trace_idx": pa.array(np.array(rows, np.int64))}
             if "samples" in self.columns:
                 x = self.traces.read(rows, self.first, self.count).astype(np.float32)
                 out["samples"] = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * self.count), pa.array(x.ravel()))

@@ -165,7 +165,7 @@ class TrsReader(DataSourceReader):
             whole = not self.chunk and self.first == 0 and self.count == la.header.n_samples and {"samples", "data"} <= set(self.columns)
             for a in range(partition.first, partition.last, each):
                 units = [(traces[u // per], u % per) for u in range(a, min(partition.last, a + each))]
-                out: dict[str, pa.Array] = {"trace_idx": pa.array([t for t, _ in units], pa.int64() if self.chunk else pa.int32()), "chunk": pa.array([c for _, c in units], pa.int32())}
+                out: dict[str, pa.Array] = {"trace_idx": pa.array([t for t, _ in units], pa.int64()), "chunk": pa.array([c for _, c in units], pa.int32())}
                 starts = [la.start + t * la.stride + la.title for t, _ in units]
                 block = at(starts[0], starts[-1] - starts[0] + la.stride - la.title) if whole and starts[-1] - starts[0] == (len(units) - 1) * la.stride else None
                 get = (lambda place, n: block[place - starts[0] : place - starts[0] + n]) if block is not None else at  # noqa: B023
@@ -348,5 +348,5 @@ def write_vector_trs(vector: DataFrame, value: str, path: str, overwrite: bool =
 
 def write_matrix_trs(matrix: DataFrame, row: str, column: str, value: str, path: str, overwrite: bool = False) -> None:
     """A matrix as a file with a trace for each row, its samples in column order."""
-    gathered = matrix.groupBy(F.col(row).cast("int").alias("trace_idx")).agg(F.sort_array(F.collect_list(F.struct(F.col(column).alias("c"), F.col(value).alias("v")))).alias("x"))
+    gathered = matrix.groupBy(F.col(row).cast("long").alias("trace_idx")).agg(F.sort_array(F.collect_list(F.struct(F.col(column).alias("c"), F.col(value).alias("v")))).alias("x"))
     write_trs(gathered.select("trace_idx", F.transform("x", lambda e: e["v"].cast("float")).alias("samples"), F.lit(b"").alias("data")), path, overwrite)
