@@ -83,3 +83,17 @@ def test_query_rows(spark):
         assert r.tail_crc32 == zlib.crc32(padded[-64:]) and r.media_sha256 == hashlib.sha256(r.media).hexdigest() and r.media_bytes == len(r.media)
     assert got[1].feature == got[5].feature and got[1].media == got[5].media
     assert media.text_media(docs.limit(0)).count() == 0
+
+
+def test_feature_equals_frames_one_by_one(spark):
+    """The feature of many files decoded at once against each file's frames decoded alone, and pixel by pixel."""
+    texts = ["", "short", "word " * 3000, "\x00\x7fé" * 900]
+    for r in media.text_media(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
+        video = media.read_avi(r.media)
+        hist = np.zeros((len(video.frames), media.BINS), int)
+        for i, frame in enumerate(video.frames):
+            head, parts = media.coefficients(frame)
+            for value in media.luma(head, parts[0]).ravel().tolist():
+                hist[i, value * media.BINS // 256] += 1
+        clips = ",".join(f"{a / video.fps:.2f}-{(b + 1) / video.fps:.2f}" for a, b in media.shots(hist))
+        assert r.feature == f"{video.width}x{video.height}@{video.fps:g};frames={len(hist)};clips={clips};luma={'.'.join(str(int(x)) for x in hist.sum(axis=0))}"

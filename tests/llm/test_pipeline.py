@@ -88,3 +88,10 @@ def test_stages_equal_brute_force_on_planted_rows(spark, tmp_path):
 def read_ranks():
     with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+
+
+def test_columns_of_any_name_and_maps_pass(spark):
+    rows = [(1, "a b c d e f g", 9, {"x": 1}), (1, "a b c d e f g", 9, {"x": 1}), (2, "a b c d e f g", 8, None), (None, "q r s t u", 7, {}), (None, None, 6, {})]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, k_id int, k_hash map<string, int>").selectExpr("*", "true AS k_alone", "0 AS c_id")
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()
+    assert sorted((str(r.doc_id), r.k_id) for r in kept) == [("1", 9), ("None", 6), ("None", 7)] and kept[0].asDict().keys() == set(docs.columns)

@@ -237,7 +237,9 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     to).
 
     Null and empty texts have no ids; special-token strings are ordinary text; repeated rows get
-    one result each; an empty table gives an empty result; other columns are ignored.
+    one result each; an empty table gives an empty result; other columns are ignored. A very long text is
+    encoded whole: n bytes take up to some 100 n bytes of a worker's memory. Of pairs of equal rank
+    the leftmost is merged first.
     """
     content = read_ranks(ranks_path)
 

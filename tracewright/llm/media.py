@@ -430,7 +430,8 @@ def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rate, clips and the histogram over all frames).
 
     Null and empty texts give 64 zero bytes; equal texts give equal values; repeated rows get one
-    result each; an empty table gives an empty result; other columns are ignored.
+    result each; an empty table gives an empty result; other columns are ignored. A very long text is
+    one file: n bytes take up to some 100 n bytes of a worker's memory. Ties do not occur: nothing is ordered.
     """
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:

@@ -143,7 +143,9 @@ def score_documents(docs: DataFrame, labels: DataFrame, usable=lambda i: F.lit(T
 
     ``usable`` says by id which labels may be learnt from. Null and empty texts score as a text
     without words; repeated rows get one result each; with no usable label of either kind all
-    scores are the prior; an empty table gives an empty result; other columns are ignored.
+    scores are the prior; an empty table gives an empty result; other columns are ignored. Texts are scored
+    whole, a piece of many or one long text at a time: a text of n bytes takes up to some 100 n bytes of a
+    worker's memory, so one of 20 MB wants 2 GB. Ties do not occur: equal texts have equal scores.
     """
     model = fit(training_rows(docs, labels, usable, id_col, text_col, label_col))
     give_back_memory()
