@@ -143,6 +143,18 @@ FRAMES = ", f AS (SELECT trace_idx, w, s - 8 * w AS p, v FROM l, range(0, 7) AS
 for name in ("tx_stft_mag", "win_frames"):
     transform(name, tx.stft_magnitude(16, 8), f"SELECT trace_idx, CAST(w * 9 + k AS INTEGER) AS sample_idx, {r('CAST(mag AS FLOAT)', 'v', 4)} FROM g", 4, FRAMES + ", " + dft("f", 16, "trace_idx, w", "p"))
 register("tx_gauss_noise", None)(lambda s, d: to_long(tx.gaussian_noise(0.1, 7)(traces(s, d))))
+
+
+def noise_moments(s: SparkSession, d: str) -> DataFrame:
+    """Whether each trace's noise, in deviations of the trace times the factor, has a mean near 0 and a deviation near 1."""
+    t = traces(s, d)
+    noisy = to_long(tx.gaussian_noise(0.1, 7)(t)).withColumnRenamed("v", "w")
+    both = to_long(t).join(noisy, ["trace_idx", "sample_idx"]).groupBy("trace_idx").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("w") - F.col("v")).alias("m"), F.stddev_pop(F.col("w") - F.col("v")).alias("e"), F.stddev_pop("v").alias("sd"))
+    scale = F.greatest(F.col("sd"), F.lit(1e-8)) * 0.1
+    return both.select("trace_idx", "n", (F.abs(F.col("m") / scale) < 0.8).alias("centred"), F.abs(F.col("e") / scale - 1).between(0, 0.5).alias("scaled"))
+
+
+register("tx_gauss_noise_moments", f"WITH {T} SELECT trace_idx, CAST(64 AS BIGINT) AS n, TRUE AS centred, TRUE AS scaled FROM t")(noise_moments)
 PIPE = [tx.absolute(), tx.scale(2.0), tx.window_resample(4)]
 transform("prj_pipeline", PIPE, f"SELECT trace_idx, CAST(s // 4 AS INTEGER) AS sample_idx, {r('CAST(avg(CAST(2 * abs(v) AS FLOAT)::DOUBLE) AS FLOAT)', 'v', 5)} FROM l GROUP BY trace_idx, s // 4", 5)
 transform("udf_transform", [tx.custom("clip", lambda df: df.withColumn("samples", F.transform("samples", lambda x: F.greatest(x, F.lit(0.0).cast("float")))))], pointwise("greatest(v, 0)"))
