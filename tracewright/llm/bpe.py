@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewright.llm.arrow import map_pieces
+from tracewright.llm.common import hold
 
 MATRIX_BYTES = 256
 #: Distinct matches whose ids a worker remembers; when more come up it starts afresh.
@@ -226,6 +227,7 @@ _ENCODERS: dict[tuple[bytes, str], Encoder] = {}
 def encoder(content: bytes, pattern: str) -> Encoder:
     """One encoder per worker process and vocabulary."""
     key = (hashlib.sha256(content).digest(), pattern)
+    hold("bpe", _ENCODERS.clear)
     if key not in _ENCODERS:
         _ENCODERS[key] = Encoder(content, pattern)
     return _ENCODERS[key]

@@ -8,6 +8,7 @@ import re
 import sys
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -42,6 +43,18 @@ def give_back_memory() -> None:
         trim(0)
 
 
+_HELD: dict[str, Callable[[], object]] = {}
+
+
+def hold(name: str, forget: Callable[[], object] | None = None) -> None:
+    """Tells whose caches this process keeps from here on; ``forget`` drops them. Those of other operators,
+    whose tasks ran here before, are dropped now."""
+    for other in [x for x in _HELD if x != name]:
+        _HELD.pop(other)()
+    if forget is not None:
+        _HELD[name] = forget
+
+
 class Scratch:
     """Tables written below the shared folder, so that lineage is cut without depending on any
     executor.  ``drop`` removes one; leaving the ``with`` block removes all that ``keep`` did

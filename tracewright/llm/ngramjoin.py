@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewright.llm.arrow import pieces, trimmed
-from tracewright.llm.common import Scratch, partitions_for
+from tracewright.llm.common import Scratch, hold, partitions_for
 from tracewright.llm.components import components
 from tracewright.llm.shingles import mix, shingle_sets
 
@@ -124,12 +124,13 @@ def _pack(schema: pa.Schema, parts: int, seed: int, local_hot: int):
             yield _rows(_rows_of_sets(tokens, owner, bucket_of(tokens), names, 0), schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("ngram-join")
         sent: set[int] = set()
         held: list[np.ndarray] = []
         names: list[int] = []
         total = row = 0
         for batch in batches:
-            for piece in pieces(batch, limit=1 << 20):
+            for piece in pieces(batch, limit=256 << 10):
                 sets = shingle_sets(piece.column("text").to_pylist(), seed)
                 keys = [set_key(s) if len(s) else (0, 0) for s in sets]
                 n = [len(s) for s in sets]

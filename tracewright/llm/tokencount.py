@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewright.llm.arrow import pieces, trimmed
-from tracewright.llm.common import Scratch
+from tracewright.llm.common import Scratch, hold
 
 MARK = "▁"  # stands for a space
 #: Entries of the broadcast table; pre-tokens that a task reports; pre-tokens that it counts at once.
@@ -73,12 +73,18 @@ class Splitter:
 @lru_cache(maxsize=2)
 def splitter(path: str) -> Splitter:
     """One for each process: workers live on for later tasks."""
+    hold("token-count", _forget)
     return Splitter(path)
 
 
 _CACHES: dict[str, dict[str, int]] = {}
 
 
+def _forget() -> None:
+    splitter.cache_clear()
+    _CACHES.clear()
+
+
 def _report(path: str):
     """A task's most frequent pre-tokens. Beyond ``COUNTED`` different ones the rarer half is forgotten, so
     counts are lower bounds; they serve to choose the table alone."""

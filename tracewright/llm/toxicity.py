@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewright.llm.arrow import map_pieces, pieces
-from tracewright.llm.common import give_back_memory, id_hash_mod
+from tracewright.llm.common import give_back_memory, hold, id_hash_mod
 
 LENGTHS = (3, 4, 5, 6)
 BITS = 20
@@ -151,6 +151,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, usable=lambda i: F.lit(T
     give_back_memory()
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
+        hold("toxicity")
         score = model.score(batch.column("text").to_pylist())
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32))], ["doc_id", "score", "predicted"])
 
@@ -164,6 +165,7 @@ def with_scores(docs: DataFrame, labels: DataFrame, score_col: str, id_col: str
     give_back_memory()
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
+        hold("toxicity")
         return batch.append_column(score_col, pa.array(model.score(batch.column(text_col).to_pylist())))
 
     rest = docs.drop(score_col)
