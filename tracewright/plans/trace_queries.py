@@ -101,7 +101,14 @@ def means(s: SparkSession, d: str) -> DataFrame:
 
 register("prj_trim", MEANS + f" SELECT s - 3 AS sample_idx, {r('v', 'v')} FROM m WHERE s >= 3 AND s < 59")(lambda s, d: projections.trim(means(s, d), 3, 5, NS))
 register("prj_cut", MEANS + f" SELECT CAST(row_number() OVER (ORDER BY s) - 1 AS INTEGER) AS sample_idx, {r('v', 'v')} FROM m WHERE NOT ((s >= 4 AND s < 9) OR (s >= 40 AND s < 42))")(lambda s, d: projections.cut(means(s, d), [(40, 42), (4, 9)]))
-register("flt_skip_no_label", f"WITH {T} SELECT CAST(count(*) AS BIGINT) AS used, CAST(0 AS BIGINT) AS skipped FROM t")(lambda s, d: traces(s, d).agg(F.count_if(F.octet_length("data") > 1).alias("used"), F.count_if(F.octet_length("data") <= 1).alias("skipped")))
+
+
+def unlabelled(t: DataFrame) -> DataFrame:
+    """Every fourth trace has lost its label byte."""
+    return t.withColumn("data", F.when(F.col("trace_idx") % 4 == 0, F.substring("data", 1, 1)).otherwise(F.col("data")))
+
+
+register("flt_skip_no_label", f"WITH {T} SELECT CAST(count(*) FILTER (trace_idx % 4 <> 0) AS BIGINT) AS used, CAST(count(*) FILTER (trace_idx % 4 = 0) AS BIGINT) AS skipped FROM t")(lambda s, d: unlabelled(traces(s, d)).agg(F.count_if(F.octet_length("data") > 1).alias("used"), F.count_if(F.octet_length("data") <= 1).alias("skipped")))
 register("flt_group_valid", f"WITH {T} SELECT trace_idx, b1 AS grp FROM t WHERE b1 BETWEEN 0 AND 1")(lambda s, d: traces(s, d).withColumn("grp", byte_at(F.col("data"), 1)).where("grp BETWEEN 0 AND 1").select("trace_idx", "grp"))
 
 # --- transforms ---------------------------------------------------------------------------------------
@@ -158,7 +165,7 @@ register("tx_gauss_noise_moments", f"WITH {T} SELECT trace_idx, CAST(64 AS BIGIN
 PIPE = [tx.absolute(), tx.scale(2.0), tx.window_resample(4)]
 transform("prj_pipeline", PIPE, f"SELECT trace_idx, CAST(s // 4 AS INTEGER) AS sample_idx, {r('CAST(avg(CAST(2 * abs(v) AS FLOAT)::DOUBLE) AS FLOAT)', 'v', 5)} FROM l GROUP BY trace_idx, s // 4", 5)
 transform("udf_transform", [tx.custom("clip", lambda df: df.withColumn("samples", F.transform("samples", lambda x: F.greatest(x, F.lit(0.0).cast("float")))))], pointwise("greatest(v, 0)"))
-register("prj_pipeline_count", "SELECT CAST(16 AS BIGINT) AS n_samples")(lambda s, d: s.range(1).select(F.lit(tx.pipeline_length(PIPE, NS)).cast("long").alias("n_samples")))
+register("prj_pipeline_count", f"WITH {T} SELECT trace_idx, CAST((64 - trace_idx % 5) // 4 AS INTEGER) AS n_samples FROM t")(lambda s, d: tx.run_pipeline(ragged(traces(s, d)), PIPE).select("trace_idx", F.size("samples").alias("n_samples")))
 
 # --- traces in chunks: the same results, and all events as one trace ----------------------------------
 
@@ -216,12 +223,14 @@ register("agg_ttest_df", WELCH + f" SELECT sample_idx, {r('df', 'df', 5)} FROM w
 register("agg_ttest_counts", f"WITH {T} SELECT CAST(sum(CASE WHEN b1 % 2 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n0, CAST(sum(b1 % 2) AS BIGINT) AS n1 FROM t")(lambda s, d: stats.group_counts(parity(s, d)))
 register("agg_median_df", WELCH + f" SELECT {r('df', 'median_df', 5)} FROM (SELECT df, row_number() OVER (ORDER BY df) AS k FROM w) WHERE k = 33", 5)(lambda s, d: stats.median_df(tstats(s, d)))
 register("flt_threshold", WELCH + f" SELECT sample_idx, {r('t', 't')} FROM w WHERE abs(t) >= 1.5")(lambda s, d: stats.over_threshold(tstats(s, d), 1.5).select("sample_idx", "t"))
-Q = "(sqrt(-2 * ln(p)) - (2.515517 + 0.802853 * sqrt(-2 * ln(p)) + 0.010328 * (-2 * ln(p))) / (1 + 1.432788 * sqrt(-2 * ln(p)) + 0.189269 * (-2 * ln(p)) + 0.001308 * pow(sqrt(-2 * ln(p)), 3)))"
+ROOT = "sqrt(-2 * ln(p))"
+NUM, DEN = fn.NORMAL_NUMERATOR, fn.NORMAL_DENOMINATOR
+Q = f"({ROOT} - ({NUM[0]} + {NUM[1]} * {ROOT} + {NUM[2]} * (-2 * ln(p))) / (1 + {DEN[0]} * {ROOT} + {DEN[1]} * (-2 * ln(p)) + {DEN[2]} * pow({ROOT}, 3)))"
 TH = f"z AS (SELECT df, (1 - pow(1 - 0.001::DOUBLE, 1.0 / 64)) / 2 AS p FROM w), y AS (SELECT df, {Q} AS q FROM z), th AS (SELECT df, CASE WHEN df >= 200 THEN q ELSE q + (pow(q, 3) + q) / 4 / df + (5 * pow(q, 5) + 16 * pow(q, 3) + 3 * q) / 96 / (df * df) END AS threshold FROM y)"
 for name in ("fn_threshold", "fn_inv_t"):
     register(name, WELCH.replace("SELECT s AS sample_idx, CASE WHEN e0 + e1", "SELECT s AS sample_idx, CASE WHEN e0 + e1") + f", m AS (SELECT df FROM (SELECT df, row_number() OVER (ORDER BY df) AS k FROM w) WHERE k = 33), {TH.replace('FROM w)', 'FROM m)')} SELECT {r('df', 'median_df', 5)}, CAST(64 AS BIGINT) AS n_samples, {r('threshold', 'threshold', 5)} FROM th", 5)(lambda s, d: stats.ttest_threshold(tstats(s, d)))
-register("fn_inv_norm", f"WITH a AS (SELECT CAST(k AS INTEGER) AS k, CAST(k AS DOUBLE) / 100 AS p0 FROM range(1, 100) AS q(k)), b AS (SELECT k, p0, CASE WHEN p0 < 0.5::DOUBLE THEN p0 ELSE 1 - p0 END AS p FROM a) SELECT k, {r(f'CASE WHEN p0 < 0.5::DOUBLE THEN -{Q} ELSE {Q} END', 'z')} FROM b")(lambda s, d: s.range(1, 100).select(F.col("id").cast("int").alias("k"), fn.inv_norm(F.col("id").cast("double") / 100).alias("z")))
-register("fn_sidak", f"SELECT CAST(k AS INTEGER) AS n, {r('1 - pow(1 - 0.05::DOUBLE, 1.0::DOUBLE / k)', 'alpha')} FROM range(1, 50) AS q(k)")(lambda s, d: s.range(1, 50).select(F.col("id").cast("int").alias("n"), fn.sidak(F.lit(0.05), F.col("id").cast("double")).alias("alpha")))
+register("fn_inv_norm", f"WITH {T}, a AS (SELECT trace_idx, (CAST(b0 AS DOUBLE) + 0.5::DOUBLE) / 256 AS p0 FROM t), b AS (SELECT trace_idx, p0, CASE WHEN p0 < 0.5::DOUBLE THEN p0 ELSE 1 - p0 END AS p FROM a) SELECT trace_idx, {r(f'CASE WHEN p0 < 0.5::DOUBLE THEN -{Q} ELSE {Q} END', 'z')} FROM b")(lambda s, d: traces(s, d).select("trace_idx", fn.inv_norm((byte_at(F.col("data"), 0).cast("double") + 0.5) / 256).alias("z")))
+register("fn_sidak", f"WITH {T} SELECT trace_idx, {r('1 - pow(1 - 0.05::DOUBLE, 1.0::DOUBLE / (b0 + 1))', 'alpha')} FROM t")(lambda s, d: traces(s, d).select("trace_idx", fn.sidak(F.lit(0.05), (byte_at(F.col("data"), 0) + 1).cast("double")).alias("alpha")))
 register("fn_nu_approx", f"WITH {T}, n AS (SELECT sum(CASE WHEN b1 % 2 = 0 THEN 1 ELSE 0 END)::DOUBLE AS a, sum(b1 % 2)::DOUBLE AS b FROM t) SELECT {r('pow(1 / a + 1 / b, 2) / (1 / a / a / (a - 1) + 1 / b / b / (b - 1))', 'nu', 4)} FROM n", 4)(lambda s, d: stats.group_counts(parity(s, d)).select(fn.nu_approx(F.col("n0").cast("double"), F.col("n1").cast("double")).alias("nu")))
 
 # --- signal-to-noise ----------------------------------------------------------------------------------
@@ -318,7 +327,15 @@ register("agg_xcorr_mp", None)(lambda s, d: xcorr.correlation_cleaned(traces(s,
 for name in ("agg_two_window", "jn_two_window"):
     register(name, XC + f" SELECT i - 8 AS search, j - 30 AS ref, {r('corr', 'corr')} FROM x WHERE i >= 8 AND i < 24 AND j >= 30 AND j < 40")(lambda s, d: xcorr.two_windows(traces(s, d), (30, 10), (8, 16)))
 register("flt_cell", XC + f" SELECT i, j, {r('corr', 'corr')} FROM x WHERE i = 3 AND j = 11")(lambda s, d: matrix(s, d).where("i = 3 AND j = 11"))
-register("fn_mem_estimate", "SELECT CAST(13 AS BIGINT) AS side, CAST(676 AS BIGINT) AS bytes")(lambda s, d: s.range(1).select(*[F.lit(v).cast("long").alias(k) for k, v in xcorr.estimate(NS, 5).items()]))
+
+
+def matrix_estimate(s: SparkSession, d: str) -> DataFrame:
+    """The size of the correlation matrix of the table's longest trace, every fifth sample."""
+    n = traces(s, d).agg(F.max(F.size("samples"))).first()[0]
+    return s.createDataFrame([tuple(xcorr.estimate(n, 5).values())], "side long, bytes long")
+
+
+register("fn_mem_estimate", f"WITH {T}, m AS (SELECT CAST((max(len(x)) + 4) // 5 AS BIGINT) AS side FROM t) SELECT side, CAST(4 * side * side AS BIGINT) AS bytes FROM m")(matrix_estimate)
 register("agg_color_range", XC + f" SELECT {r('-max(abs(corr))', 'lo')}, {r('max(abs(corr))', 'hi')} FROM x")(lambda s, d: stats.color_range(matrix(s, d), "corr"))
 register("agg_clip_range", XC + f", o AS (SELECT corr, row_number() OVER (ORDER BY corr) - 1 AS k, count(*) OVER () AS n FROM x) SELECT {r('min(CASE WHEN k = floor(0.02::DOUBLE * (n - 1)) THEN corr END)', 'lo')}, {r('min(CASE WHEN k = floor(0.98::DOUBLE * (n - 1)) THEN corr END)', 'hi')} FROM o")(lambda s, d: stats.clip_range(matrix(s, d), "corr", 0.02))
 
@@ -348,8 +365,8 @@ SPEC = f"WITH {L}, {dft('l', 64, 'trace_idx', 's')}"
 register("agg_fft_avg", SPEC + f" SELECT CAST(k AS INTEGER) AS bin, {r('avg(mag)', 'mean')}, {r('min(mag)', 'lo')}, {r('max(mag)', 'hi')} FROM g GROUP BY k")(lambda s, d: stats.mean_spectrum(traces(s, d), NS))
 register("fn_db", SPEC + f" SELECT CAST(k AS INTEGER) AS bin, {r('avg(CASE WHEN mag > 1e-10 THEN 20 * log10(mag) ELSE -200 END)', 'mean', 4)} FROM g GROUP BY k", 4)(lambda s, d: stats.mean_spectrum(traces(s, d), NS, "db").select("bin", "mean"))
 register("fn_phase", SPEC + f" SELECT CAST(k AS INTEGER) AS bin, {r('avg(atan2(im, re))', 'mean', 4)} FROM g WHERE k BETWEEN 1 AND 31 GROUP BY k", 4)(lambda s, d: stats.mean_spectrum(traces(s, d), NS, "phase").where("bin BETWEEN 1 AND 31").select("bin", "mean"))
-register("agg_fft_axis", f"SELECT CAST(k AS INTEGER) AS bin, {r('k / 0.001::DOUBLE / 64', 'frequency')} FROM range(0, 33) AS q(k)")(lambda s, d: stats.frequency_axis(s.range(33).select(F.col("id").cast("int").alias("bin")), 0.001, NS))
-register("fn_window_coef", f"SELECT CAST(k AS INTEGER) AS i, {r('0.5::DOUBLE - 0.5::DOUBLE * cos(2 * pi() * k / 63)', 'hann')}, {r('0.54::DOUBLE - 0.46::DOUBLE * cos(2 * pi() * k / 63)', 'hamming')}, {r('0.42::DOUBLE - 0.5::DOUBLE * cos(2 * pi() * k / 63) + 0.08::DOUBLE * cos(4 * pi() * k / 63)', 'blackman')} FROM range(0, 64) AS q(k)")(lambda s, d: s.range(64).select(F.col("id").cast("int").alias("i"), *[fn.window_coefficient(w, F.col("id"), F.lit(64)).alias(w) for w in ("hann", "hamming", "blackman")]))
+register("agg_fft_axis", f"WITH {L} SELECT s AS bin, {r('avg(v)', 'v')}, {r('s / 0.001::DOUBLE / 64', 'frequency')} FROM l GROUP BY s")(lambda s, d: stats.frequency_axis(means(s, d).withColumnRenamed("sample_idx", "bin"), 0.001, NS))
+register("fn_window_coef", f"WITH {L} SELECT trace_idx, s AS sample_idx, {r('v * (0.5::DOUBLE - 0.5::DOUBLE * cos(2 * pi() * s / 63))', 'hann')}, {r('v * (0.54::DOUBLE - 0.46::DOUBLE * cos(2 * pi() * s / 63))', 'hamming')}, {r('v * (0.42::DOUBLE - 0.5::DOUBLE * cos(2 * pi() * s / 63) + 0.08::DOUBLE * cos(4 * pi() * s / 63))', 'blackman')} FROM l")(lambda s, d: to_long(traces(s, d)).select("trace_idx", "sample_idx", *[(F.col("v") * fn.window_coefficient(w, F.col("sample_idx"), F.lit(64))).alias(w) for w in ("hann", "hamming", "blackman")]))
 
 # --- alignment ----------------------------------------------------------------------------------------
 
@@ -405,7 +422,7 @@ def palette_sql(name: str) -> str:
 
 
 register("fn_colormap", f"WITH {T} SELECT trace_idx, {', '.join(map(palette_sql, fn.PALETTES))} FROM t")(lambda s, d: places(s, d).select("trace_idx", *[fn.colormap(F.col("x"), p).alias(p) for p in fn.PALETTES]))
-register("fn_pixel", "SELECT CAST(k AS INTEGER) AS s, CAST(floor((k - 10) * 300 / 77.0) AS BIGINT) AS pixel, CAST(10 + floor(k * 77 / 300.0) AS BIGINT) AS sample FROM range(10, 87) AS q(k)")(lambda s, d: s.range(10, 87).select(F.col("id").cast("int").alias("s"), fn.sample_to_pixel(F.col("id"), 10, 77, 300).alias("pixel"), fn.pixel_to_sample(F.col("id"), 10, 77, 300).alias("sample")))
+register("fn_pixel", f"WITH {T} SELECT trace_idx, CAST(floor((b0 - 10) * 300 / 77.0) AS BIGINT) AS pixel, CAST(10 + floor(b0 * 77 / 300.0) AS BIGINT) AS sample FROM t")(lambda s, d: traces(s, d).withColumn("b", byte_at(F.col("data"), 0).cast("long")).select("trace_idx", fn.sample_to_pixel(F.col("b"), 10, 77, 300).alias("pixel"), fn.pixel_to_sample(F.col("b"), 10, 77, 300).alias("sample")))
 
 
 
