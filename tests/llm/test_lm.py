@@ -174,3 +174,43 @@ def test_context_gains_on_held_out_texts(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = [r for r in lm.lm_query(docs, PATH, public_tokenizers.PATTERN).collect() if r.held_out]
     assert sum(r.score for r in got) > sum(r.base_score for r in got) + 0.2 * sum(r.n_tokens for r in got)
+
+
+def test_quick_gradients_equal_the_plain_ones():
+    model, _, _ = small_model()
+    rng = np.random.default_rng(4)
+    lengths = np.array([1, 16, 17, 40, 3])
+    ids = rng.integers(0, 300, lengths.sum())
+    before, (place, scored) = lm.inputs_of(model, ids, lengths), lm.windows(lengths)
+    entry = np.where(place < 0, lm.OWN_INPUTS + lm.CLASSES, before[place])
+    logits, saved = lm.forward(model.weights, entry)
+    d = lm.softmax(logits)
+    d[np.arange(len(place))[:, None], np.arange(lm.WINDOW), model.kind[ids[place]]] -= 1
+    d *= scored[..., None] / np.float32(scored.sum())
+    want, got = lm.backward(model.weights, entry, saved, d), lm.gradients(model, entry, ids[place], scored)
+    assert want.keys() == got.keys() and all(np.allclose(got[k], want[k], atol=1e-6) for k in want)
+
+
+def test_every_weight_and_cluster_is_learnt_from_all_training_texts(spark, monkeypatch):
+    for name, value in (("SHARD_IDS", 3000), ("STEPS", 1), ("BATCH", 8)):
+        monkeypatch.setattr(lm, name, value)
+    cycle = ["an", "er", "ing", "the"] * 20
+    rows = [(i % 290, " ".join(cycle[i % 4 : i % 4 + i % 60])) for i in range(300)] + [(7, None), (7, "")]
+    content = lm.read_ranks(PATH)
+    coder = lm.encoder(content, public_tokenizers.PATTERN)
+    often = {w: 9 for w in (b"an", b"er", b"the")}
+    ids, lengths = lm.Words(coder, often).sequences([lm.words_of(t) for _, t in rows])[:2]
+    units = np.bincount(ids, minlength=coder.size + 1)
+    counts = lm.IdCounts(units, units, np.zeros_like(units), units)
+    frequent = spark.sparkContext.broadcast(often)
+    coded = lm.code(spark.createDataFrame(rows, "doc_id long, text string"), frequent, content, public_tokenizers.PATTERN, "all").cache()
+    near = lm.near_counts(coded.repartition(3), counts)
+    assert np.array_equal(near, lm.near_landmarks(ids, lengths, lm.by_frequency(counts), len(units)))
+    start = lm.train(counts, np.zeros_like(units), ids[:0], lengths[:0], near=near)
+    one, seen = lm.fit(coded.repartition(2), start, len(ids))
+    assert seen == len(ids) and all(not np.array_equal(one.weights[k], w) for k, w in start.weights.items())
+    assert lm.log_probabilities(one, ids, lengths).mean() > lm.log_probabilities(start, ids, lengths).mean()
+    other, _ = lm.fit(coded.repartition(5), start, len(ids))
+    assert all(np.allclose(one.weights[k], w, atol=1e-4) for k, w in other.weights.items())
+    less, seen = lm.fit(coded.where("doc_id <> 5"), start, len(ids))
+    assert seen < len(ids) and any(not np.array_equal(one.weights[k], w) for k, w in less.weights.items())

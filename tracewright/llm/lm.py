@@ -12,12 +12,14 @@ class's words.  The words seen once lend the class their mass for words never se
 which are spelled: their first id by its share of the words seen once, the further ids each by
 its class and its share of it.  So the words' probabilities after any context add up to one at most.
 
-Corpus statistics cover all training texts: word counts come from a distributed count, id counts
-from the word counts.  The attention weights come from a sample of training texts (``SAMPLE_TEXTS``); the
-output layer over them is fitted to all training texts: in each of ``ROUNDS`` rounds the tasks sum the gradient and
-second moments over all ids of one part of the texts, and the sums of all tasks make one step.  Sums do not depend
-on how texts are dealt out, but for the rounding of their order.  Long texts are cut into overlapping windows;
-every id is scored once, in the first window with enough context before it.
+Nothing is learnt from a sample.  Word counts come from a distributed count of all training texts, id counts from
+the word counts, the clusters from pairs of near ids of all training texts.  All weights are trained on all training
+texts: hashes deal the texts into shards, whose number grows with the training ids, and each shard's into
+``ROUNDS`` rounds.  In a round a shard takes gradient steps over all windows of its texts, in the order of their hashes,
+from the model of the round before; the mean of the shards' weights, by their ids, is the round's model.  So the
+result does not depend on partitions, but for rounding.  Few texts are gone through several times.  Texts are turned into ids
+once, in a table in the shared folder.  Long texts are cut into overlapping windows; every id is scored once, in the first window with
+enough context before it.
 """
 
 from __future__ import annotations
@@ -31,6 +33,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -46,15 +49,19 @@ OWN_CLASSES, START_CLUSTERS, OTHER_CLUSTERS = 24, 16, 8
 CLASSES = OWN_CLASSES + START_CLUSTERS + OTHER_CLUSTERS
 #: Most frequent ids by which others are clustered, and the distance that counts as near.
 LANDMARKS, NEAR = 48, 8
-#: Bounds: texts sampled for the attention weights and the bytes that each may have, words whose counts are broadcast.
-SAMPLE_TEXTS, SAMPLE_BYTES, FREQUENT_WORDS = 3000, 64 << 10, 200_000
+#: Bound of the words whose counts are broadcast.
+FREQUENT_WORDS = 200_000
+#: No text is sampled; a test still sets the name.
+SAMPLE_TEXTS = 0
 #: Least count of a frequent word, so that at any size some words are spelled as unseen ones will be.
 LEAST_COUNT = 5
 #: What an id that is never met in its part counts for.
 UNMET = 0.05
+#: Least steps in all, windows in a step, and the rate of the first half of them.
 STEPS, BATCH, RATE = 400, 256, 0.01
-#: Rounds over disjoint parts of all training texts.
-ROUNDS = 4
+#: Rounds over disjoint parts of all training texts (one where there is one shard), ids of a shard over all rounds, and
+#: ids that are held at once (all, where texts are gone through several times).
+ROUNDS, SHARD_IDS, HELD_IDS = 4, 4_000_000, STEPS * BATCH * STRIDE
 #: Bounds of what a worker holds: words counted before they are sent on, words with their ids.
 COUNTED_WORDS, REMEMBERED_WORDS = 200_000, 400_000
 FOLDS, HELD_OUT = 7, 2
@@ -174,11 +181,16 @@ def near_landmarks(ids: np.ndarray, lengths: np.ndarray, order: np.ndarray, size
     place[order[:LANDMARKS]] = np.arange(min(LANDMARKS, size))
     text = np.repeat(np.arange(len(lengths)), lengths)
     found = np.zeros(size * LANDMARKS, np.int64)
-    for d in range(1, NEAR + 1):
-        same = text[d:] == text[:-d]
-        for x, y in ((ids[d:], ids[:-d]), (ids[:-d], ids[d:])):
-            hit = same & (place[y] >= 0)
-            found += np.bincount(x[hit].astype(np.int64) * LANDMARKS + place[y[hit]], minlength=len(found))
+    at = np.flatnonzero(place[ids] >= 0)
+    mark = place[ids[at]]
+    for sign in (-1, 1):
+        met = []
+        for d in range(1, NEAR + 1):
+            j = at + sign * d
+            ok = (j >= 0) & (j < len(ids))
+            ok[ok] = text[j[ok]] == text[at[ok]]
+            met.append((ids[j[ok]].astype(np.int64) * LANDMARKS + mark[ok]).astype(np.int32))
+        found += np.bincount(np.concatenate(met), minlength=len(found))
     return found.reshape(size, LANDMARKS)
 
 
@@ -206,15 +218,17 @@ def clusters(profile: np.ndarray, weight: np.ndarray, k: int, rounds: int = 12)
     return out
 
 
-def classes(counts: IdCounts, starts_word: np.ndarray, ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def by_frequency(counts: IdCounts) -> np.ndarray:
+    return np.argsort(-counts.units, kind="stable")
+
+
+def classes(counts: IdCounts, starts_word: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Class, share, mass and input row of each id. The most frequent ids and the end stand alone; the others are
-    clustered by how much more often than usual they occur near each landmark in the sampled sequences."""
-    units, size = counts.units, len(counts.units)
-    order = np.argsort(-units, kind="stable")
+    clustered by how much more often than usual they occur near each landmark."""
+    size, order = len(counts.units), by_frequency(counts)
     place = np.empty(size, np.int64)
     place[order] = np.arange(size)
     own = place < OWN_CLASSES - 1
-    near = near_landmarks(ids, lengths, order, size)
     weight = near.sum(axis=1)
     usual = (near.sum(axis=0) + 1.0) / (weight.sum() + LANDMARKS)
     profile = np.where(weight[:, None] >= 5, np.sqrt((near + 4 * usual) / (weight[:, None] + 4)) - np.sqrt(usual), 0.0)
@@ -244,7 +258,8 @@ MASK = np.triu(np.full((WINDOW, WINDOW), -1e9, np.float32), 1)
 
 
 def forward(w: dict[str, np.ndarray], entry: np.ndarray) -> tuple[np.ndarray, tuple]:
-    """Class logits (windows, places, classes) of windows of input rows, with what backward needs."""
+    """Class logits (windows, places, classes) of windows of input rows, with what backward needs. The plain form of
+    the model, which tests hold ``states`` and ``gradients`` against."""
     x = w["in"][entry] + w["place"]
     q, k, v = x @ w["q"], x @ w["k"], x @ w["v"]
     a = softmax(q @ k.transpose(0, 2, 1) * np.float32(DIM**-0.5) + MASK)
@@ -293,11 +308,16 @@ def inputs_of(model: Model, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return before
 
 
+def maps(w: dict[str, np.ndarray]) -> np.ndarray:
+    """The linear maps from an input to state, query, key and mixed value, side by side."""
+    return np.concatenate([np.eye(DIM), w["q"] * DIM**-0.5, w["k"], w["v"] @ w["o"]], axis=1).astype(np.float32)
+
+
 def tables(w: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """What an input row and a place each add to state, query, key and mixed value: every map before
     the attention weights is linear, so scoring looks its results up."""
-    maps = np.concatenate([np.eye(DIM), w["q"] * DIM**-0.5, w["k"], w["v"] @ w["o"]], axis=1).astype(np.float32)
-    return w["in"] @ maps, w["place"] @ maps
+    m = maps(w)
+    return w["in"] @ m, w["place"] @ m
 
 
 #: Exponents stay in the range of 32-bit floats.
@@ -313,7 +333,8 @@ def states(model: Model, ids: np.ndarray, lengths: np.ndarray, chunk: int = 512)
     ones = np.ones((chunk, WINDOW, 1), np.float32)
     for a in range(0, len(place), chunk):
         p, s = place[a : a + chunk], scored[a : a + chunk]
-        g = by_entry[np.where(p < 0, OWN_INPUTS + CLASSES, before[p])] + by_place
+        g = np.take(by_entry, np.where(p < 0, OWN_INPUTS + CLASSES, before[p]), axis=0)
+        g += by_place
         x, q, k, v = (g[..., i * DIM : (i + 1) * DIM] for i in range(4))
         e = q @ k.transpose(0, 2, 1)
         np.exp(np.clip(e, LEAST, MOST, out=e), out=e)
@@ -333,9 +354,12 @@ def log_probabilities(model: Model, ids: np.ndarray, lengths: np.ndarray, chunk:
     return out + model.share[ids]
 
 
-def train(counts: IdCounts, starts_word: np.ndarray, ids: np.ndarray, lengths: np.ndarray, steps: int = STEPS) -> Model:
-    """Fits the weights to sampled sequences with Adam; without any the weights stay as drawn."""
-    kind, share, mass, entry = classes(counts, starts_word, ids, lengths)
+def train(counts: IdCounts, starts_word: np.ndarray, ids: np.ndarray, lengths: np.ndarray, steps: int = STEPS, near: np.ndarray | None = None) -> Model:
+    """Fits the weights to sequences in memory with Adam; without any they stay as drawn. ``near``: counts near
+    landmarks, where they are not those of the sequences."""
+    if near is None:
+        near = near_landmarks(ids, lengths, by_frequency(counts), len(counts.units))
+    kind, share, mass, entry = classes(counts, starts_word, near)
     rng = np.random.default_rng(7)
     shapes = {"in": (OWN_INPUTS + CLASSES + 1, DIM), "place": (WINDOW, DIM), "q": (DIM, DIM), "k": (DIM, DIM), "v": (DIM, DIM), "o": (DIM, DIM), "out": (DIM, CLASSES)}
     w = {k: rng.normal(0, 0.3 if k == "in" else DIM**-0.5 / 2, s).astype(np.float32) for k, s in shapes.items()}
@@ -352,6 +376,49 @@ def train(counts: IdCounts, starts_word: np.ndarray, ids: np.ndarray, lengths: n
     return model
 
 
+def gradients(model: Model, entry: np.ndarray, targets: np.ndarray, scored: np.ndarray) -> dict[str, np.ndarray]:
+    """Gradients of the mean negative log likelihood of the scored places, as ``backward`` gives them, by way of
+    what input rows and places add (``maps``): each row's gradients are added up before they are mapped."""
+    w, (n, _) = model.weights, entry.shape
+    m = maps(w)
+    by_entry, by_place = w["in"] @ m, w["place"] @ m
+    g = np.take(by_entry, entry, axis=0)
+    g += by_place
+    x, q, k, v = (g[..., i * DIM : (i + 1) * DIM] for i in range(4))
+    a = q @ k.transpose(0, 2, 1)
+    np.exp(np.clip(a, LEAST, MOST, out=a), out=a)
+    a *= CAUSAL
+    a /= a @ np.ones((WINDOW, 1), np.float32)
+    at = np.flatnonzero(scored)
+    t = np.tanh((x + a @ v).reshape(-1, DIM)[at])
+    p = t @ w["out"]
+    p += w["bias"]
+    np.exp(np.clip(p, LEAST, MOST, out=p), out=p)
+    p *= np.float32(1 / max(1, len(at))) / (p @ np.ones((CLASSES, 1), np.float32))
+    p[np.arange(len(at)), model.kind[targets.ravel()[at]]] -= np.float32(1 / max(1, len(at)))
+    out = {"out": t.T @ p, "bias": p.sum(axis=0)}
+    dh = np.zeros((n * WINDOW, DIM), np.float32)
+    dh[at] = p @ w["out"].T * (1 - t * t)
+    dh = dh.reshape(n, WINDOW, DIM)
+    d = np.empty((n, WINDOW, 4 * DIM), np.float32)
+    d[..., :DIM] = dh
+    da = dh @ v.transpose(0, 2, 1)
+    da *= a
+    da -= a * (da @ np.ones((WINDOW, 1), np.float32))
+    np.matmul(da, k, out=d[..., DIM : 2 * DIM])
+    np.matmul(da.transpose(0, 2, 1), q, out=d[..., 2 * DIM : 3 * DIM])
+    np.matmul(a.transpose(0, 2, 1), dh, out=d[..., 3 * DIM :])
+    rows = entry.ravel()
+    order = np.argsort(rows, kind="stable")
+    rows = rows[order]
+    first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
+    of_entry, of_place = np.zeros_like(by_entry), d.sum(axis=0)
+    of_entry[rows[first]] = np.add.reduceat(d.reshape(-1, 4 * DIM)[order], first, axis=0)
+    out["in"], out["place"] = of_entry @ m.T, of_place @ m.T
+    _, gq, gk, gv = np.split(w["in"].T @ of_entry + w["place"].T @ of_place, 4, axis=1)
+    return out | {"q": gq * np.float32(DIM**-0.5), "k": gk, "v": gv @ w["o"].T, "o": w["v"].T @ gv}
+
+
 class Adam:
     """Gradient steps on a model's weights, which are changed in place."""
 
@@ -364,74 +431,124 @@ class Adam:
         """One step on windows with places ``p``, of which ``s`` are scored."""
         w, first, second = self.model.weights, self.first, self.second
         self.steps += 1
-        e = np.where(p < 0, OWN_INPUTS + CLASSES, before[p])
-        z, saved = forward(w, e)
-        d = softmax(z)
-        d[np.arange(len(p))[:, None], np.arange(WINDOW), self.model.kind[ids[np.maximum(p, 0)]]] -= 1
-        d *= s[..., None] / np.float32(max(1, s.sum()))
-        for k, g in backward(w, e, saved, d).items():
-            first[k] = 0.9 * first[k] + 0.1 * g
-            second[k] = 0.99 * second[k] + 0.01 * g * g
-            w[k] = (w[k] - rate * (first[k] / (1 - 0.9**self.steps)) / (np.sqrt(second[k] / (1 - 0.99**self.steps)) + 1e-8)).astype(np.float32)
-
-
-class OutputSums:
-    """Sums over ids for a step of the output layer: the gradient of the log likelihood by state (a 1 for
-    the bias at its end) and class, second moments of states, and ids."""
-
-    SHAPES = ((DIM + 1, CLASSES), (DIM + 1, DIM + 1), (1,))
-
-    def __init__(self) -> None:
-        self.sums = [np.zeros(x) for x in self.SHAPES]
-
-    def add(self, model: Model, ids: np.ndarray, lengths: np.ndarray) -> None:
-        kind, w = model.kind[ids], model.weights
-        for target, t in states(model, ids, lengths):
-            p = softmax(np.clip(t @ w["out"] + w["bias"], LEAST, MOST))
-            t = np.concatenate([t, np.ones((len(t), 1))], axis=1)  # sums of doubles
-            self.sums[1] += t.T @ t
-            self.sums[2] += len(p)
-            p[np.arange(len(p)), kind[target]] -= 1
-            self.sums[0] -= t.T @ p
-
-    def step(self, model: Model) -> Model:
-        """One step that cannot lower the likelihood of these ids: the curvature of a softmax is at most half the
-        states' second moments for every class."""
-        gradient, moments, (n,) = self.sums
-        move = np.linalg.solve(moments / n / 2 + 1e-6 * np.eye(DIM + 1), gradient / n)
-        return replace(model, weights=model.weights | {"out": (model.weights["out"] + move[:-1]).astype(np.float32), "bias": (model.weights["bias"] + move[-1]).astype(np.float32)})
-
-
-def fit_output(learn: DataFrame, model: Model, frequent: Broadcast, content: bytes, pattern: str, token: str | None = None) -> tuple[Model, int]:
-    """The model with its output layer fitted to all texts, and the number of ids it saw. A text takes part in one
-    round, with all its ids. A row for each sum (some 1,100) reaches the driver each round."""
-    token = token or uuid.uuid4().hex
-    seen, sizes = 0, [math.prod(x) for x in OutputSums.SHAPES]
-    for turn in range(ROUNDS):
-        start = learn.sparkSession.sparkContext.broadcast(model)
-
-        def run(batches: Iterator[pa.RecordBatch], start=start) -> Iterator[pa.RecordBatch]:
-            own, memory = OutputSums(), remembered(token, content, pattern, frequent)
+        one, two = np.float32(rate / (1 - 0.9**self.steps)), np.float32(1 / (1 - 0.99**self.steps))
+        for k, g in gradients(self.model, np.where(p < 0, OWN_INPUTS + CLASSES, before[p]), ids[p], s).items():
+            first[k] += np.float32(0.1) * (g - first[k])
+            second[k] += np.float32(0.01) * (g * g - second[k])
+            w[k] -= one * first[k] / (np.sqrt(second[k] * two) + np.float32(1e-8))
+
+
+class Shard:
+    """One round of a shard: gradient steps over all windows of its texts, as they come. What it holds at once
+    depends on the order of its texts alone, not on how they reach it."""
+
+    def __init__(self, start: Model, turn: int, rounds: int, expected: float, epochs: int):
+        self.adam = Adam(replace(start, weights={k: v.copy() for k, v in start.weights.items()}))
+        self.turn, self.rounds, self.expected, self.epochs = turn, rounds, expected, epochs
+        self.texts: list[np.ndarray] = []
+        self.held = self.seen = 0
+        self.rng = np.random.default_rng(7)
+
+    def add(self, ids: np.ndarray) -> None:
+        self.texts.append(ids)
+        self.held += len(ids)
+        if self.held >= HELD_IDS:
+            self._learn()
+
+    def _learn(self) -> None:
+        ids, lengths = np.concatenate(self.texts), np.fromiter(map(len, self.texts), np.int64, len(self.texts))
+        before, (place, scored) = inputs_of(self.adam.model, ids, lengths), windows(lengths)
+        steps = max(1, round(len(place) / BATCH))
+        for epoch in range(self.epochs):
+            for i, rows in enumerate(np.array_split(self.rng.permutation(len(place)), steps)):
+                met = self.seen + len(ids) * (epoch + i / steps) / self.epochs
+                done = (self.turn + min(1.0, met / self.expected)) / self.rounds
+                self.adam.step(ids, before, place[rows], scored[rows], RATE * min(1.0, max(0.02, 2 * (1 - done))))
+        self.seen += len(ids)
+        self.texts, self.held = [], 0
+
+    def result(self) -> pa.RecordBatch:
+        """The weights by their places, times the ids seen, and these last."""
+        if self.held:
+            self._learn()
+        values = np.concatenate([*(x.ravel() for x in self.adam.model.weights.values()), [1.0]]) * self.seen
+        return pa.RecordBatch.from_arrays([pa.array(np.arange(len(values), dtype=np.int32)), pa.array(values)], ["at", "v"])
+
+
+def fit(coded: DataFrame, model: Model, total: int) -> tuple[Model, int]:
+    """The model with all weights trained on all sequences of a coded table with ``total`` ids, and the number of ids
+    it saw. A text takes part in one round of one shard, with all its ids. A row for each weight (some
+    19,000) reaches the driver each round."""
+    spark, form = coded.sparkSession, id_form(len(model.kind))
+    shards = max(1, -(-total // SHARD_IDS))
+    rounds = ROUNDS if shards > 1 else 1
+    expected, epochs, seen = max(1.0, total / shards / rounds), math.ceil(STEPS / max(1, total / STRIDE / BATCH)), 0
+    dealt = coded.select("ids", F.xxhash64("doc_id", "ids").alias("h")).withColumn("shard", F.pmod(F.shiftright("h", 8), F.lit(shards)))
+    for turn in range(rounds):
+        start = spark.sparkContext.broadcast(model)
+
+        def run(batches: Iterator[pa.RecordBatch], start=start, turn=turn) -> Iterator[pa.RecordBatch]:
+            forget_words()
+            own, number = None, -1
             for batch in batches:
-                for piece in pieces(batch, limit=1 << 20):
-                    own.add(start.value, *memory.sequences([words_of(t) for t in piece.column("text").to_pylist()])[:2])
-            values = np.concatenate([x.ravel() for x in own.sums])
-            if values[-1]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values))), pa.array(values)], ["at", "v"])
-
-        mine = learn.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(ROUNDS)) == turn).select("text")
-        got = mine.mapInArrow(trimmed(run), "at long, v double").groupBy("at").agg(F.sum("v").alias("v")).toArrow()
+                for shard, ids in zip(batch.column("shard").to_pylist(), batch.column("ids").to_pylist(), strict=True):
+                    if shard != number:
+                        if own is not None:
+                            yield own.result()
+                        own, number = Shard(start.value, turn, rounds, expected, epochs), shard
+                    own.add(np.frombuffer(ids, form))
+            if own is not None:
+                yield own.result()
+
+        mine = dealt.where(F.pmod("h", F.lit(rounds)) == turn).repartition(shards, "shard").sortWithinPartitions("shard", "h", "ids").select("shard", "ids")
+        got = mine.mapInArrow(trimmed(run), "at int, v double").groupBy("at").agg(F.sum("v").alias("v")).toArrow()
         start.unpersist()
         if not got.num_rows:
             continue
-        sums, whole = np.zeros(sum(sizes)), OutputSums()
+        sums = np.zeros(got.num_rows)
         sums[got.column("at").to_numpy()] = got.column("v").to_numpy()
-        seen += int(sums[-1])
-        whole.sums = [x.reshape(shape) for x, shape in zip(np.split(sums, np.cumsum(sizes)[:-1]), OutputSums.SHAPES, strict=True)]
-        model = whole.step(model)
+        seen += round(sums[-1])
+        ends = np.cumsum([x.size for x in model.weights.values()])[:-1]
+        parts = np.split(sums[:-1] / sums[-1], ends)
+        model = replace(model, weights={k: x.reshape(w.shape).astype(np.float32) for (k, w), x in zip(model.weights.items(), parts, strict=True)})
     return model, seen
 
 
+def fit_output(learn: DataFrame, model: Model, frequent: Broadcast, content: bytes, pattern: str, token: str | None = None) -> tuple[Model, int]:
+    """``fit`` on texts: doc_id, text."""
+    with Scratch(learn.sparkSession, "lm") as scratch:
+        coded = scratch.write(code(learn, frequent, content, pattern, token or uuid.uuid4().hex), "coded")
+        total = coded.agg(F.coalesce(F.sum(F.octet_length("ids")), F.lit(0))).first()[0] // id_form(len(model.kind)).itemsize
+        return fit(coded, model, total)
+
+
+def near_counts(coded: DataFrame, counts: IdCounts) -> np.ndarray:
+    """``near_landmarks`` of all sequences of a coded table. At most a row per id and landmark reaches the driver."""
+    order, size = by_frequency(counts), len(counts.units)
+    form = id_form(size)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_words()
+        found, held, n = np.zeros((size, LANDMARKS), np.int64), [], 0
+        for batch in batches:
+            for ids in batch.column("ids").to_pylist():
+                held.append(np.frombuffer(ids, form))
+                n += len(held[-1])
+                if n >= HELD_IDS:
+                    found += near_landmarks(np.concatenate(held), np.fromiter(map(len, held), np.int64, len(held)), order, size)
+                    held, n = [], 0
+        if held:
+            found += near_landmarks(np.concatenate(held), np.fromiter(map(len, held), np.int64, len(held)), order, size)
+        flat = found.ravel()
+        at = np.flatnonzero(flat)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(flat[at])], ["at", "c"])
+
+    got = coded.select("ids").mapInArrow(trimmed(run), "at int, c long").groupBy("at").agg(F.sum("c").alias("c")).toArrow()
+    out = np.zeros(size * LANDMARKS, np.int64)
+    out[got.column("at").to_numpy()] = got.column("c").to_numpy()
+    return out.reshape(size, LANDMARKS)
+
+
 class _Numbers(dict):
     """Numbers words from 1 as they are first asked for, and lists those since ``new`` was emptied."""
 
@@ -492,6 +609,59 @@ def remembered(token: str, content: bytes, pattern: str, frequent: Broadcast) ->
     return _WORDS[token]
 
 
+def forget_words() -> None:
+    """Drops a worker's memory of words, which the stages after coding need not have beside theirs."""
+    _WORDS.clear()
+
+
+def id_form(size: int) -> np.dtype:
+    """How ids below ``size`` are stored."""
+    return np.dtype("<u2" if size <= 1 << 16 else "<i4")
+
+
+def packed(values: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    """The bytes of consecutive runs of values, as binary."""
+    bounds = np.concatenate([[0], np.cumsum(lengths)]) * values.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def unpacked(column: pa.Array, form: np.dtype | str) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), form)
+
+
+INNER, KNOWN, RARE, END = range(4)
+CODED = {"n_tokens": "long", "n_hot": "long", "size": "double", "hot": "double", "ids": "binary", "marks": "binary", "rare": "array<string>"}
+
+
+def code(rows: DataFrame, frequent: Broadcast, content: bytes, pattern: str, token: str) -> DataFrame:
+    """The given columns but for the text, and of each text: tokens, frequent words, log10 of the product of these words'
+    counts, and of the counts plus 1, packed ids with a mark for each (``INNER`` or that of the token it begins),
+    and the words that are not frequent. Some 5 bytes a token: a batch of texts is held by Spark and by a worker."""
+    others = [c for c in rows.columns if c != "text"]
+    kinds = [f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in others]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memory = remembered(token, content, pattern, frequent)
+        form = id_form(memory.coder.size + 1)
+        for batch in batches:
+            for piece in pieces(batch, limit=1 << 20):
+                texts = [words_of(t) for t in piece.column("text").to_pylist()]
+                ids, lengths, per_token, tokens, count = memory.sequences(texts)
+                at, rare = np.cumsum(tokens) - tokens, count == 0
+                rare[at + tokens - 1] = False
+                words = [texts[i][j] for i, j in zip(np.repeat(np.arange(len(texts)), tokens)[rare].tolist(), (np.arange(len(rare)) - np.repeat(at, tokens))[rare].tolist(), strict=True)]
+                bounds = np.concatenate([[0], np.cumsum(np.add.reduceat(rare.astype(np.int64), at))]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(bounds), pa.array(words, pa.binary()).cast(pa.string()))
+                mark = np.where(count > 0, KNOWN, np.where(rare, RARE, END))
+                marks = np.full(len(ids), INNER, np.uint8)
+                marks[np.cumsum(per_token) - per_token] = mark
+                known = count > 0
+                sums = [np.add.reduceat(x, at) for x in (known.astype(np.int64), np.log10(np.maximum(count, 1)), np.where(known, np.log10(count + 1), 0.0))]
+                yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in others), *map(pa.array, (tokens, *sums)), packed(ids.astype(form), lengths), packed(marks, lengths), lists], [*others, *CODED])
+
+    return rows.mapInArrow(trimmed(run), ", ".join([*kinds, *(f"{c} {t}" for c, t in CODED.items())]))
+
+
 def score_texts(docs: DataFrame, training, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every row with doc_id, n_tokens, n_known, train_tokens, base_score and score; ``training`` says
     by id which texts may be learnt from.
@@ -516,47 +686,48 @@ def score_texts(docs: DataFrame, training, ranks_path: str, pattern: str, id_col
         often, least = frequent_words(counts)
         token = uuid.uuid4().hex
         frequent = spark.sparkContext.broadcast(often)
-        share = min(1.0, SAMPLE_TEXTS / max(1, ends))
-        sample = [words_of(r[0]) for r in learn.where((F.pmod(F.xxhash64("doc_id", F.lit("lm")), F.lit(1 << 20)) < share * (1 << 20)) & (F.coalesce(F.octet_length("text"), F.lit(0)) <= SAMPLE_BYTES)).select("text").toLocalIterator()] if ends else []
-        ids, lengths = Words(coder, often).sequences(sample)[:2] if sample else (np.zeros(0, np.int32), np.zeros(0, np.int64))
-        model, _ = fit_output(learn, train(id_counts(counts, least, content, pattern), starts, ids, lengths), frequent, content, pattern, token)
-        trained = spark.sparkContext.broadcast(model)
-        del often, sample, ids, lengths
+        of_ids = id_counts(counts, least, content, pattern)
+        fold = F.coalesce(training(F.col("doc_id")), F.lit(False)).alias("learn")
+        coded = scratch.write(code(rows.select("doc_id", fold, "text"), frequent, content, pattern, token), "coded")
+        frequent.unpersist()
+        learnt = coded.where("learn")
+        nothing = np.zeros(0, np.int32)
+        start = train(of_ids, starts, nothing, nothing, near=near_counts(learnt, of_ids))
+        del often
         give_back_memory()
-        end_base = math.log10((ends + 1) / below)
+        model, _ = fit(learnt, start, int(of_ids.units.sum()))
+        trained, form = spark.sparkContext.broadcast(model), id_form(coder.size + 1)
+        names = ["doc_id", "n_tokens", "n_hot", "size", "hot", "rare"]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            own, memory = trained.value, remembered(token, content, pattern, frequent)
+            forget_words()
+            own = trained.value
             for batch in batches:
-                for piece in pieces(batch, limit=1 << 20):
-                    texts = [words_of(t) for t in piece.column("text").to_pylist()]
-                    ids, lengths, per_token, tokens, count = memory.sequences(texts)
-                    logs, first = log_probabilities(own, ids, lengths), np.cumsum(per_token) - per_token
-                    spelled, head = np.add.reduceat(logs, first), ids[first]
+                for piece in pieces(batch, "ids", limit=1 << 19):
+                    ids, marks = unpacked(piece.column("ids"), form), unpacked(piece.column("marks"), np.uint8)
+                    logs = log_probabilities(own, ids, pc.binary_length(piece.column("marks")).to_numpy().astype(np.int64))
+                    first = np.flatnonzero(marks != INNER)
+                    spelled, head, mark = np.add.reduceat(logs, first), ids[first], marks[first]
                     # the class of the first id and one part of the class's words
                     unit = logs[first] - own.share[head] - own.mass[head]
+                    tokens, rare = piece.column("n_tokens").to_numpy(), mark == RARE  # these are scored below, where their counts are joined
                     at = np.cumsum(tokens) - tokens
-                    known, inner = count > 0, np.ones(len(count), bool)
-                    inner[at + tokens - 1] = False
-                    rare = inner & ~known  # scored below, where their counts are joined
-                    size = np.log10(np.maximum(count, 1))
-                    score = np.add.reduceat(np.where(known, unit + size, np.where(rare, 0.0, spelled)), at)
-                    hot = np.add.reduceat(np.where(known, np.log10((count + 1) / below), 0.0), at) + end_base
-                    n_hot = np.add.reduceat(known.astype(np.int64), at) + (1 if ends else 0)
-                    words = [t[i - a] for t, a, n in zip(texts, at.tolist(), tokens.tolist(), strict=True) for i in (a + np.flatnonzero(rare[a : a + n])).tolist()]
+                    score = np.add.reduceat(np.where(mark == KNOWN, unit, np.where(rare, 0.0, spelled)), at)
                     bounds = pa.array(np.concatenate([[0], np.cumsum(np.add.reduceat(rare.astype(np.int64), at))]).astype(np.int32))
-                    values = pa.array(words, pa.binary()).cast(pa.string()), *(pa.array(x[rare].astype(np.float32)) for x in (spelled, unit))
-                    lists = [pa.ListArray.from_arrays(bounds, x) for x in values]
-                    yield pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex for _ in texts]), piece.column("doc_id"), pa.array(tokens), pa.array(n_hot), pa.array(hot), pa.array(score), *lists], ["row", "doc_id", "n_tokens", "n_hot", "hot", "known", "rare", "spelled", "unit"])
+                    lists = [pa.ListArray.from_arrays(bounds, pa.array(x[rare].astype(np.float32))) for x in (spelled, unit)]
+                    yield pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex for _ in tokens]), *(piece.column(c) for c in names), pa.array(score), *lists], ["row", *names, "unsized", "spelled", "unit"])
 
         kind = docs.schema[id_col].dataType.simpleString()
-        scored = scratch.write(rows.mapInArrow(run, f"row string, doc_id {kind}, n_tokens long, n_hot long, hot double, known double, rare array<string>, spelled array<float>, unit array<float>"), "scored")
+        scored = scratch.write(coded.select(*names, "ids", "marks").mapInArrow(trimmed(run), f"row string, doc_id {kind}, n_tokens long, n_hot long, size double, hot double, rare array<string>, unsized double, spelled array<float>, unit array<float>"), "scored")
+        scratch.drop("coded")
         rare = scored.select("row", F.explode(F.arrays_zip("rare", "spelled", "unit")).alias("e")).select("row", F.col("e.rare").alias("word"), "e.spelled", "e.unit")
         c = F.coalesce("c", F.lit(0))
         model_score = F.when(c > 0, F.col("unit") + F.log10(c)).otherwise(F.col("spelled"))
         sums = rare.join(counts, "word", "left").groupBy("row").agg(F.sum(F.log10((c + 1) / F.lit(float(below)))).alias("tail"), F.sum(model_score).alias("tail_score"), F.count(F.when(c > 0, 1)).alias("n_tail"))
         out = scored.drop("rare", "spelled", "unit").join(sums, "row", "left")
-        out = out.select("doc_id", "n_tokens", (F.col("n_hot") + F.coalesce("n_tail", F.lit(0))).cast("long").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), (F.col("hot") + F.coalesce("tail", F.lit(0.0))).alias("base_score"), (F.col("known") + F.coalesce("tail_score", F.lit(0.0))).alias("score"))
+        # frequent words and the end, whose counts are above 0 with any training text
+        n_hot, base = F.col("n_hot") + int(ends > 0), F.col("hot") - F.col("n_hot") * math.log10(below) + math.log10((ends + 1) / below)
+        out = out.select("doc_id", "n_tokens", (n_hot + F.coalesce("n_tail", F.lit(0))).cast("long").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), (base + F.coalesce("tail", F.lit(0.0))).alias("base_score"), (F.col("unsized") + F.col("size") + F.coalesce("tail_score", F.lit(0.0))).alias("score"))
         return scratch.keep(out, "result")
 
 
