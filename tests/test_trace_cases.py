@@ -151,3 +151,25 @@ def test_npz_round_trip(spark, tmp_path):
     assert np.load(tmp_path / "b.npz")["first"].tolist() == list(range(9))
     assert [r["first"] for r in npy.open_npz(spark, str(tmp_path / "b.npz")).df.orderBy("trace_idx").collect()] == list(range(9))
     assert from_arrays(spark, got["traces"]).df.count() == 9
+
+
+def test_noise_makes_and_keeps_only_what_is_asked_for():
+    whole = np.random.default_rng([7, 3, 0, 0]).standard_normal(tx.NOISE_BLOCK)
+    assert np.array_equal(tx.noise_values(7, 3, 0, 64), whole[:64]) and np.array_equal(tx.noise_values(7, 3, 10, 64), whole[10:74])
+    made = tx.noise_values(7, 3, 0, 64)
+    assert (made if made.base is None else made.base).nbytes <= 2 * 64 * 8
+    assert len(tx.noise_values(7, 3, 4000, 5000)) == 5000 and len(tx.noise_values(7, 3, 4096, 0)) == 0
+
+
+def test_kernels_see_bounded_parts(spark, monkeypatch):
+    rows = [(i, [float(i * j % 11) for j in range(i % 9)] if i % 5 else None) for i in range(60)] + [(99, [1.0] * 50)]
+    df = spark.createDataFrame(rows, "trace_idx long, samples array<float>").coalesce(1)
+    want = {r.trace_idx: r.samples for r in tx.moving_average(3)(df).collect()}
+    batch = df.toArrow().combine_chunks().to_batches()[0]
+    monkeypatch.setattr(tx, "KERNEL_SAMPLES", 16)
+    parts = list(tx._parts(batch))
+    assert all(p.num_rows == 1 or len(p.column("samples").flatten()) <= 16 for p in parts) and sum(p.num_rows for p in parts) == len(rows)
+    sizes = []
+    f = lambda x: (sizes.append(x.size), x)[1]
+    assert {r.trace_idx: r.samples for r in tx._kernel(df, f).collect()} == dict(rows)
+    assert {r.trace_idx: r.samples for r in tx.moving_average(3)(df).collect()} == want

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -97,15 +98,30 @@ def one_sided(frames: np.ndarray, kind: str) -> np.ndarray:
     return out
 
 
+#: Samples that a kernel sees at once; a single longer trace is a part of its own.
+KERNEL_SAMPLES = 1 << 17
+
+
+def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with at most ``KERNEL_SAMPLES`` samples, or one row."""
+    bounds, start = batch.column("samples").offsets.to_numpy(), 0
+    while start < batch.num_rows:
+        end = max(start + 1, int(np.searchsorted(bounds, bounds[start] + KERNEL_SAMPLES, "right")) - 1)
+        end = batch.num_rows if bounds[-1] - bounds[start] <= KERNEL_SAMPLES else end
+        yield batch.slice(start, end - start)
+        start = end
+
+
 def _kernel(df: DataFrame, f: Callable[..., np.ndarray], key: str | None = None) -> DataFrame:
-    """Replaces samples by a row-wise numpy kernel, one Arrow batch at a time; rows of one length go
-    through together. With ``key`` the kernel also gets that column's values of the rows. Null samples stay null."""
+    """Replaces samples by a row-wise numpy kernel, ``KERNEL_SAMPLES`` samples of an Arrow batch at a time; rows of one
+    length go through together. With ``key`` the kernel also gets that column's values of the rows. Null samples stay null."""
     columns = df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in chain.from_iterable(map(_parts, batches)):
             lists = batch.column("samples")
-            starts, values = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False).astype(np.float64)
+            starts = lists.offsets.to_numpy()
+            values, starts = lists.values[starts[0] : starts[-1]].to_numpy(zero_copy_only=False).astype(np.float64), starts - starts[0]
             lengths = np.diff(starts)
             out: list[np.ndarray] = [np.zeros(0)] * len(lengths)
             for n in np.unique(lengths):
@@ -147,10 +163,12 @@ NOISE_BLOCK = 4096
 
 def noise_values(seed: int, trace: int | None, start: int, count: int) -> np.ndarray:
     """Normal noise of the samples [start, start+count) of a trace: a generator for each block of samples, so it
-    depends neither on how traces are dealt out nor on how they are cut."""
+    depends neither on how traces are dealt out nor on how they are cut. A block is made as far as it is asked for: a
+    view of a whole block would keep it in memory."""
     first, last = start // NOISE_BLOCK, -(-(start + count) // NOISE_BLOCK)
-    made = [np.random.default_rng([abs(seed), abs(trace or 0), int(trace is None), b]).standard_normal(NOISE_BLOCK) for b in range(first, last)]
-    return np.concatenate([np.zeros(0), *made])[start - first * NOISE_BLOCK :][:count]
+    end = start + count
+    made = [np.random.default_rng([abs(seed), abs(trace or 0), int(trace is None), b]).standard_normal(min(NOISE_BLOCK, end - b * NOISE_BLOCK)) for b in range(first, last)]
+    return np.concatenate([np.zeros(0), *made])[start - first * NOISE_BLOCK :]
 
 
 def gaussian_noise(factor: float, seed: int | None = None) -> Transform:
