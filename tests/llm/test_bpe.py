@@ -64,3 +64,12 @@ def test_long_match_is_not_quadratic():
     began = time.time()
     coder.encode(["ab" * 50_000])
     assert time.time() - began < 20
+
+
+def test_flat_merges_equal_the_heap():
+    coder = bpe.Encoder(bpe.read_ranks(PATH), public_tokenizers.PATTERN)
+    rnd = random.Random(4)
+    made = [bytes(rnd.choice(b"thein rga\xc3\xa9") for _ in range(n)) for n in [*range(300), 256, 257, 1, 2, 3]]
+    ids, length = coder.merge_flat(made)
+    want = [[coder.ranks[m]] if m in coder.ranks else coder._merge_long(m).tolist() for m in made]
+    assert ids.tolist() == [i for x in want for i in x] and length.tolist() == [len(x) for x in want]

@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 from tracewright.llm import lm
@@ -214,3 +215,44 @@ def test_every_weight_and_cluster_is_learnt_from_all_training_texts(spark, monke
     assert all(np.allclose(one.weights[k], w, atol=1e-4) for k, w in other.weights.items())
     less, seen = lm.fit(coded.where("doc_id <> 5"), start, len(ids))
     assert seen < len(ids) and any(not np.array_equal(one.weights[k], w) for k, w in less.weights.items())
+
+
+def test_words_of_a_piece_are_looked_up_once_and_frequent_ones_merged_once(monkeypatch):
+    monkeypatch.setattr(lm, "REMEMBERED_WORDS", 0)
+    coder, asked, merge = lm.encoder(lm.read_ranks(PATH), public_tokenizers.PATTERN), Counter(), {}
+    for name in ("merge", "merge_flat"):
+        merge[name] = getattr(coder, name, None)
+        monkeypatch.setattr(coder, name, lambda words, name=name: asked.update(words) or merge[name](words), raising=False)
+    memory = lm.Words(coder, {b"an": 9, b"thesession": 7})
+    texts = [[b"thesession", b"qxq", b"an", b"an"], [], [b"qxq"]]
+    for _ in range(3):
+        ids, lengths, per_token, tokens, count = memory.sequences(texts)
+    assert asked[b" an"] == asked[b" thesession"] == 1 and asked[b" qxq"] == 3
+    rare = merge["merge"]([b" qxq"])[0].tolist()
+    first = [merge["merge"]([b" " + w])[0][0] for w in (b"thesession", b"an")]
+    assert ids.tolist() == [first[0], *rare, first[1], first[1], coder.size, coder.size, *rare, coder.size]
+    assert count.tolist() == [7, 0, 9, 9, 0, 0, 0, 0] and tokens.tolist() == [5, 1, 2] and lengths.sum() == per_token.sum() == len(ids)
+
+
+def test_split_words_equal_the_plain_ones():
+    texts = ["", None, " a", "B\x0b\x0cc \x1c\x85\xa0D\x00 ", "İÀ zZ", "\t\n\r ", "x" * 3000, "  q"]
+    words, n = lm.split_words(pa.array(texts))
+    assert lm.as_bytes(words) == [w for t in texts for w in lm.words_of(t)] and n.tolist() == [len(lm.words_of(t)) for t in texts]
+    got = Counter()
+    for batch in lm._count_words(iter([pa.record_batch({"text": pa.array(texts * 3)})])):
+        for r in batch.to_pylist():
+            got[r["word"] and r["word"].encode()] += r["c"]
+    assert got == Counter([w for t in texts for w in lm.words_of(t)] * 3 + [None] * 24)
+
+
+def test_near_landmarks_equal_brute_force():
+    rng = np.random.default_rng(6)
+    lengths = np.array([1, 30, 2, 9, 60])
+    ids = rng.integers(0, 90, lengths.sum())
+    order = rng.permutation(90)
+    want, text = np.zeros((90, lm.LANDMARKS), np.int64), np.repeat(np.arange(5), lengths)
+    for i in range(len(ids)):
+        for j in range(max(0, i - lm.NEAR), min(len(ids), i + lm.NEAR + 1)):
+            for k in np.flatnonzero(order[: lm.LANDMARKS] == ids[i]) if i != j and text[i] == text[j] else ():
+                want[ids[j], k] += 1
+    assert np.array_equal(lm.near_landmarks(ids, lengths, order, 90), want)

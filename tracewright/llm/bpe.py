@@ -1,9 +1,9 @@
 """Byte-level BPE encoding and decoding with numpy.
 
-Every match of the pre-tokenizer's pattern is merged separately.  Distinct matches are put into
-padded matrices, one per length bucket; each round every row merges its leftmost pair of minimum
-rank, pair ranks come from an open-addressing hash table, and finished rows leave the matrix.
-Matches longer than ``MATRIX_BYTES`` go through an exact heap instead, since a matrix row takes one
+Every match of the pre-tokenizer's pattern is merged separately.  Distinct matches of like lengths are
+the columns of padded matrices of bounded size; each round every column merges its leftmost pair of minimum
+rank, pair ranks come from an open-addressing hash table, and finished columns leave the matrix.
+Matches longer than ``MATRIX_BYTES`` go through an exact heap instead, since a column takes one
 round per merge.
 """
 
@@ -12,6 +12,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+from itertools import repeat
 from pathlib import Path
 
 import numpy as np
@@ -24,6 +25,8 @@ from tracewright.llm.arrow import map_pieces
 from tracewright.llm.common import hold
 
 MATRIX_BYTES = 256
+#: Cells of a matrix, or twice as many.
+MATRIX_CELLS = 1 << 16
 #: Distinct matches whose ids a worker remembers; when more come up it starts afresh.
 MEMORY = 200_000
 _NONE = np.int32(2**31 - 1)
@@ -56,14 +59,19 @@ class PairTable:
 
     def get(self, keys: np.ndarray) -> np.ndarray:
         flat = keys.ravel()
-        out = np.full(len(flat), _NONE, np.int32)
-        slot, todo = self._slot(flat), np.arange(len(flat))
+        slot = self._slot(flat)
+        found = self.keys[slot]
+        hit = found == flat
+        out = np.where(hit, self.values[slot], _NONE)
+        todo = np.flatnonzero(~hit & (found >= 0))
+        slot = slot[todo]
         while len(todo):
-            found = self.keys[slot[todo]]
+            slot = (slot + 1) & ((1 << self.bits) - 1)
+            found = self.keys[slot]
             hit = found == flat[todo]
-            out[todo[hit]] = self.values[slot[todo[hit]]]
-            todo = todo[~hit & (found >= 0)]
-            slot[todo] = (slot[todo] + 1) & ((1 << self.bits) - 1)
+            out[todo[hit]] = self.values[slot[hit]]
+            more = ~hit & (found >= 0)
+            todo, slot = todo[more], slot[more]
         return out.reshape(keys.shape)
 
 
@@ -106,63 +114,82 @@ class Encoder:
 
     def merge(self, matches: list[bytes]) -> list[np.ndarray]:
         """The ids of every match."""
-        out: list[np.ndarray | None] = [None] * len(matches)
-        buckets: dict[int, list[int]] = {}
-        for i, m in enumerate(matches):
-            whole = self.ranks.get(m)
-            if whole is not None:
-                out[i] = np.array([whole], np.int32)
-            elif len(m) > MATRIX_BYTES:
-                out[i] = self._merge_long(m)
-            else:
-                buckets.setdefault(max(4, 1 << (len(m) - 1).bit_length()), []).append(i)
-        for rows in buckets.values():
-            for i, ids in zip(rows, self._merge_matrix([matches[i] for i in rows]), strict=True):
-                out[i] = ids
-        return out
+        return _split(*self.merge_flat(matches))
+
+    def merge_flat(self, matches: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all matches in one array, and how many each match has."""
+        size = np.fromiter(map(len, matches), np.int64, len(matches))
+        whole = np.fromiter(map(self.ranks.get, matches, repeat(-1)), np.int64, len(matches))
+        length = np.minimum(size, 1)
+        parts = [(rows := np.flatnonzero(whole >= 0), whole[rows])]
+        for i in np.flatnonzero((whole < 0) & (size > MATRIX_BYTES)).tolist():
+            parts.append((np.array([i]), self._merge_long(matches[i])))
+            length[i] = len(parts[-1][1])
+        rows = np.flatnonzero((whole < 0) & (size > 0) & (size <= MATRIX_BYTES))
+        rows = rows[np.argsort(size[rows], kind="stable")]
+        sizes, a = size[rows], 0
+        while a < len(rows):
+            b = min(a + max(1, MATRIX_CELLS // int(sizes[a])), int(np.searchsorted(sizes, 2 * sizes[a], "right")))
+            ids, length[rows[a:b]] = self._merge_columns([matches[i] for i in rows[a:b].tolist()], sizes[a:b])
+            parts.append((rows[a:b], ids))
+            a = b
+        start, out = np.cumsum(length) - length, np.empty(int(length.sum()), np.int32)
+        for rows, ids in parts:
+            out[spread(start[rows], length[rows])] = ids
+        return out, length
 
     def _merge_matrix(self, matches: list[bytes]) -> list[np.ndarray]:
-        n = np.array([len(m) for m in matches])
-        width = int(n.max())
-        cells = np.full((len(matches), width), -1, np.int64)
-        cells[np.arange(width) < n[:, None]] = self.byte_ids[np.frombuffer(b"".join(matches), np.uint8)]
-        rank = self._pair_ranks(cells)
-        rows, out = np.arange(len(matches)), [None] * len(matches)
-        while len(rows):
-            at = rank.argmin(axis=1)  # the leftmost of equal minima
-            best = rank[np.arange(len(rows)), at]
-            done = best == _NONE
-            if done.any():
-                for r in np.flatnonzero(done):
-                    out[rows[r]] = cells[r, : n[r]].astype(np.int32)
-                live = ~done
-                rows, cells, rank, n, at, best = rows[live], cells[live], rank[live], n[live], at[live], best[live]
-                if not len(rows):
-                    break
-                cells, rank = cells[:, : n.max()], rank[:, : max(1, n.max() - 1)]
-            r = np.arange(len(rows))
-            columns = np.arange(cells.shape[1])
-            source = np.minimum(columns + (columns > at[:, None]), cells.shape[1] - 1)
-            cells = np.take_along_axis(cells, source, axis=1)
-            cells[r, at] = best
-            n -= 1
-            cells[columns >= n[:, None]] = -1
-            columns = np.arange(rank.shape[1])
-            rank = np.take_along_axis(rank, np.minimum(columns + (columns > at[:, None]), rank.shape[1] - 1), axis=1)
-            rank[columns >= (n - 1)[:, None]] = _NONE
-            for shift in (-1, 0):  # only the pairs on both sides of the merged cell change
-                j = at + shift
-                ok = (j >= 0) & (j + 1 < n)
-                if ok.any():
-                    a, b = cells[r[ok], j[ok]], cells[r[ok], j[ok] + 1]
-                    rank[r[ok], j[ok]] = self.pairs.get(a * self.size + b)
-        return out
-
-    def _pair_ranks(self, cells: np.ndarray) -> np.ndarray:
-        if cells.shape[1] < 2:
-            return np.full((len(cells), 1), _NONE, np.int32)
-        a, b = cells[:, :-1], cells[:, 1:]
-        return np.where(b < 0, _NONE, self.pairs.get(np.where(b < 0, -2, a * self.size + b)))
+        return _split(*self._merge_columns(matches, np.array([len(m) for m in matches])))
+
+    def _merge_columns(self, matches: list[bytes], size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same for matches of at most ``MATRIX_BYTES``. A column holds a match, with the rank and the place of each
+        pair as one number, so that a column's least number is its leftmost pair of minimum rank."""
+        width, count = int(size.max()), len(matches)
+        inside = np.arange(width) < size[:, None]
+        cells = np.full((count, width), -1, np.int32)
+        cells[inside] = self.byte_ids[np.frombuffer(b"".join(matches), np.uint8)]
+        cells = np.ascontiguousarray(cells.T)
+        pairs = np.full((width, count), _NONE, np.int32)
+        place, column = np.nonzero(cells[1:] >= 0)
+        pairs[place, column] = self._placed(cells[place, column], cells[place + 1, column], place)
+        after, before = (np.repeat(np.arange(x, width + x, dtype=np.int32)[:, None], count, axis=1) for x in (1, -1))
+        out, mine = np.full((width, count), -1, np.int32), np.arange(count)
+        while True:
+            best = pairs.min(axis=0)
+            live = np.flatnonzero(best != _NONE)
+            if 4 * len(live) < 3 * len(mine):  # finished columns leave the matrix
+                done = np.flatnonzero(best == _NONE)
+                out[:, mine[done]] = cells[:, done]
+                mine, best = mine[live], best[live]
+                cells, pairs, after, before = (x.take(live, axis=1) for x in (cells, pairs, after, before))
+                live = np.arange(len(mine))
+            else:
+                best = best[live]
+            if not len(live):
+                break
+            n, (c, p, to, back) = len(mine), (x.reshape(-1) for x in (cells, pairs, after, before))
+            at, new = best & 255, best >> 8
+            here = at.astype(np.int64) * n + live
+            gone = to[here].astype(np.int64) * n + live
+            then, left = to[gone], back[here]
+            c[here], c[gone], p[here], p[gone], to[here] = new, -1, _NONE, _NONE, then
+            # only the pairs on both sides of the merged cell change
+            r = np.flatnonzero(then < width)
+            there = then[r].astype(np.int64) * n + live[r]
+            some = c[there] >= 0
+            r, there = r[some], there[some]
+            back[there] = at[r]
+            k = np.flatnonzero(left >= 0)
+            prior = left[k].astype(np.int64) * n + live[k]
+            p[np.concatenate([here[r], prior])] = self._placed(np.concatenate([new[r], c[prior]]), np.concatenate([c[there], new[k]]), np.concatenate([at[r], left[k]]))
+        out = out.T
+        kept = out >= 0
+        return out[kept], kept.sum(axis=1)
+
+    def _placed(self, a: np.ndarray, b: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """The ranks of pairs with their places, as one number for each."""
+        rank = self.pairs.get(a.astype(np.int64) * self.size + b)
+        return np.where(rank == _NONE, _NONE, (rank << 8) | place.astype(np.int32))
 
     def _merge_long(self, match: bytes) -> np.ndarray:
         ids = [int(self.byte_ids[b]) for b in match]
@@ -216,6 +243,12 @@ class Encoder:
         return [raw[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
+def _split(values: np.ndarray, length: np.ndarray) -> list[np.ndarray]:
+    """Consecutive runs of the given lengths."""
+    ends = np.cumsum(length).tolist()
+    return [values[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=False)]
+
+
 def spread(start: np.ndarray, length: np.ndarray) -> np.ndarray:
     """start[0], start[0]+1, ... for length[0] steps, then the same from start[1], and so on."""
     return np.repeat(start - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))

@@ -26,8 +26,7 @@ from __future__ import annotations
 
 import math
 import uuid
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, replace
 from itertools import chain
 
@@ -62,8 +61,9 @@ STEPS, BATCH, RATE = 400, 256, 0.01
 #: Rounds over disjoint parts of all training texts (one where there is one shard), ids of a shard over all rounds, and
 #: ids that are held at once (all, where texts are gone through several times).
 ROUNDS, SHARD_IDS, HELD_IDS = 4, 4_000_000, STEPS * BATCH * STRIDE
-#: Bounds of what a worker holds: words counted before they are sent on, words with their ids.
-COUNTED_WORDS, REMEMBERED_WORDS = 200_000, 400_000
+#: Bounds of what a worker holds: words counted in pieces before they are sent on (some 25 bytes each), words with their
+#: ids, and bytes of text that are split at once.
+COUNTED_WORDS, REMEMBERED_WORDS, CODED_BYTES = 1_000_000, 400_000, 2 << 20
 FOLDS, HELD_OUT = 7, 2
 
 
@@ -74,25 +74,40 @@ def words_of(text: str | None) -> list[bytes]:
 # --- corpus counts ------------------------------------------------------------------------------------
 
 
+def as_bytes(words: pa.Array) -> list[bytes]:
+    return words.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
+
+
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts in one array, as ``words_of`` gives them, and how many each text has."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.string()), "")))
+    flat = lists.flatten()
+    real = pc.binary_length(flat).to_numpy() > 0  # white space at either end splits off nothing
+    return flat.filter(pa.array(real)), np.add.reduceat(real.astype(np.int64), lists.offsets.to_numpy()[:-1])
+
+
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def rows(c: Counter, texts: int) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([*c.keys(), None], pa.binary()).cast(pa.string()), pa.array([*c.values(), texts], pa.int64())], ["word", "c"])
+    def rows(held: list[pa.Table], texts: int) -> Iterator[pa.RecordBatch]:
+        sums = pa.concat_tables(held).group_by("word", use_threads=False).aggregate([("c", "sum")]).rename_columns(["word", "c"])
+        yield from sums.select(["word", "c"]).to_batches()
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.string()), pa.array([texts], pa.int64())], ["word", "c"])
 
-    count, texts = Counter(), 0
+    held, n, texts = [], 0, 0
     for batch in batches:
-        for t in batch.column("text").to_pylist():
-            count.update(words_of(t))
-            texts += 1
-            if len(count) > COUNTED_WORDS:
-                yield rows(count, texts)
-                count, texts = Counter(), 0
+        for piece in pieces(batch, limit=CODED_BYTES):
+            found = pc.value_counts(split_words(piece.column("text"))[0])
+            held.append(pa.table({"word": found.field("values"), "c": found.field("counts")}))
+            n, texts = n + len(found), texts + piece.num_rows
+            if n > COUNTED_WORDS:
+                yield from rows(held, texts)
+                held, n, texts = [], 0, 0
     if texts:
-        yield rows(count, texts)
+        yield from rows(held, texts)
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
     """word, c over all texts; the null word is the end of a text."""
-    return texts.select("text").mapInArrow(_count_words, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return texts.select("text").mapInArrow(trimmed(_count_words), "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
 @dataclass
@@ -115,16 +130,11 @@ def id_counts(counts: DataFrame, least: int, content: bytes, pattern: str) -> Id
         total = np.zeros((4, coder.size + 1), np.int64)
         for batch in batches:
             for part in pieces(batch, "word"):
-                words, c = part.column("word").to_pylist(), np.array(part.column("c").to_pylist(), np.int64)
-                spelled = np.array(part.column("level").to_pylist(), np.int64) < least
-                is_word = np.array([w is not None for w in words], bool)
+                c, spelled = part.column("c").to_numpy(), part.column("level").to_numpy() < least
+                is_word = part.column("word").is_valid().to_numpy(zero_copy_only=False)
                 total[0, -1] += c[~is_word].sum()
-                ids = coder.merge([b" " + w.encode() for w in words if w is not None])
-                if not ids:
-                    continue
-                c, spelled = c[is_word], spelled[is_word]
-                length = np.fromiter(map(len, ids), np.int64, len(ids))
-                flat, first = np.concatenate(ids), np.cumsum(length) - length
+                flat, length = coder.merge_flat([b" " + w for w in as_bytes(part.column("word").drop_null())])
+                c, spelled, first = c[is_word], spelled[is_word], np.cumsum(length) - length
                 np.add.at(total[1], flat[first], c)
                 np.add.at(total[2], flat[first], c == 1)
                 inner = np.repeat(spelled, length)
@@ -155,7 +165,7 @@ def frequent_words(counts: DataFrame) -> tuple[dict[bytes, int], int]:
             least = max(least, lv + 1)
             break
         total += sizes[lv]
-    got = counts.where(F.col("word").isNotNull() & (_level() >= least)).select("word", "c").toArrow()
+    got = counts.where(F.col("word").isNotNull() & (_level() >= least)).select("word", "c").toArrow().sort_by([("c", "descending")])  # those used most lie together
     return dict(zip((w.encode() for w in got.column("word").to_pylist()), got.column("c").to_pylist(), strict=True)), least
 
 
@@ -179,19 +189,20 @@ def near_landmarks(ids: np.ndarray, lengths: np.ndarray, order: np.ndarray, size
     """How often each id occurs within ``NEAR`` places of each landmark, the most frequent ids."""
     place = np.full(size, -1)
     place[order[:LANDMARKS]] = np.arange(min(LANDMARKS, size))
-    text = np.repeat(np.arange(len(lengths)), lengths)
-    found = np.zeros(size * LANDMARKS, np.int64)
-    at = np.flatnonzero(place[ids] >= 0)
-    mark = place[ids[at]]
+    # texts are laid NEAR places of no id apart, so no id is near those of another text
+    laid = np.full(len(ids) + NEAR * (len(lengths) + 1), size * LANDMARKS, np.int64)
+    where = np.arange(len(ids)) + np.repeat(NEAR * np.arange(1, len(lengths) + 1), lengths)
+    laid[where] = ids.astype(np.int64) * LANDMARKS
+    mark = place[ids]
+    at = np.flatnonzero(mark >= 0)
+    at, mark = where[at], mark[at]
+    found, met = np.zeros((size + 1) * LANDMARKS, np.int64), np.empty((NEAR, len(at)), np.int64)
     for sign in (-1, 1):
-        met = []
         for d in range(1, NEAR + 1):
-            j = at + sign * d
-            ok = (j >= 0) & (j < len(ids))
-            ok[ok] = text[j[ok]] == text[at[ok]]
-            met.append((ids[j[ok]].astype(np.int64) * LANDMARKS + mark[ok]).astype(np.int32))
-        found += np.bincount(np.concatenate(met), minlength=len(found))
-    return found.reshape(size, LANDMARKS)
+            met[d - 1] = laid[at + sign * d]
+        met += mark
+        found += np.bincount(met.ravel(), minlength=len(found))
+    return found[: size * LANDMARKS].reshape(size, LANDMARKS)
 
 
 def clusters(profile: np.ndarray, weight: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
@@ -326,31 +337,41 @@ CAUSAL = np.tril(np.ones((WINDOW, WINDOW), np.float32))
 
 
 def states(model: Model, ids: np.ndarray, lengths: np.ndarray, chunk: int = 512) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places of ids of sequences laid end to end, each once, and the state that predicts each."""
+    """Places of ids of sequences laid end to end, each once, and the state that predicts each, with a one."""
     before = inputs_of(model, ids, lengths)
     place, scored = windows(lengths)
-    (by_entry, by_place), w = tables(model.weights), model.weights
-    ones = np.ones((chunk, WINDOW, 1), np.float32)
+    by_entry, by_place = (np.concatenate([x, np.full((len(x), 1), one, np.float32)], axis=1) for x, one in zip(tables(model.weights), (1, 0), strict=True))
     for a in range(0, len(place), chunk):
-        p, s = place[a : a + chunk], scored[a : a + chunk]
+        p, at = place[a : a + chunk], np.flatnonzero(scored[a : a + chunk])
         g = np.take(by_entry, np.where(p < 0, OWN_INPUTS + CLASSES, before[p]), axis=0)
         g += by_place
-        x, q, k, v = (g[..., i * DIM : (i + 1) * DIM] for i in range(4))
+        x, q, k, v = (g[..., i * DIM : (i + 1) * DIM + i // 3] for i in range(4))  # the values and a one
         e = q @ k.transpose(0, 2, 1)
         np.exp(np.clip(e, LEAST, MOST, out=e), out=e)
         e *= CAUSAL
-        m = e @ np.concatenate([v, ones[: len(p)]], axis=2)
-        yield p[s], np.tanh(x[s] + m[s][:, :DIM] / m[s][:, DIM:])
+        m = e @ v
+        h = m[..., :DIM] / m[..., DIM:]
+        h += x
+        t = np.ones((len(at), DIM + 1), np.float32)
+        np.tanh(h.reshape(-1, DIM)[at], out=t[:, :DIM])
+        yield p.ravel()[at], t
+
+
+def exponents(t: np.ndarray, w: dict[str, np.ndarray]) -> np.ndarray:
+    """Class logits of states with a one each, in the range of exponents."""
+    z = t @ np.concatenate([w["out"], w["bias"][None]])
+    if (np.abs(w["out"]).sum(axis=0) + np.abs(w["bias"])).max() > MOST:  # states are within -1 and 1
+        np.clip(z, LEAST, MOST, out=z)
+    return z
 
 
 def log_probabilities(model: Model, ids: np.ndarray, lengths: np.ndarray, chunk: int = 512) -> np.ndarray:
     """log10 probability of every id of sequences laid end to end."""
-    kind, w, out = model.kind[ids], model.weights, np.empty(len(ids))
+    kind, out, ones = model.kind[ids], np.empty(len(ids)), np.ones(CLASSES, np.float32)
     for target, t in states(model, ids, lengths, chunk):
-        z = t @ w["out"] + w["bias"]
-        np.clip(z, LEAST, MOST, out=z)
+        z = exponents(t, model.weights)
         hit = z[np.arange(len(z)), kind[target]]
-        out[target] = (hit - np.log(np.exp(z, out=z) @ np.ones(CLASSES, np.float32))) / math.log(10)
+        out[target] = (hit - np.log(np.exp(z, out=z) @ ones)) / math.log(10)
     return out + model.share[ids]
 
 
@@ -378,25 +399,27 @@ def train(counts: IdCounts, starts_word: np.ndarray, ids: np.ndarray, lengths: n
 
 def gradients(model: Model, entry: np.ndarray, targets: np.ndarray, scored: np.ndarray) -> dict[str, np.ndarray]:
     """Gradients of the mean negative log likelihood of the scored places, as ``backward`` gives them, by way of
-    what input rows and places add (``maps``): each row's gradients are added up before they are mapped."""
+    what input rows and places add (``maps``)."""
     w, (n, _) = model.weights, entry.shape
     m = maps(w)
-    by_entry, by_place = w["in"] @ m, w["place"] @ m
-    g = np.take(by_entry, entry, axis=0)
-    g += by_place
+    g = np.take(w["in"] @ m, entry, axis=0)
+    g += w["place"] @ m
     x, q, k, v = (g[..., i * DIM : (i + 1) * DIM] for i in range(4))
     a = q @ k.transpose(0, 2, 1)
     np.exp(np.clip(a, LEAST, MOST, out=a), out=a)
     a *= CAUSAL
     a /= a @ np.ones((WINDOW, 1), np.float32)
+    h = a @ v
+    h += x
     at = np.flatnonzero(scored)
-    t = np.tanh((x + a @ v).reshape(-1, DIM)[at])
-    p = t @ w["out"]
-    p += w["bias"]
-    np.exp(np.clip(p, LEAST, MOST, out=p), out=p)
+    t = np.ones((len(at), DIM + 1), np.float32)
+    np.tanh(h.reshape(-1, DIM)[at], out=t[:, :DIM])
+    p = exponents(t, w)
+    np.exp(p, out=p)
     p *= np.float32(1 / max(1, len(at))) / (p @ np.ones((CLASSES, 1), np.float32))
     p[np.arange(len(at)), model.kind[targets.ravel()[at]]] -= np.float32(1 / max(1, len(at)))
-    out = {"out": t.T @ p, "bias": p.sum(axis=0)}
+    of_out = t.T @ p
+    t = t[:, :DIM]
     dh = np.zeros((n * WINDOW, DIM), np.float32)
     dh[at] = p @ w["out"].T * (1 - t * t)
     dh = dh.reshape(n, WINDOW, DIM)
@@ -408,15 +431,11 @@ def gradients(model: Model, entry: np.ndarray, targets: np.ndarray, scored: np.n
     np.matmul(da, k, out=d[..., DIM : 2 * DIM])
     np.matmul(da.transpose(0, 2, 1), q, out=d[..., 2 * DIM : 3 * DIM])
     np.matmul(a.transpose(0, 2, 1), dh, out=d[..., 3 * DIM :])
-    rows = entry.ravel()
-    order = np.argsort(rows, kind="stable")
-    rows = rows[order]
-    first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
-    of_entry, of_place = np.zeros_like(by_entry), d.sum(axis=0)
-    of_entry[rows[first]] = np.add.reduceat(d.reshape(-1, 4 * DIM)[order], first, axis=0)
-    out["in"], out["place"] = of_entry @ m.T, of_place @ m.T
-    _, gq, gk, gv = np.split(w["in"].T @ of_entry + w["place"].T @ of_place, 4, axis=1)
-    return out | {"q": gq * np.float32(DIM**-0.5), "k": gk, "v": gv @ w["o"].T, "o": w["v"].T @ gv}
+    d = d.reshape(-1, 4 * DIM)
+    dx, (gq, gk, gv) = d @ m.T, np.split(x.reshape(-1, DIM).T @ d[:, DIM:], 3, axis=1)
+    at = (entry.reshape(-1, 1) * DIM + np.arange(DIM)).ravel()
+    of_entry = np.bincount(at, dx.ravel(), w["in"].size).astype(np.float32).reshape(w["in"].shape)
+    return {"out": of_out[:DIM], "bias": of_out[DIM], "in": of_entry, "place": dx.reshape(n, -1).sum(axis=0).reshape(WINDOW, DIM), "q": gq * np.float32(DIM**-0.5), "k": gk, "v": gv @ w["o"].T, "o": w["v"].T @ gv}
 
 
 class Adam:
@@ -424,18 +443,26 @@ class Adam:
 
     def __init__(self, model: Model):
         self.model, self.steps = model, 0
-        self.first = {k: np.zeros_like(v) for k, v in model.weights.items()}
-        self.second = {k: np.zeros_like(v) for k, v in model.weights.items()}
+        self.flat = np.concatenate([x.ravel() for x in model.weights.values()])
+        for (k, x), part in zip(model.weights.items(), np.split(self.flat, np.cumsum([x.size for x in model.weights.values()])[:-1]), strict=True):
+            model.weights[k] = part.reshape(x.shape)  # a view
+        self.first, self.second = np.zeros_like(self.flat), np.zeros_like(self.flat)
 
     def step(self, ids: np.ndarray, before: np.ndarray, p: np.ndarray, s: np.ndarray, rate: float) -> None:
         """One step on windows with places ``p``, of which ``s`` are scored."""
         w, first, second = self.model.weights, self.first, self.second
         self.steps += 1
         one, two = np.float32(rate / (1 - 0.9**self.steps)), np.float32(1 / (1 - 0.99**self.steps))
-        for k, g in gradients(self.model, np.where(p < 0, OWN_INPUTS + CLASSES, before[p]), ids[p], s).items():
-            first[k] += np.float32(0.1) * (g - first[k])
-            second[k] += np.float32(0.01) * (g * g - second[k])
-            w[k] -= one * first[k] / (np.sqrt(second[k] * two) + np.float32(1e-8))
+        of = gradients(self.model, np.where(p < 0, OWN_INPUTS + CLASSES, before[p]), ids[p], s)
+        g = np.concatenate([of[k].ravel() for k in w])
+        first += np.float32(0.1) * (g - first)
+        g *= g
+        g -= second
+        g *= np.float32(0.01)
+        second += g
+        np.sqrt(np.multiply(second, two, out=g), out=g)
+        g += np.float32(1e-8)
+        self.flat -= one * first / g
 
 
 class Shard:
@@ -552,7 +579,7 @@ def near_counts(coded: DataFrame, counts: IdCounts) -> np.ndarray:
 class _Numbers(dict):
     """Numbers words from 1 as they are first asked for, and lists those since ``new`` was emptied."""
 
-    def __init__(self, numbers: dict[bytes, int]):
+    def __init__(self, numbers: Iterable[tuple[bytes, int]]):
         super().__init__(numbers)
         self.new: list[bytes] = []
 
@@ -563,35 +590,42 @@ class _Numbers(dict):
 
 
 class Words:
-    """A worker's memory of words: their numbers, ids in a sequence and, for frequent words, counts."""
+    """A worker's memory of words: their numbers, ids in a sequence and, for frequent words, counts. Frequent words are
+    merged once and stay; the others are forgotten when there are too many."""
 
     def __init__(self, coder, frequent: dict[bytes, int]):
         self.coder, self.frequent = coder, frequent
+        ids, length = coder.merge_flat([b" " + w for w in frequent])
+        # the first ids of all frequent words, which are never forgotten, and their counts; number 0 is the end
+        self.kept = np.concatenate([[coder.size], ids[np.cumsum(length) - length]]).astype(np.int32), np.array([0, *frequent.values()], np.int64)
         self._forget()
 
     def _forget(self) -> None:
-        self.number = _Numbers({})
-        self.start, self.length, self.ids = np.zeros(1, np.int64), np.ones(1, np.int64), np.array([self.coder.size], np.int32)
-        self.count = np.zeros(1, np.int64)  # number 0 is the end
+        self.number = _Numbers(zip(self.frequent, range(1, len(self.frequent) + 1), strict=True))
+        self.ids, self.count = self.kept
+        self.start, self.length = np.arange(len(self.ids)), np.ones(len(self.ids), np.int64)
 
     def sequences(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Ids of all texts with their ends, ids per text, ids per token, tokens per text, count per token (0: not frequent)."""
+        return self.coded(pa.array(list(chain.from_iterable(texts)), pa.binary()), np.array([len(t) for t in texts]))
+
+    def coded(self, words: pa.Array, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all texts with their ends, ids per text, ids per token, tokens per text, count per token (0: not frequent),
+        of texts with so many of the words each. A word is looked up once."""
         if len(self.number) > REMEMBERED_WORDS:
             self._forget()
-        flat = np.fromiter(map(self.number.__getitem__, chain.from_iterable(texts)), np.int64, sum(map(len, texts)))
+        met = words.dictionary_encode()
+        number = np.fromiter(map(self.number.__getitem__, as_bytes(met.dictionary)), np.int64, len(met.dictionary))
         new, self.number.new = self.number.new, []
-        count = np.fromiter((self.frequent.get(w, 0) for w in new), np.int64, len(new))
-        made = [x[:1] if c else x for x, c in zip(self.coder.merge([b" " + w for w in new]), count.tolist(), strict=True)]
-        length = np.fromiter(map(len, made), np.int64, len(made))
+        made, length = self.coder.merge_flat([b" " + w for w in new])
         self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(length) - length])
         self.length = np.concatenate([self.length, length])
-        self.ids = np.concatenate([self.ids, *made])
-        self.count = np.concatenate([self.count, count])
-        tokens = np.array([len(t) + 1 for t in texts])
+        self.ids = np.concatenate([self.ids, made])
+        self.count = np.concatenate([self.count, np.zeros(len(new), np.int64)])
+        tokens = lengths + 1
         numbers = np.zeros(int(tokens.sum()), np.int64)
         inner = np.ones(len(numbers), bool)
         inner[np.cumsum(tokens) - 1] = False
-        numbers[inner] = flat
+        numbers[inner] = number[met.indices.to_numpy()]
         per_token = self.length[numbers]
         return self.ids[spread(self.start[numbers], per_token)], np.add.reduceat(per_token, np.cumsum(tokens) - tokens), per_token, tokens, self.count[numbers]
 
@@ -644,14 +678,15 @@ def code(rows: DataFrame, frequent: Broadcast, content: bytes, pattern: str, tok
         memory = remembered(token, content, pattern, frequent)
         form = id_form(memory.coder.size + 1)
         for batch in batches:
-            for piece in pieces(batch, limit=1 << 20):
-                texts = [words_of(t) for t in piece.column("text").to_pylist()]
-                ids, lengths, per_token, tokens, count = memory.sequences(texts)
+            for piece in pieces(batch, limit=CODED_BYTES):
+                words, n = split_words(piece.column("text"))
+                ids, lengths, per_token, tokens, count = memory.coded(words, n)
                 at, rare = np.cumsum(tokens) - tokens, count == 0
                 rare[at + tokens - 1] = False
-                words = [texts[i][j] for i, j in zip(np.repeat(np.arange(len(texts)), tokens)[rare].tolist(), (np.arange(len(rare)) - np.repeat(at, tokens))[rare].tolist(), strict=True)]
+                inner = np.ones(len(rare), bool)
+                inner[at + tokens - 1] = False
                 bounds = np.concatenate([[0], np.cumsum(np.add.reduceat(rare.astype(np.int64), at))]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(bounds), pa.array(words, pa.binary()).cast(pa.string()))
+                lists = pa.ListArray.from_arrays(pa.array(bounds), words.filter(pa.array(rare[inner])))
                 mark = np.where(count > 0, KNOWN, np.where(rare, RARE, END))
                 marks = np.full(len(ids), INNER, np.uint8)
                 marks[np.cumsum(per_token) - per_token] = mark
