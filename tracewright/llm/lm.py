@@ -750,10 +750,11 @@ def score_texts(docs: DataFrame, training, ranks_path: str, pattern: str, id_col
                     score = np.add.reduceat(np.where(mark == KNOWN, unit, np.where(rare, 0.0, spelled)), at)
                     bounds = pa.array(np.concatenate([[0], np.cumsum(np.add.reduceat(rare.astype(np.int64), at))]).astype(np.int32))
                     lists = [pa.ListArray.from_arrays(bounds, pa.array(x[rare].astype(np.float32))) for x in (spelled, unit)]
-                    yield pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex for _ in tokens]), *(piece.column(c) for c in names), pa.array(score), *lists], ["row", *names, "unsized", "spelled", "unit"])
+                    yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in names), pa.array(score), *lists], [*names, "unsized", "spelled", "unit"])
 
         kind = docs.schema[id_col].dataType.simpleString()
-        scored = scratch.write(coded.select(*names, "ids", "marks").mapInArrow(trimmed(run), f"row string, doc_id {kind}, n_tokens long, n_hot long, size double, hot double, rare array<string>, unsized double, spelled array<float>, unit array<float>"), "scored")
+        scores = coded.select(*names, "ids", "marks").mapInArrow(trimmed(run), f"doc_id {kind}, n_tokens long, n_hot long, size double, hot double, rare array<string>, unsized double, spelled array<float>, unit array<float>")
+        scored = scratch.write(scores.withColumn("row", F.monotonically_increasing_id()), "scored")  # fixed once it is written
         scratch.drop("coded")
         rare = scored.select("row", F.explode(F.arrays_zip("rare", "spelled", "unit")).alias("e")).select("row", F.col("e.rare").alias("word"), "e.spelled", "e.unit")
         c = F.coalesce("c", F.lit(0))
